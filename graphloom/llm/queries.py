@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, rules, toxicity
+from ..session import new_path, written
+from . import bpe, exact_dedup, jaccard, licenses, packing, quotes, rules, token_rollup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,28 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches, one of them delivered twice: all documents come; those labelled toxic go; those
+    labelled of low quality are counted anew without repeated lines."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    counts = written(token_rollup.token_counts(docs, *_ranks(), version="byte_bpe_50k"), "token-counts")
+    store = token_rollup.TokenRollup(spark, new_path(spark, "token-rollup"))
+    store.commit("inserts", token_rollup.inserts(counts))
+    gone = labels.where("toxic = 1").select("doc_id").distinct()
+    store.commit("deletes", token_rollup.deletes(counts.join(gone, "doc_id", "left_semi")))
+    revised = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
+    lines = docs.join(revised, "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    deltas = token_rollup.revisions(counts.join(revised, "doc_id", "left_semi"), token_rollup.token_counts(lines, *_ranks(), version="byte_bpe_50k"))
+    for _ in range(2):
+        store.commit("revisions", deltas)
+    return store.totals()
+
+
+def op3_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of the conversations, without quotes, with what it replies to."""
+    return quotes.conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document's text."""
     return exact_dedup.copy_groups(_table(spark, sf_dir, "documents"))
@@ -35,12 +59,29 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), *_ranks())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    pages, path = _table(spark, sf_dir, "pages"), new_path(spark, "warc")
+    warc.write_archives(pages, path)
+    return warc.read_archives(spark, path, pages.schema["page_id"].dataType.simpleString())
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     docs = _table(spark, sf_dir, "documents")
     return rules.judged(docs, rules.fit_rules(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return licenses.license_findings(_table(spark, sf_dir, "documents")).drop("findings")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by three-word shingles at a similarity of 0.9."""
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), n=3, num=9, den=10)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), *_ranks())
@@ -48,8 +89,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    found = [op1_toxicity, op4_exact_dedup, op5_packing, op7_quality_rules, op10_byte_bpe]
-    return {f.__name__: f for f in found}
+    import corpus_pipeline
+
+    found = [op1_toxicity, op2_token_counts, op3_quote_threads, op4_exact_dedup, op5_packing, op6_warc, op7_quality_rules, op8_license_scan, op9_jaccard_join, op10_byte_bpe]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -59,4 +102,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+        "op6_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+            m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+            SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+                   list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+                   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN page_id <> top THEN top END AS refers_to, true AS intact
+            FROM m""",
     }
