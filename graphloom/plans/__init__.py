@@ -1 +1,6 @@
-"""Plans of graphloom."""
+"""Plans of graphloom: the registered queries."""
+
+from . import blocks
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "blocks"]
