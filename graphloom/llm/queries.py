@@ -106,7 +106,7 @@ def oracle_sql() -> dict[str, str]:
             WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
             m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
             SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
-                   list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                        1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
                    CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
                    CASE WHEN page_id <> top THEN top END AS refers_to, true AS intact
