@@ -1,6 +1,6 @@
 """Plans of graphloom: the registered queries."""
 
-from . import blocks
+from . import blocks, scalars
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "blocks"]
+__all__ = ["ORACLES", "QUERIES", "blocks", "scalars"]
