@@ -80,6 +80,9 @@ def keyword_search(nodes: DataFrame, query: str, k: int = 10, body: Column | Non
         row = F.array(*map(F.lit, words))
         return F.exists(F.transform("t", lambda w, i: F.slice("t", i + 1, len(words)) == row), lambda x: x)
 
+    def occurrences(word: str) -> Column:
+        return F.size(F.filter("t", lambda x: x == word))
+
     plan = parse_query(query)
     match, wanted = F.lit(False), sorted({w for alternative in plan for yes, words in alternative if yes for w in words})
     for alternative in plan:
@@ -88,8 +91,7 @@ def keyword_search(nodes: DataFrame, query: str, k: int = 10, body: Column | Non
             every &= has(words) if yes else ~has(words)
         match |= every
     score = F.lit(0.0)
-    for w in wanted:
-        n = F.size(F.filter("t", lambda x, w=w: x == w))
+    for n in map(occurrences, wanted):
         score += F.when(n > 0, 1 + F.log(n.cast("double"))).otherwise(0.0)
     found = rows.where(match).select("node_id", "name", F.round(score / (1 + F.log(1.0 + F.size("t"))), 6).alias("score"))
     top = found.orderBy(F.col("score").desc(), "name", "node_id").limit(k)

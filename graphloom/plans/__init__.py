@@ -1,6 +1,6 @@
 """Plans of graphloom: the registered queries."""
 
-from . import blocks, scalars
+from . import blocks, graph, scalars
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "blocks", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "blocks", "graph", "scalars"]
