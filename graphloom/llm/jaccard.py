@@ -10,8 +10,10 @@
    filtered by size, position and sketch, and verified on whole sets. So no link between components is lost, and
    pairs inside a component, which can't change it, aren't made.
 
-The parity sketch has one bit for each hash value of shingles, set if an odd number of them fall on it: the bits in
-which two sketches differ never outnumber the shingles in which the sets differ, so no true pair fails the filter.
+A parity sketch has one bit for each value of a hash of shingles, set if an odd number of them fall on it: the bits in
+which two sketches differ never outnumber the shingles in which the sets differ, so no true pair fails the filter. One
+sketch of fixed width filters inside the join; one of a bit a shingle filters the pairs that come out of it, before
+whole sets are brought together.
 
 Defined results: null and empty texts have size 0 and are linked with nothing; a text of fewer words than a shingle is
 one shingle; equal sets always share a component; doc_id is the key: repeated rows get the same result each, rows
@@ -34,11 +36,15 @@ from .components import components
 from .hashing import SPACE, Words, raw_text, row_blocks, shingle_sets
 
 #: Shingles in a task's summary, and in the list that all tasks get (16 bytes each), at most.
-COUNTERS, FREQUENT = 16_384, 32_768
+COUNTERS, FREQUENT = 65_536, 131_072
+#: Cells that count the shingles a task has seen, a byte each.
+CELLS = 1 << 24
 #: 64-bit words of a sketch.
-SKETCH = 16
+SKETCH = 8
 #: Bits of the map that keeps texts without candidates from being hashed and moved again.
 MAP_BITS = 1 << 22
+_WORDS = [f"s{k}" for k in range(SKETCH)]
+_DIGEST, _GROUP = ["d0", "d1"], ["g0", "g1"]
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -58,30 +64,50 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most FREQUENT shingles that many documents have, sorted, and their counts (a little too low)."""
+    """At most FREQUENT shingles that many documents have, sorted, and their counts (a little too low).
+
+    A task counts all shingles in cells that several may share; those whose cell is well over the mean are counted
+    by themselves from then on, in a summary of bounded size. Summaries add up.
+    """
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        cells, seen = np.zeros(CELLS, np.uint8), 0
         for batch in batches:
             for _, sets in _sets(batch.column(0), n):
                 own, many = np.unique(np.concatenate(sets), return_counts=True)
-                keys, counts = _summed(np.append(keys, own[many > 1]), np.append(counts, many[many > 1]))
+                at = (own >> np.uint64(40)).astype(np.int64)
+                now = np.minimum(cells[at] + many, 255)
+                cells[at] = now
+                seen += int(many.sum())
+                often = (many > 1) | (now > 2 + 4 * (seen // CELLS))
+                keys, counts = _summed(np.append(keys, own[often]), np.append(counts, many[often]))
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["shingle", "low"])
 
     sums = docs.select("text").mapInArrow(summaries, "shingle long, low long").groupBy("shingle").agg(F.sum("low").alias("low"))
-    got = sums.where("low > 16").orderBy(F.col("low").desc(), "shingle").limit(FREQUENT).toPandas()
+    got = sums.where("low > 3").orderBy(F.col("low").desc(), "shingle").limit(FREQUENT).toPandas()
     keys = got["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], got["low"].to_numpy(np.int64)[order]
 
 
-def _sketch(values: np.ndarray) -> np.ndarray:
-    bits = np.bincount((values >> np.uint64(20)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+def _sketch(values: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    bits = np.bincount((values >> np.uint64(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _wide(values: np.ndarray) -> np.ndarray:
+    """A sketch of about a bit for each shingle, in a power of two of words."""
+    return _sketch(values, max(SKETCH, 1 << max(0, (len(values) - 1) // 64).bit_length()))
+
+
+def _two_longs(data: bytes, salt: int) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(data, digest_size=16, salt=salt.to_bytes(8, "little")).digest(), np.int64)
+
+
 def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, size, digest, and for non-empty sets prefix, prefix_digest and the sketch words s0, s1, ..."""
+    """doc_id, size, and for non-empty sets prefix, digest (d0, d1), digest of prefix and size (g0, g1), a sketch of
+    fixed and one of growing width."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,27 +115,26 @@ def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             for a, sets in _sets(batch.column(1), n):
                 sizes = [len(s) for s in sets]
-                digests, prefixes, prefix_digests, sketches = [], [], [], np.zeros((len(sets), SKETCH), np.int64)
+                prefixes, wide, numbers = [], [], np.zeros((len(sets), 4 + SKETCH), np.int64)
                 for i, s in enumerate(sets):
                     if not len(s):
-                        digests.append(None), prefixes.append(None), prefix_digests.append(None)
+                        prefixes.append(None), wide.append(None)
                         continue
+                    wide.append(_wide(s))
+                    numbers[i, :2], numbers[i, 4:] = _two_longs(s.tobytes(), 0), _sketch(s)
                     length = len(s) - -(-num * len(s) // den) + 1
                     if len(keys):
                         at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                         often = keys[at] == s
-                        last = s[often][np.argsort(counts[at[often]], kind="stable")]
-                        s = np.concatenate((s[~often], last))
+                        s = np.concatenate((s[~often], s[often][np.argsort(counts[at[often]], kind="stable")]))
                     prefix = s[:length].view(np.int64)
-                    digests.append(hashlib.blake2b(np.sort(s).tobytes(), digest_size=16).digest())
                     prefixes.append(prefix)
-                    prefix_digests.append(hashlib.blake2b(prefix.tobytes(), digest_size=12, salt=len(s).to_bytes(8, "little")).digest())
-                    sketches[i] = _sketch(s)
-                columns = [batch.column(0).slice(a, len(sets)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(prefix_digests, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(c) for c in sketches.T.copy()], ["doc_id", "size", "digest", "prefix", "prefix_digest", *(f"s{k}" for k in range(SKETCH))])
+                    numbers[i, 2:4] = _two_longs(prefix.tobytes(), len(s))
+                columns = [batch.column(0).slice(a, len(sets)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), *map(pa.array, numbers.T.copy())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "prefix", "wide", *_DIGEST, *_GROUP, *_WORDS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, size long, digest binary, prefix array<long>, prefix_digest binary, " + ", ".join(f"s{k} long" for k in range(SKETCH))
+    schema = f"doc_id {kind}, size long, prefix array<long>, wide array<long>, " + ", ".join(f"{k} long" for k in (*_DIGEST, *_GROUP, *_WORDS))
     return docs.select("doc_id", "text").mapInArrow(signed, schema)
 
 
@@ -152,6 +177,21 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(hashed, f"node {docs.schema['doc_id'].dataType.simpleString()}, members array<long>").dropDuplicates(["node"])
 
 
+def _folded(wide: Column, words: Column) -> Column:
+    """A sketch brought to fewer words: parts that fall on each other add up, and parity with them."""
+    return F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.sequence(i, F.size(wide) - 1, words), F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.get(wide, k))))
+
+
+def likely(pairs: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sketches of growing width allow the similarity; the rest can't have it."""
+    own = signed.where("size > 0").select("doc_id", "size", "wide")
+    both = pairs.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b")
+    words = F.least(F.size("x"), F.size("y"))
+    x, y = (F.when(F.size(c) == words, F.col(c)).otherwise(_folded(F.col(c), words)) for c in ("x", "y"))
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    return both.where(apart * (num + den) <= (F.col("n") + F.col("m")) * (den - num)).select("a", "b").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -168,33 +208,34 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -
     """
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, n, num, den), "signatures")
-    sketch = [f"s{k}" for k in range(SKETCH)]
     some = signed.where("size > 0 and doc_id is not null")
-    same = ["size", "prefix_digest", "prefix", *sketch]
     # equal digests have equal sets: the columns of any row stand for all
-    nodes = written(some.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in same)), "nodes")
-    groups = nodes.groupBy("prefix_digest").agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("n_members"))
-    members = written(nodes.drop("prefix", "digest").join(groups, "prefix_digest").drop("prefix_digest"), "members")
+    nodes = written(some.groupBy(*_DIGEST).agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("size", *_GROUP, *_WORDS))), "nodes")
+    groups = nodes.groupBy(*_GROUP).agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("n_members"))
+    members = written(nodes.drop(*_DIGEST).join(groups, _GROUP).drop(*_GROUP), "members")
 
     # neighbours in posting lists and in groups
-    posts = nodes.join(members.where("node = gid").select("node"), "node", "left_semi").select(F.col("node").alias("gid"), "size", F.posexplode("prefix").alias("pos", "shingle"))
+    heads = members.where("node = gid").select(F.col("gid").alias("doc_id"))
+    posts = some.select("doc_id", "size", "prefix").join(heads, "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), "size", F.posexplode("prefix").alias("pos", "shingle"))
     in_list = Window.partitionBy("shingle").orderBy("size", "gid")
-    near = posts.select("*", F.lag(F.struct("gid", "size", "pos")).over(in_list).alias("q"), F.lead("gid").over(in_list).alias("next"))
-    lists = written(near.where("q is not null or next is not null").drop("next"), "lists")
+    near = posts.select("*", F.lag(F.struct("gid", "size", "pos")).over(in_list).alias("q"), F.lead("size").over(in_list).alias("next"))
+    # lists are in order of size: who is too far from both neighbours is too far from all
+    near = near.where((F.col("q.size") * den >= F.col("size") * num) | (F.col("size") * den >= F.col("next") * num)).drop("next")
+    lists = written(near, "lists")
     own = members.where("n_members > 1").select("gid", "node", F.lag("node").over(Window.partitionBy("gid").orderBy("node")).alias("last"))
     p = lists.select(F.struct("gid", "size", "pos").alias("p"), "q").where("q is not null")
     p = p.where(_similar_sizes(F.col("p.size"), F.col("q.size"), num, den) & _positions_allow("p", "q", num, den))
     first = p.select(F.col("q.gid").alias("a"), F.col("p.gid").alias("b")).distinct().unionByName(own.where("last is not null").select(F.col("last").alias("a"), F.col("node").alias("b")))
-    side = members.select("node", "size", *sketch)
+    side = members.select("node", "size", *_WORDS)
     x, y = side.alias("x"), side.alias("y")
     first = first.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_sketches_allow("x", "y", num, den)).select("a", "b")
-    links = written(verified(docs, written(first, "first"), n, num, den), "first-links")
+    links = written(verified(docs, written(likely(written(first, "near"), signed, num, den), "first"), n, num, den), "first-links")
     parts = written(components(links), "parts")
 
     # pairs that could still join two components
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("part_size"))
     parts = parts.join(sizes, "component")
-    members = written(members.join(parts, "node", "left").select("gid", "node", "size", "n_members", F.coalesce("component", "node").alias("part"), F.coalesce("part_size", F.lit(1)).alias("part_size"), *sketch), "members")
+    members = written(members.join(parts, "node", "left").select("gid", "node", "size", "n_members", F.coalesce("component", "node").alias("part"), F.coalesce("part_size", F.lit(1)).alias("part_size"), *_WORDS), "members")
     spread = members.select("gid", "part", "part_size").distinct()
     lists = lists.select("shingle", "gid", "pos").withColumn("own", F.lit(False))
     alone = members.where("n_members > 1").select("gid").distinct().select(F.xxhash64("gid").alias("shingle"), "gid", F.lit(0).alias("pos"), F.lit(True).alias("own"))
@@ -205,12 +246,14 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -
     meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.own") == F.col("y.own")) & (F.col("x.part") != F.col("y.part"))
     meet &= (F.col("y.part") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
     meet &= _similar_sizes(F.col("x.size"), F.col("y.size"), num, den) & _positions_allow("x", "y", num, den) & _sketches_allow("x", "y", num, den)
-    second = written(x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "second")
+    apart = x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    second = written(likely(written(apart, "apart"), signed, num, den), "second")
     links = links.unionByName(verified(docs, second, n, num, den))
     found = written(components(links), "components")
 
-    classes = nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    rows = signed.select("doc_id", "size", "digest").join(classes, "digest", "left")
+    classes = nodes.select(*_DIGEST, "node").join(found, "node", "left").select(*_DIGEST, F.coalesce("component", "node").alias("component"))
+    rows = signed.where("size > 0").select("doc_id", "size", *_DIGEST).join(classes, _DIGEST, "left").select("doc_id", "size", "component")
+    rows = rows.unionByName(signed.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component")))
     return rows.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
