@@ -1,6 +1,6 @@
 """Plans of graphloom: the registered queries."""
 
-from . import blocks, graph, scalars
+from . import blocks, graph, inputs, scalars
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "blocks", "graph", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "blocks", "graph", "inputs", "scalars"]
