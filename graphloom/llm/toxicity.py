@@ -4,8 +4,8 @@ Features of a text are the sets of its words, its words cut to four bytes (a lig
 pairs with one or two words between, hashed into 2 ** BITS slots. Per-coordinate learning rates and an L1 penalty
 leave few non-zero weights, which go to every task.
 
-Labels are taken only from rows whose crc32 of the id (as text) modulo 4 is not 2. Defined results: null and empty
-texts have no features, their score is the bias alone; texts are read whole; repeated rows score alike; without
+Labels are taken only from rows whose crc32 of the id (as text) modulo 4 is not 2. Defined results: null texts,
+empty ones and those without a word score the share of toxic labels; texts are read whole; repeated rows score alike; without
 labels of both kinds every score is the share of toxic labels (0 without any). Label rows with nulls are left out.
 Columns of the input pass through untouched; empty tables give empty results.
 """
@@ -131,7 +131,8 @@ def score_column(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], k
                 hit = table[at] != 0
                 pairs = np.unique(row[hit] * np.int64(1 << BITS) + at[hit])
                 logit = table[-1] + np.bincount(pairs >> BITS, table[pairs & ((1 << BITS) - 1)], b - a)
-                out.append(1 / (1 + np.exp(-np.clip(logit, -35, 35))) if len(slots) else np.full(b - a, share))
+                known = (np.bincount(row, minlength=b - a) > 0) & (len(slots) > 0)
+                out.append(np.where(known, 1 / (1 + np.exp(-np.clip(logit, -35, 35))), share))
             score = pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != k), score], [*(f.name for i, f in enumerate(batch.schema) if i != k), "_score"])
 
