@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path, written
-from . import bpe, exact_dedup, jaccard, licenses, packing, quotes, rules, token_rollup, toxicity, warc
+from . import bpe, exact_dedup, idmaps, jaccard, licenses, packing, quotes, rules, token_rollup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = labels.where("toxic = 1").select("doc_id").distinct()
     store.commit("deletes", token_rollup.deletes(counts.join(gone, "doc_id", "left_semi")))
     revised = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
-    lines = docs.join(revised, "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
-    deltas = token_rollup.revisions(counts.join(revised, "doc_id", "left_semi"), token_rollup.token_counts(lines, *_ranks(), version="byte_bpe_50k"))
+    some = idmaps.possible_rows(docs.select("doc_id", "source", "lang", "text"), revised)
+    lines = some.join(revised, "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    new = written(token_rollup.token_counts(lines, *_ranks(), version="byte_bpe_50k"), "token-counts")
+    deltas = token_rollup.revisions(counts.join(revised, "doc_id", "left_semi"), new)
     for _ in range(2):
         store.commit("revisions", deltas)
     return store.totals()
