@@ -40,7 +40,7 @@ COUNTERS, FREQUENT = 65_536, 131_072
 #: Cells that count the shingles a task has seen, a byte each.
 CELLS = 1 << 24
 #: 64-bit words of a sketch.
-SKETCH = 8
+SKETCH = 32
 #: Bits of the map that keeps texts without candidates from being hashed and moved again.
 MAP_BITS = 1 << 22
 _WORDS = [f"s{k}" for k in range(SKETCH)]
