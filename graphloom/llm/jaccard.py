@@ -149,9 +149,10 @@ def _sketches_allow(left: str, right: str, num: int, den: int) -> Column:
 
 
 def _positions_allow(left: str, right: str, num: int, den: int) -> Column:
-    """What can still be common before, at and after a shared shingle reaches what the similarity asks for."""
+    """What can be common from a shared shingle on reaches what the similarity asks for. The first shared shingle of a
+    similar pair always passes, since nothing before it is common."""
     x, y = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
-    most = F.least(x("pos"), y("pos")) + F.least(x("size") - x("pos"), y("size") - y("pos"))
+    most = F.least(x("size") - x("pos"), y("size") - y("pos"))
     return most * (num + den) >= (x("size") + y("size")) * num
 
 
