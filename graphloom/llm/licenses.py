@@ -1,19 +1,23 @@
 """License scans by conditional compression.
 
-Lines with a cue (a word such as license or copyright) begin candidate blocks: the line itself, and the text from
-there as long as the longest template. A block is compressed alone and with each template as a raw zstandard
-dictionary; templates are ranked by the bytes saved. The best ones are confirmed by their exact wording: the words of
-the template that the block lacks and the words between them that it adds.
-
-Defined results: null and empty texts have no blocks; texts are scanned whole; equal findings of a document are listed
-once, in order of name; repeated rows are scanned alike; ties in bytes saved go to fewer differing words, then to the
-name. Rows without doc_id pass. Empty tables give empty results; other columns are not touched.
+Every cue (a word such as license or copyright) makes a window of words around it, before and after, across line ends
+and as far as the longest template can reach; windows that meet are one block. A template is confirmed in a block by
+its exact wording: the stretch of the block that takes the fewest words changed, added or missing, at most a share
+DIFFERING of the template's words. Names and versions of licenses (IDENTITY, _VERSION) must match: a template's own may
+not be missing, others may not be added. Confirmed templates are ranked by the bytes saved when the block is
+compressed with the template as a raw zstandard dictionary instead of alone.
+
+Defined results: null and empty texts have no blocks; texts are scanned whole; a license is listed once for a
+document, where it takes the fewest changes, then saves the most bytes, then comes first; findings are in order of
+name; versions 2 and 2.0 are the same; repeated rows are scanned alike. Rows without doc_id pass. Empty tables give
+empty results; other columns are not touched.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -42,14 +46,27 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 CUES = r"(?i)licen[cs]e|copyright|permission is hereby|public domain|spdx-"
-#: Templates confirmed by wording, from the best ranked; share of a template's words that may be lacking or added.
-RANKED, DIFFERING = 4, 0.0
-_WORD = re.compile(r"[\w.+-]*\w")
-_CUE = re.compile(CUES)
+#: Share of a template's words that may be changed, added or missing.
+DIFFERING = 0.0
+#: Words that tell licenses apart, besides versions.
+IDENTITY = frozenset("apache bsd cc by nc nd sa cc0 gnu lesser library affero mit mozilla".split())
+_WORD = re.compile(r"[^\W_]++(?:\.++[^\W_]++)*+")
+_VERSION = re.compile(r"v?\d{1,2}(?:\.\d+)*")
+# as the JVM reads it
+_CUE = re.compile(CUES, re.ASCII)
+
+
+def _plain(word: str) -> str:
+    return word.removesuffix(".0") if word[-2:] == ".0" and _VERSION.fullmatch(word) else word
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [_plain(w) for w in _WORD.findall(text.lower())]
+
+
+def strict(word: str) -> bool:
+    """Whether the word must match."""
+    return word in IDENTITY or _VERSION.fullmatch(word) is not None
 
 
 @functools.lru_cache(maxsize=1)
@@ -74,46 +91,91 @@ def wording(template: list[str], block: list[str]) -> tuple[int, int]:
     return len(template) - same, found[-1].b + found[-1].size - found[0].b - same
 
 
-def candidate_blocks(text: str) -> Iterator[tuple[int, list[str]]]:
-    """(character offset, words) of the blocks of a text."""
+def nearest(template: list[str], block: list[str]) -> tuple[int, int, int, int] | None:
+    """(words changed, words lacking, words added, first word) of the block's stretch nearest to the template; None beyond the share allowed."""
+    limit = int(DIFFERING * len(template))
+    held = set(block)
+    fixed = [strict(w) for w in template]
+    if len(set(template) - held) > limit or any(f and w not in held for w, f in zip(template, fixed)):
+        return None
+    # only the surroundings of the rarest word that must match
+    must = [w for w, f in zip(template, fixed) if f]
+    reach = len(template) + limit
+    spans: list[list[int]] = []
+    for at in (i for i, w in enumerate(block) if w == min(must, key=block.count)) if must else range(0, len(block), reach):
+        if spans and at - reach <= spans[-1][1]:
+            spans[-1][1] = at + reach
+        else:
+            spans.append([max(0, at - reach), at + reach])
+    beyond = (limit + 1, 0, 0, 0)
+    best = beyond
+    for first, end in spans:
+        # column[i]: the first i words of the template against a stretch that ends here
+        column = [(0, 0, 0, first)]
+        for w, f in zip(template, fixed):
+            e, lacking, added, start = column[-1]
+            column.append(beyond if f or e >= limit else (e + 1, lacking + 1, added, start))
+        for j, word in enumerate(block[first:end], first):
+            free = not strict(word)
+            new = [(0, 0, 0, j + 1)]
+            for i, (w, f) in enumerate(zip(template, fixed)):
+                if w == word:
+                    got = column[i]
+                else:
+                    got = beyond
+                    e, lacking, added, start = column[i]
+                    if free and not f and e < limit:
+                        got = (e + 1, lacking + 1, added + 1, start)
+                    e, lacking, added, start = column[i + 1]
+                    if free and e < limit:
+                        got = min(got, (e + 1, lacking, added + 1, start))
+                    e, lacking, added, start = new[i]
+                    if not f and e < limit:
+                        got = min(got, (e + 1, lacking + 1, added, start))
+                new.append(got)
+            column = new
+            best = min(best, column[-1])
+    return best if best[0] <= limit else None
+
+
+def candidate_blocks(text: str) -> Iterator[tuple[list[int], list[str]]]:
+    """(character offsets, words) of the blocks of a text."""
+    found = list(_WORD.finditer(text))
+    starts = [m.start() for m in found]
     longest = max(len(own) for _, own, _ in _compressors()[1])
-    last = -1
+    reach = longest + int(DIFFERING * longest)
+    blocks: list[list[int]] = []
     for cue in _CUE.finditer(text):
-        at = text.rfind("\n", 0, cue.start()) + 1
-        if at == last:
-            continue
-        last = at
-        end = text.find("\n", cue.end())
-        end = len(text) if end < 0 else end
-        # a line of any length: the cue's surroundings, no longer than templates can be
-        first = max(at, cue.start() - 16 * longest)
-        line = words(text[first : min(end, cue.end() + 16 * longest)])
-        yield at, line
-        more = words(text[first : cue.end() + 16 * longest])
-        if len(more) > len(line):
-            yield at, more
-
-
-def ranked(block: list[str]) -> list[tuple[int, int, int, str]]:
-    """(bytes saved, words lacking, words added, name) of the templates confirmed best, best first."""
+        first, end = max(0, bisect_left(starts, cue.start()) - reach), bisect_left(starts, cue.end()) + reach
+        if blocks and first <= blocks[-1][1]:
+            blocks[-1][1] = end
+        else:
+            blocks.append([first, end])
+    for first, end in blocks:
+        yield starts[first:end], [_plain(m.group().lower()) for m in found[first:end]]
+
+
+def ranked(block: list[str]) -> list[tuple[int, int, int, int, int, str]]:
+    """(bytes saved, words changed, lacking, added, first word, name) of the templates confirmed, best first."""
     plain, templates = _compressors()
+    near = [(got, name, c) for name, own, c in templates if (got := nearest(own, block))]
+    if not near:
+        return []
     raw = " ".join(block).encode()
     alone = len(plain.compress(raw))
-    saved = sorted(((alone - len(c.compress(raw)), name, own) for name, own, c in templates), key=lambda x: (-x[0], x[1]))
-    out = [(gain, *wording(own, block), name) for gain, name, own in saved[:RANKED] if gain > 0]
-    return sorted(out, key=lambda x: (-x[0], x[1] + x[2], x[3]))
+    return sorted(((alone - len(c.compress(raw)), *got, name) for got, name, c in near), key=lambda x: (-x[0], x[1], x[5]))
 
 
 def scan(text: str) -> tuple[int, list[tuple[str, int, int, int, int]]]:
     """Number of blocks, and (license, offset, bytes saved, words lacking, words added) of those confirmed."""
-    found: dict[str, tuple[str, int, int, int, int]] = {}
+    found: dict[str, tuple[tuple[int, int, int], tuple[str, int, int, int, int]]] = {}
     n = 0
-    for at, block in candidate_blocks(text):
+    for starts, block in candidate_blocks(text):
         n += 1
-        for gain, lacking, added, name in ranked(block):
-            if lacking + added <= DIFFERING * len(block):
-                found.setdefault(name, (name, at, gain, lacking, added))
-    return n, sorted(found.values())
+        for gain, edits, lacking, added, first, name in ranked(block):
+            this = (edits, -gain, starts[first]), (name, starts[first], gain, lacking, added)
+            found[name] = min(found.get(name, this), this)
+    return n, sorted(f for _, f in found.values())
 
 
 def license_findings(docs: DataFrame) -> DataFrame:

@@ -313,6 +313,20 @@ def test_every_template_finds_itself():
     assert licenses.wording(["a", "b", "c"], ["x", "a", "q", "c"]) == (1, 1)
 
 
+def names(text):
+    return [f[0] for f in licenses.scan(text)[1]]
+
+
+def test_notices_anywhere_in_a_line():
+    far = "our license page " + "word " * 2000
+    assert names(far + "Released under the MIT License. " + far + "Licensed under CC BY-SA 4.0. " + far) == ["CC-BY-SA-4.0", "MIT"]
+    six = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "GPL-3.0", "MPL-2.0"]
+    assert names(" ".join(licenses.TEMPLATES[n] for n in six)) == sorted(six)
+    every = " ".join(licenses.TEMPLATES.values())
+    assert names(every) == sorted(licenses.TEMPLATES)
+    assert names("." * 50_000 + " license " + "-" * 50_000) == []
+
+
 # --- 9
 
 
