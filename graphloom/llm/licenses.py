@@ -45,9 +45,10 @@ TEMPLATES = {
     "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-CUES = r"(?i)licen[cs]e|copyright|permission is hereby|public domain|spdx-"
+# between the words of a cue may be line ends and marks of comments
+CUES = r"(?i)licen[cs]e|copyright|permission\W+is\W+hereby|public\W+domain|spdx-"
 #: Share of a template's words that may be changed, added or missing.
-DIFFERING = 0.0
+DIFFERING = 0.2
 #: Words that tell licenses apart, besides versions.
 IDENTITY = frozenset("apache bsd cc by nc nd sa cc0 gnu lesser library affero mit mozilla".split())
 _WORD = re.compile(r"[^\W_]++(?:\.++[^\W_]++)*+")

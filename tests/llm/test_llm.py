@@ -327,6 +327,27 @@ def test_notices_anywhere_in_a_line():
     assert names("." * 50_000 + " license " + "-" * 50_000) == []
 
 
+def test_wrapped_and_differing_notices(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    assert names(mpl) == ["MPL-2.0"]
+    assert names("intro\n// Released under the MIT\n// License.") == ["MIT"]
+    assert names("Dedicated to the public\n * domain under CC0 1.0.") == ["CC0-1.0"]
+    for text, lacking, added in [("Released under a MIT License", 1, 1), ("Released under MIT License", 1, 0), ("Released under the nice MIT License", 0, 1)]:
+        assert [(f[0], f[3], f[4]) for f in licenses.scan(text)[1]] == [("MIT", lacking, added)]
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0"]
+    assert names("This work is licensed under the GNU General Public License, version 2.0") == ["GPL-2.0"]
+    for other in ("Licensed under CC BY-NC-SA 4.0, a license", "Licensed under CC BY 3.0, a license", "Released under the license", "Licensed under the BSD 4-Clause License."):
+        assert names(other) == []
+    d = spark.createDataFrame([(1, mpl), (2, "Dedicated to the public\n * domain under CC0 1.0.")], "doc_id long, text string")
+    assert [(r["licenses"], r["findings"][0]["lacking"]) for r in licenses.license_findings(d).orderBy("doc_id").collect()] == [(["MPL-2.0"], 0), (["CC0-1.0"], 0)]
+
+
+def test_license_query_returns_differences(spark):
+    from graphloom.llm import queries
+
+    assert "findings" in queries.op8_license_scan(spark, SF).columns
+
+
 # --- 9
 
 
