@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .hashing import NOT_WORD, Words, raw_text, row_blocks
 
 BITS = 22
-#: Labelled rows that the weights are fitted on, at most, toxic ones and others (those of the lowest hashes of their ids).
-TOXIC_ROWS, OTHER_ROWS = 4_000, 8_000
+#: Labelled rows that the weights are fitted on, at most: those of the lowest hashes of their ids, whatever the label,
+#: so that tables of any size teach the same share of toxic texts.
+SAMPLE_ROWS = 12_000
 THRESHOLD = 0.3
 STEM_BYTES = 4
 #: Weights that go to every task, at most: 8 bytes each.
@@ -100,14 +101,13 @@ def _trained(batches: Iterator[pa.RecordBatch], epochs: int) -> Iterator[pa.Reco
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, epochs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
-    """Slots, weights and the share of toxic labels. One task fits at most TOXIC_ROWS + OTHER_ROWS texts."""
+    """Slots, weights and the share of toxic labels. One task fits at most SAMPLE_ROWS texts."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("_label")).where("doc_id is not null and _label is not null").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     counts = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if len(counts) < 2:
         return np.empty(0, np.int64), np.empty(0), share
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = usable.where("_label = 1").orderBy(*order).limit(TOXIC_ROWS).unionByName(usable.where("_label = 0").orderBy(*order).limit(OTHER_ROWS))
+    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text").alias("key"), "_label", "text")
     got = rows.coalesce(1).mapInArrow(lambda it: _trained(it, epochs), "slot long, weight double").toPandas()
     return got["slot"].to_numpy(), got["weight"].to_numpy(), share

@@ -90,6 +90,25 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.clean_documents(docs, model).count() == 452
 
 
+def test_toxicity_scores_alike_at_any_size(spark):
+    rng = random.Random(2)
+    plain = [f"word{i}" for i in range(20)]
+
+    def row(i):
+        bad = rng.random() < 0.12
+        # a word that half of its texts are toxic with
+        t = [rng.choice(plain) for _ in range(6)] + ["hm"] * (rng.random() < (0.6 if bad else 0.08)) + ["vile"] * (bad and rng.random() < 0.5)
+        rng.shuffle(t)
+        return i, " ".join(t), int(bad)
+
+    rows = spark.createDataFrame([row(i) for i in range(40_000)], "doc_id long, text string, toxic int").persist()
+    odd = rows.where("doc_id % 20 = 0")
+    few, many = (
+        toxicity.toxicity_scores(odd, toxicity.fit_toxicity(part, part.select("doc_id", "toxic"))).agg(F.avg("score")).first()[0] for part in (rows.where("doc_id < 12000"), rows)
+    )
+    assert abs(few - many) < 0.04, (few, many)
+
+
 def test_toxicity_without_labels(docs, none):
     marks = none.select("doc_id", F.lit(1).alias("toxic"))
     model = toxicity.fit_toxicity(docs, marks)
