@@ -6,7 +6,8 @@ still open at a partition's end (or when the bound on open windows is reached) a
 windows; the last rest of a partition is cut at powers of two, which need no padding.
 
 Every partition packs on its own, so no key gathers rows, and a lost task packs the same rows again. Defined results:
-null and empty texts are the end id alone; documents of any length are cut; repeated rows are packed as documents of
+null and empty texts are the end id alone; added tokens of the vocabulary's JSON file have their own ids wherever a
+text holds them, as in the tokenizers library; documents of any length are cut; repeated rows are packed as documents of
 their own; an empty table gives no sequences.
 """
 
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -109,12 +112,21 @@ class SquareSums:
         return out
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of the JSON file beside the ranks; none without that file."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
-    """One tokenizer for each worker."""
+    """One tokenizer for each worker; its encode_ordinary reads added tokens as text."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens(path))
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 2048) -> DataFrame:
@@ -124,7 +136,8 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 2048) -
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path, pattern).encode_ordinary
+        own = tokenizer(path, pattern)
+        added = sorted(own.special_tokens_set)
         windows, next_id = SquareSums(size), TaskContext.get().partitionId() << 40
 
         def rows() -> pa.RecordBatch:
@@ -145,7 +158,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 2048) -
             keys = iter(batch.column(0).to_pylist())
             for texts in small_slices(batch.column(1)):
                 for text in texts:
-                    ids = encode(text)
+                    ids = own.encode(text, allowed_special="all") if any(t in text for t in added) else own.encode_ordinary(text)
                     ids.append(END_ID)
                     windows.add(next(keys), np.frombuffer(array("I", ids), np.uint32).astype("<u4", copy=False))
             yield rows()

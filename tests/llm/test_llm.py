@@ -227,6 +227,29 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, RANKS, PATTERN).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x  {end}\n\n {end} y", f"<|endoftext {end[:-1]} it's", f"{end[:5]}{end}'s"]
+    texts += ["".join(rng.choice(["a", " ", "  ", "\n", "é", "12", "'s", end, "<|", "|>", "漢"]) for _ in range(20)) for _ in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    at = defaultdict(list)
+    for r in packing.pack_documents(d, RANKS, PATTERN, 16).collect():
+        at[r["doc_id"]].append(r)
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for i, x in enumerate(texts):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 1]
+        for r in at[i]:
+            part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
+            assert (r["doc_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(part.tobytes())), x
+        assert sum(r["length"] for r in at[i]) == len(ids)
+
+
 def test_placement_is_the_best_by_squares():
     rng = random.Random(2)
     w = packing.SquareSums(20)
