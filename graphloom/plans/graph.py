@@ -216,6 +216,19 @@ def stamp_importance(g: Lens) -> DataFrame:
     return own.withColumn("properties", scores.stamp(F.col("properties"), "importance", F.col("rank"))).select("node_id", "name", F.try_element_at("properties", F.lit("importance")).alias("importance"))
 
 
+@query()
+def pagerank_all(g: Lens) -> DataFrame:
+    """Thirty rounds over all nodes and edges, as the reference ranks; a brute-force test instead of SQL."""
+    return graphs.pagerank(g.nodes(), g.edges())
+
+
+@query()
+def stamp_importance_all(g: Lens) -> DataFrame:
+    """The same ranks on all canonical nodes."""
+    own = g.nodes().where("canonical_node_id is null").join(graphs.pagerank(g.nodes(), g.edges()), "node_id")
+    return own.withColumn("properties", scores.stamp(F.col("properties"), "importance", F.col("rank"))).select("node_id", "name", F.try_element_at("properties", F.lit("importance")).alias("importance"))
+
+
 # --- similarity joins
 
 _PART_TRI = """, dn AS (SELECT DISTINCT p_name AS name FROM part), tg AS (SELECT name, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i::INT, 3))))) AS g FROM dn),

@@ -45,6 +45,29 @@ def test_scores(spark):
     assert one(d.select(scores.epoch_ts(f("x")))) is None
 
 
+def test_pagerank_of_the_whole_graph(spark):
+    from graphloom.lens import Lens
+    from graphloom.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    g = Lens(spark, sf)
+    ids = {r[0] for r in g.nodes().select("node_id").collect()}
+    ends = [tuple(r) for r in g.edges().select("source_id", "target_id").collect() if r[0] in ids and r[1] in ids]
+    out = {}
+    for a, _ in ends:
+        out[a] = out.get(a, 0) + 1
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(30):
+        base = (0.15 + 0.85 * sum(r for i, r in rank.items() if i not in out)) / len(ids)
+        after = dict.fromkeys(ids, base)
+        for a, b in ends:
+            after[b] += 0.85 * rank[a] / out[a]
+        rank = after
+    most = max(rank.values())
+    got = {r["node_id"]: r["rank"] for r in QUERIES["pagerank_all"](spark, sf).collect()}
+    assert got.keys() == ids and all(abs(got[i] - rank[i] / most) < 1.1e-4 for i in ids)
+
+
 def test_pagerank(spark):
     n = spark.createDataFrame([("a",), ("b",), ("hub",)], "node_id string")
     e = spark.createDataFrame([("a", "hub"), ("b", "hub"), ("hub", "a"), ("a", "nowhere")], "source_id string, target_id string")
