@@ -4,12 +4,17 @@
    shingles. The order decides only the cost, never the result.
 2. Every document becomes (size, digest of its set, its prefix in that order, a parity sketch). Equal sets are one
    node; nodes of identical prefix and size are one group, and only groups post their prefixes.
-3. Neighbours in the posting lists, and neighbours inside groups, are verified first; what they link is joined into
-   components.
-4. Then every pair of groups that shares a prefix shingle and could still join two components is expanded to members,
+3. Every group first meets the hubs of its posting lists: of those of about its size the one whose prefix reaches the
+   shared shingle soonest, which has the fewest shingles of its own and so is the nearest to all others. Members meet
+   the head of their group. What is verified is joined into components; so a large group of near copies costs a pair
+   or two for each row and list.
+4. Members outside the largest component of a list then meet that component's hub, in the same way.
+5. Last, every pair of groups that shares a prefix shingle and could still join two components is expanded to members,
    filtered by size, position and sketch, and verified on whole sets. So no link between components is lost, and
    pairs inside a component, which can't change it, aren't made.
 
+Lists are counted and hubs chosen by aggregates, which are combined before they move; no window or array gathers a list.
+
 A parity sketch has one bit for each value of a hash of shingles, set if an odd number of them fall on it: the bits in
 which two sketches differ never outnumber the shingles in which the sets differ, so no true pair fails the filter. One
 sketch of fixed width filters inside the join; one of a bit a shingle filters the pairs that come out of it, before
@@ -24,11 +29,12 @@ columns are not touched.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -202,6 +208,35 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> D
     return both.where(common * (num + den) >= (F.size("x") + F.size("y")) * num).select("a", "b")
 
 
+def _size_class(size: Column, num: int, den: int) -> Column:
+    """Similar sizes are of one class or of neighbouring ones; a hair wider than the ratio, so that rounding is safe."""
+    return F.floor(F.log(size.cast("double")) / (math.log(den / num) * (1 + 1e-9))).cast("int")
+
+
+def shared_lists(posts: DataFrame, num: int, den: int) -> DataFrame:
+    """The posts (shingle, gid, size, pos) whose list has others of about their size, with ``cls`` and up to three hubs."""
+    lists = posts.join(posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"), "shingle", "left_semi")
+    lists = written(lists.withColumn("cls", _size_class(F.col("size"), num, den)), "lists")
+    own = lists.groupBy("shingle", "cls").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "size", "gid")).alias("hub"))
+    about = own.select("shingle", "n", "hub", F.explode(F.array(*(F.col("cls") + k for k in (-1, 0, 1)))).alias("cls"))
+    about = about.groupBy("shingle", "cls").agg(F.sum("n").alias("n"), F.collect_set("hub").alias("hubs")).where("n > 1").drop("n")
+    return lists.join(about, ["shingle", "cls"])
+
+
+def _likely_members(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sizes and sketches of fixed width allow the similarity."""
+    side = members.select("node", "size", *_WORDS)
+    both = pairs.join(side.alias("x"), F.col("a") == F.col("x.node")).join(side.alias("y"), F.col("b") == F.col("y.node"))
+    return both.where(_similar_sizes(F.col("x.size"), F.col("y.size"), num, den) & _sketches_allow("x", "y", num, den)).select("a", "b")
+
+
+def _with_parts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with their component so far and its size."""
+    parts = written(components(links), "parts")
+    parts = parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("part_size")), "component")
+    return members.join(parts, "node", "left").select("gid", "node", "size", "n_members", F.coalesce("component", "node").alias("part"), F.coalesce("part_size", F.lit(1)).alias("part_size"), *_WORDS)
+
+
 def similar_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
@@ -215,42 +250,43 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -
     groups = nodes.groupBy(*_GROUP).agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("n_members"))
     members = written(nodes.drop(*_DIGEST).join(groups, _GROUP).drop(*_GROUP), "members")
 
-    # neighbours in posting lists and in groups
+    def check(pairs: DataFrame) -> DataFrame:
+        likely_pairs = likely(written(pairs, "pairs"), signed, num, den)
+        return written(verified(docs, written(likely_pairs, "likely"), n, num, den), "links-found")
+
+    # hubs of posting lists, heads of groups
     heads = members.where("node = gid").select(F.col("gid").alias("doc_id"))
     posts = some.select("doc_id", "size", "prefix").join(heads, "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), "size", F.posexplode("prefix").alias("pos", "shingle"))
-    in_list = Window.partitionBy("shingle").orderBy("size", "gid")
-    near = posts.select("*", F.lag(F.struct("gid", "size", "pos")).over(in_list).alias("q"), F.lead("size").over(in_list).alias("next"))
-    # lists are in order of size: who is too far from both neighbours is too far from all
-    near = near.where((F.col("q.size") * den >= F.col("size") * num) | (F.col("size") * den >= F.col("next") * num)).drop("next")
-    lists = written(near, "lists")
-    own = members.where("n_members > 1").select("gid", "node", F.lag("node").over(Window.partitionBy("gid").orderBy("node")).alias("last"))
-    p = lists.select(F.struct("gid", "size", "pos").alias("p"), "q").where("q is not null")
+    lists = written(shared_lists(posts, num, den), "lists-with-hubs")
+    p = lists.select(F.struct("gid", "size", "pos").alias("p"), F.explode("hubs").alias("q")).where("p.gid <> q.gid")
     p = p.where(_similar_sizes(F.col("p.size"), F.col("q.size"), num, den) & _positions_allow("p", "q", num, den))
-    first = p.select(F.col("q.gid").alias("a"), F.col("p.gid").alias("b")).distinct().unionByName(own.where("last is not null").select(F.col("last").alias("a"), F.col("node").alias("b")))
-    side = members.select("node", "size", *_WORDS)
-    x, y = side.alias("x"), side.alias("y")
-    first = first.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_sketches_allow("x", "y", num, den)).select("a", "b")
-    links = written(verified(docs, written(likely(written(first, "near"), signed, num, den), "first"), n, num, den), "first-links")
-    parts = written(components(links), "parts")
+    first = p.select(F.least("p.gid", "q.gid").alias("a"), F.greatest("p.gid", "q.gid").alias("b")).distinct()
+    first = first.unionByName(members.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b")))
+    links = check(_likely_members(first, members, num, den))
+    members = written(_with_parts(members, links), "members")
+
+    # what is outside the largest component of a list meets the hub of that component
+    lists = lists.select("shingle", "cls", "gid", "pos").withColumn("own", F.lit(False))
+    alone = members.where("n_members > 1").select("gid").distinct().select(F.xxhash64("gid").alias("shingle"), F.lit(0).alias("cls"), "gid", F.lit(0).alias("pos"), F.lit(True).alias("own"))
+    lists = written(lists.unionByName(alone), "all-lists")
+    top = _entries(lists, members)
+    hubs = top.where("part = top").groupBy("shingle", "own", "cls").agg(F.min(F.struct("pos", "size", "node")).alias("q"))
+    others = top.where("part <> top").select("shingle", "own", "cls", F.struct("node", "size", "pos").alias("p"))
+    near = hubs.select("shingle", "own", "q", F.explode(F.array(*(F.col("cls") + k for k in (-1, 0, 1)))).alias("cls"))
+    p = others.join(near, ["shingle", "own", "cls"]).where(_similar_sizes(F.col("p.size"), F.col("q.size"), num, den) & _positions_allow("p", "q", num, den))
+    second = p.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+    more = check(_likely_members(second, members, num, den))
+    links = links.unionByName(more)
+    members = written(_with_parts(members.drop("part", "part_size"), links), "members")
 
     # pairs that could still join two components
-    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("part_size"))
-    parts = parts.join(sizes, "component")
-    members = written(members.join(parts, "node", "left").select("gid", "node", "size", "n_members", F.coalesce("component", "node").alias("part"), F.coalesce("part_size", F.lit(1)).alias("part_size"), *_WORDS), "members")
-    spread = members.select("gid", "part", "part_size").distinct()
-    lists = lists.select("shingle", "gid", "pos").withColumn("own", F.lit(False))
-    alone = members.where("n_members > 1").select("gid").distinct().select(F.xxhash64("gid").alias("shingle"), "gid", F.lit(0).alias("pos"), F.lit(True).alias("own"))
-    lists = lists.unionByName(alone)
-    mixed = lists.join(spread, "gid").groupBy("shingle", "own").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.struct("part_size", "part")).alias("top")).where("low <> high").select("shingle", "own", F.col("top.part").alias("top"))
-    entries = written(lists.join(mixed, ["shingle", "own"]).join(members.drop("n_members", "part_size"), "gid"), "entries")
+    entries = written(_entries(lists, members).join(members.select("node", *_WORDS), "node"), "entries")
     x, y = entries.where("part <> top").alias("x"), entries.alias("y")
     meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.own") == F.col("y.own")) & (F.col("x.part") != F.col("y.part"))
     meet &= (F.col("y.part") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
     meet &= _similar_sizes(F.col("x.size"), F.col("y.size"), num, den) & _positions_allow("x", "y", num, den) & _sketches_allow("x", "y", num, den)
-    apart = x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    second = written(likely(written(apart, "apart"), signed, num, den), "second")
-    links = links.unionByName(verified(docs, second, n, num, den))
-    found = written(components(links), "components")
+    last = x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    found = written(components(links.unionByName(check(last))), "components")
 
     classes = nodes.select(*_DIGEST, "node").join(found, "node", "left").select(*_DIGEST, F.coalesce("component", "node").alias("component"))
     rows = signed.where("size > 0").select("doc_id", "size", *_DIGEST).join(classes, _DIGEST, "left").select("doc_id", "size", "component")
@@ -258,8 +294,17 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -
     return rows.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _entries(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """Lists of several components, expanded to members: shingle, own, cls, gid, pos, node, size, part, and ``top``, the
+    largest component of the list."""
+    spread = members.select("gid", "part", "part_size").distinct()
+    mixed = lists.join(spread, "gid").groupBy("shingle", "own").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.struct("part_size", "part")).alias("top"))
+    mixed = mixed.where("low <> high").select("shingle", "own", F.col("top.part").alias("top"))
+    return lists.join(mixed, ["shingle", "own"]).join(members.select("gid", "node", "size", "part"), "gid")
+
+
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs`` without those that are linked, over any number of steps, to a smaller doc_id."""
     found = similar_documents(docs, n, num, den)
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti")
