@@ -2,12 +2,12 @@
 
 Features of a text are the sets of its words, its words cut to four bytes (a light stem), its word pairs and its
 pairs with one or two words between, hashed into 2 ** BITS slots. Per-coordinate learning rates and an L1 penalty
-leave few non-zero weights, which go to every task.
+leave few non-zero weights, which go to every task: 12 bytes each, of at most SAMPLE_ROWS texts and 2 ** BITS slots.
 
 Labels are taken only from rows whose crc32 of the id (as text) modulo 4 is not 2. Defined results: null texts,
 empty ones and those without a word score the share of toxic labels; texts are read whole; repeated rows score alike; without
-labels of both kinds every score is the share of toxic labels (0 without any). Label rows with nulls are left out.
-Columns of the input pass through untouched; empty tables give empty results.
+labels of both kinds every score is the share of toxic labels (0 without any). Label rows with nulls are left out; of
+several labels of an id the highest counts, of several texts of a labelled id the first in order is learned. Columns of the input pass through untouched; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .hashing import NOT_WORD, Words, raw_text, row_blocks
 
@@ -28,8 +29,6 @@ BITS = 22
 SAMPLE_ROWS = 12_000
 THRESHOLD = 0.3
 STEM_BYTES = 4
-#: Weights that go to every task, at most: 8 bytes each.
-MOST_WEIGHTS = 500_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -78,17 +77,24 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def _trained(batches: Iterator[pa.RecordBatch], epochs: int) -> Iterator[pa.RecordBatch]:
-    """Reads a bounded sample; its rows come in an order that hashes of ids fix."""
-    rows: list[tuple[int, np.ndarray, int]] = []
+def _slot_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, label and text to key, label and the distinct slots."""
     for batch in batches:
-        keys, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         data, offsets = raw_text(batch.column(2))
         for a, b in row_blocks(offsets):
             slots, row = _features(data, offsets[a : b + 1])
-            order = np.argsort(row, kind="stable")
-            cut = np.searchsorted(row[order], np.arange(b - a + 1))
-            rows += [(keys[a + i], np.unique(slots[order[cut[i] : cut[i + 1]]]).astype(np.int32), labels[a + i]) for i in range(b - a)]
+            own = np.unique(row * np.int64(1 << BITS) + slots)
+            cut = np.searchsorted(own >> BITS, np.arange(b - a + 1)).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((own & ((1 << BITS) - 1)).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), sets], ["key", "label", "slots"])
+
+
+def _trained(batches: Iterator[pa.RecordBatch], epochs: int) -> Iterator[pa.RecordBatch]:
+    """Weights of a bounded sample, learned in an order that hashes of ids fix."""
+    rows: list[tuple[int, np.ndarray, int]] = []
+    for batch in batches:
+        cut, slots = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+        rows += [(key, slots[cut[i] : cut[i + 1]].copy(), label) for i, (key, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))]
     rows.sort(key=lambda x: x[0])
     model = Ftrl()
     for _ in range(epochs):
@@ -96,35 +102,39 @@ def _trained(batches: Iterator[pa.RecordBatch], epochs: int) -> Iterator[pa.Reco
             model.learn(slots.astype(np.int64), label)
     w = model.weights()
     at = np.flatnonzero(w)
-    at = np.sort(at[np.argsort(-np.abs(w[at]), kind="stable")[:MOST_WEIGHTS]])
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], ["slot", "weight"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, epochs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
-    """Slots, weights and the share of toxic labels. One task fits at most SAMPLE_ROWS texts."""
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("_label")).where("doc_id is not null and _label is not null").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+def fit_toxicity(docs: DataFrame, labels: DataFrame, epochs: int = 3, sample: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots, weights and the share of toxic labels.
+
+    All tasks look for the sampled rows and turn them into slots; only those meet in the one task that learns.
+    """
+    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("_label")).where("doc_id is not null and _label is not null").where(~held_out(F.col("doc_id")))
+    usable = usable.groupBy("doc_id").agg(F.max("_label").alias("_label"))
     counts = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if len(counts) < 2:
         return np.empty(0, np.int64), np.empty(0), share
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text").alias("key"), "_label", "text")
-    got = rows.coalesce(1).mapInArrow(lambda it: _trained(it, epochs), "slot long, weight double").toPandas()
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sets = rows.select(F.xxhash64("doc_id", "text").alias("key"), F.col("_label").alias("label"), "text").mapInArrow(_slot_sets, "key long, label int, slots array<int>")
+    got = sets.repartition(1).mapInArrow(lambda it: _trained(it, epochs), "slot long, weight double").toPandas()
     return got["slot"].to_numpy(), got["weight"].to_numpy(), share
 
 
-def score_column(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and the score of the whole text."""
+def score_column(spark: SparkSession, text: Column, model: tuple[np.ndarray, np.ndarray, float]) -> Column:
+    """The score of the whole text; only the text goes to Python."""
     slots, weights, share = model
-    shared = docs.sparkSession.sparkContext.broadcast((slots, weights.astype(np.float32)))
+    shared = spark.sparkContext.broadcast((slots, weights.astype(np.float32)))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         slots, weights = shared.value
         table = np.zeros((1 << BITS) + 1, np.float32)
         table[slots] = weights
         for batch in batches:
-            k = batch.schema.get_field_index("_text")
-            data, offsets = raw_text(batch.column(k))
+            data, offsets = raw_text(batch)
             out = []
             for a, b in row_blocks(offsets):
                 at, row = _features(data, offsets[a : b + 1])
@@ -133,20 +143,17 @@ def score_column(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], k
                 logit = table[-1] + np.bincount(pairs >> BITS, table[pairs & ((1 << BITS) - 1)], b - a)
                 known = (np.bincount(row, minlength=b - a) > 0) & (len(slots) > 0)
                 out.append(np.where(known, 1 / (1 + np.exp(-np.clip(logit, -35, 35))), share))
-            score = pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != k), score], [*(f.name for i, f in enumerate(batch.schema) if i != k), "_score"])
+            yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    return rows.mapInArrow(scored, rows.drop("_text").schema.add("_score", "double"))
+    return score(text)
 
 
 def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    rows = score_column(docs, model, ["doc_id"])
-    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    rows = docs.select("doc_id", score_column(docs.sparkSession, F.col("text"), model).alias("score"))
+    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns as they came; nothing is shuffled."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
-    return score_column(packed, model, ["_row"]).where(F.col("_score") < THRESHOLD).select("_row.*")
+    return docs.where(score_column(docs.sparkSession, F.col("text"), model) < THRESHOLD)
