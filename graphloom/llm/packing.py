@@ -1,9 +1,13 @@
 """Sum-of-squares online packing of token streams into windows.
 
 An array counts the partly filled windows of every fill level. A document's last, shorter piece goes to the window
-whose change keeps the sum of the squared counts smallest; longer documents first fill windows of their own. Windows
-still open at a partition's end (or when the bound on open windows is reached) are cut anew, in order, into full
-windows; the last rest of a partition is cut at powers of two, which need no padding.
+whose change keeps the sum of the squared counts smallest; longer documents first fill windows of their own. A level
+holds at most AT_LEVEL windows, always: a piece that would make one more fills what is left of the fullest window
+instead, and its rest is placed in turn. So memory is bounded by the levels, whatever the texts.
+
+At a partition's end the emptiest window is taken apart, again and again: its pieces close the fullest windows, cut to
+what these have left. So windows stay as they were placed but for the piece that closes them. The pieces of the last
+one are cut at powers of two, which need no padding.
 
 Every partition packs on its own, so no key gathers rows, and a lost task packs the same rows again. Defined results:
 null and empty texts are the end id alone; added tokens of the vocabulary's JSON file have their own ids wherever a
@@ -30,8 +34,8 @@ from pyspark.sql import DataFrame
 from .bpe import small_slices
 
 END_ID = 1
-#: Windows open at a time, at most: their ids stay in memory.
-MOST_OPEN = 8192
+#: Windows of one fill level, at most: with 2048 levels their ids take some 130 MB at the very worst.
+AT_LEVEL = 16
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: row, start, ids, doc_tokens
@@ -45,7 +49,6 @@ class SquareSums:
         self.size = size
         self.counts = np.zeros(size + 1, np.int64)
         self.open: list[list[list[Piece]]] = [[] for _ in range(size + 1)]
-        self.n_open = 0
         self.full: list[list[Piece]] = []
 
     def add(self, doc: int, ids: np.ndarray) -> None:
@@ -56,56 +59,69 @@ class SquareSums:
             self._place((doc, whole * self.size, ids[whole * self.size :], total))
 
     def _place(self, piece: Piece) -> None:
-        n = len(piece[2])
-        c = self.counts
-        # moving a window from level h to h + n changes the sum by 1 - 2 c[h] and, unless full there, by 1 + 2 c[h + n]
-        change = 2 * c[n:] + 1
-        change[-1] = 0
-        change[1:] += np.where(c[1 : len(c) - n] > 0, 1 - 2 * c[1 : len(c) - n], np.int64(1) << 40)
-        # the fullest of equal levels
-        level = len(change) - 1 - int(np.argmin(change[::-1]))
-        if level:
-            window = self.open[level].pop()
-            c[level] -= 1
-            self.n_open -= 1
-        else:
-            window = []
-        window.append(piece)
-        if level + n == self.size:
+        c, never = self.counts, np.int64(1) << 40
+        rest: Piece | None = piece
+        while rest:
+            n = len(rest[2])
+            # moving a window from level h to h + n changes the sum by 1 - 2 c[h] and, unless full there, by 1 + 2 c[h + n]
+            change = np.where(c[n:] < AT_LEVEL, 2 * c[n:] + 1, never)
+            change[-1] = 0
+            change[1:] += np.where(c[1 : len(c) - n] > 0, 1 - 2 * c[1 : len(c) - n], never)
+            # the fullest of equal levels
+            level = len(change) - 1 - int(np.argmin(change[::-1]))
+            if change[level] >= never // 2:
+                rest = self._fill(rest)
+                continue
+            window = self._take(level) if level else []
+            window.append(rest)
+            self._put(level + n, window)
+            return
+
+    def _take(self, level: int) -> list[Piece]:
+        self.counts[level] -= 1
+        return self.open[level].pop()
+
+    def _put(self, level: int, window: list[Piece]) -> None:
+        if level == self.size:
             self.full.append(window)
         else:
-            self.open[level + n].append(window)
-            c[level + n] += 1
-            self.n_open += 1
-            if self.n_open >= MOST_OPEN:
-                self.cut_anew()
-
-    def cut_anew(self, last: bool = False) -> None:
-        """Refill windows with what the open ones hold; a rest stays open or, at the end, is cut at powers of two."""
-        pieces = [p for level in reversed(self.open) for window in level for p in window]
-        self.open = [[] for _ in range(self.size + 1)]
-        self.counts[:] = 0
-        self.n_open = 0
-        left = sum(len(p[2]) for p in pieces)
-        sizes = [self.size] * (left // self.size)
-        rest = left % self.size
-        sizes += [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1] if last else [rest] * (rest > 0)
+            self.open[level].append(window)
+            self.counts[level] += 1
+
+    def _fill(self, piece: Piece) -> Piece | None:
+        """Put the piece, or as much of it as there is room, into the fullest window; what is left of it."""
+        doc, start, ids, total = piece
+        level = int(np.flatnonzero(self.counts)[-1])
+        room = min(self.size - level, len(ids))
+        window = self._take(level)
+        window.append((doc, start, ids[:room], total))
+        self._put(level + room, window)
+        return (doc, start + room, ids[room:], total) if room < len(ids) else None
+
+    def close(self) -> None:
+        """Close all windows, the emptiest ones' pieces going into the fullest ones."""
+        left: list[Piece] = []
+        while self.counts.any():
+            for piece in self._take(int(np.flatnonzero(self.counts)[0])):
+                rest: Piece | None = piece
+                while rest and self.counts.any():
+                    rest = self._fill(rest)
+                if rest:
+                    left.append(rest)
+        # less than a window is left: its ids at powers of two
+        total = sum(len(p[2]) for p in left)
         at, cut = 0, 0
-        for size in sizes:
-            window, room = [], size
+        for bit in reversed(range(total.bit_length())):
+            window, room = [], total & (1 << bit)
             while room:
-                doc, start, ids, total = pieces[at]
+                doc, start, ids, tokens = left[at]
                 take = min(room, len(ids) - cut)
-                window.append((doc, start + cut, ids[cut : cut + take], total))
+                window.append((doc, start + cut, ids[cut : cut + take], tokens))
                 room, cut = room - take, cut + take
                 if cut == len(ids):
                     at, cut = at + 1, 0
-            if size == self.size or last:
+            if window:
                 self.full.append(window)
-            else:
-                self.open[size].append(window)
-                self.counts[size] += 1
-                self.n_open += 1
 
     def drain(self) -> list[list[Piece]]:
         out, self.full = self.full, []
@@ -162,7 +178,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 2048) -
                     ids.append(END_ID)
                     windows.add(next(keys), np.frombuffer(array("I", ids), np.uint32).astype("<u4", copy=False))
             yield rows()
-        windows.cut_anew(last=True)
+        windows.close()
         yield rows()
 
     return docs.select("doc_id", "text").mapInArrow(packed, SCHEMA.format(docs.schema["doc_id"].dataType.simpleString()))
