@@ -8,7 +8,8 @@ come, and lets only the segments of oversized payloads meet again, in order, by
 
 Defined results: null payloads are empty; equal payloads are one response (largest page_id) and revisits; payloads
 shorter than ``least`` are always responses; null page_id counts as smallest; rows that repeat page_id and payload are
-records of their own, of the same kind. Payloads may be of any length and hold any bytes. Empty tables give empty
+the same record, stored (and read back) as often as they come. A record is named by its page_id and payload digest, so
+a revisit names the response that it refers to. Payloads may be of any length and hold any bytes. Empty tables give empty
 results; other columns are not touched. Line breaks in a url are written as blanks; a null url is left out.
 """
 
@@ -18,6 +19,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,7 +33,7 @@ CHUNK_BYTES = 64 << 10
 ARCHIVE_SEGMENTS = 2048
 END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS = "record string, page_id {}, record_type string, refers_to {}, chunk long, last boolean, payload_bytes long, declared string, payload_digest string, body binary"
+RECORDS = "record string, row string, page_id {}, record_type string, refers_to {}, chunk long, last boolean, payload_bytes long, declared string, payload_digest string, body binary"
 
 
 def _base32(digest: bytes) -> str:
@@ -46,12 +48,21 @@ def record_roles(pages: DataFrame, least: int = 0) -> DataFrame:
     return digests.join(most, "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha", "refers_to").distinct()
 
 
-def _segments(record: str, page_id: object, url: str | None, payload: memoryview, refers_to: object) -> Iterator[bytes]:
-    """WARC records of one payload."""
+def _record(page_id: object, digest: str) -> str:
+    """Name of the record of a page and payload; a page_id may be any text."""
+    return f"{'' if page_id is None else quote(str(page_id), safe='')}:{digest}"
+
+
+def _segments(row: str, page_id: object, url: str | None, payload: memoryview, refers_to: object) -> Iterator[bytes]:
+    """WARC records of one payload; ``row`` tells rows of the same record apart."""
     whole = hashlib.sha1()
     for at in range(0, len(payload), CHUNK_BYTES):
         whole.update(payload[at : at + CHUNK_BYTES])
-    head = [f"WARC-Date: {DATE}", f"X-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{_base32(whole.digest())}", "Content-Type: text/html; charset=utf-8"]
+    digest = _base32(whole.digest())
+    record = _record(page_id, digest)
+    head = [f"WARC-Date: {DATE}", f"X-Row: {row}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: text/html; charset=utf-8"]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {quote(str(page_id), safe='')}")
     if url is not None:
         head.append("WARC-Target-URI: " + " ".join(url.splitlines()))
 
@@ -60,7 +71,7 @@ def _segments(record: str, page_id: object, url: str | None, payload: memoryview
         return "\r\n".join(lines).encode() + END + body
 
     if refers_to is not None:
-        yield made("revisit", record, [*head, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>", f"X-Payload-Length: {len(payload)}"], b"")
+        yield made("revisit", record, [*head, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{_record(refers_to, digest)}>", f"X-Payload-Length: {len(payload)}"], b"")
         return
     if len(payload) <= CHUNK_BYTES:
         yield made("response", record, head, bytes(payload))
@@ -93,7 +104,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
             out, size = [], 0
             for i, key in enumerate(keys):
                 payload = memoryview(batch.column(2)[i].as_buffer())
-                for segment in _segments(f"{'' if key is None else key}/{part}-{n}", key, urls[i], payload, refers[i] if again[i] else None):
+                for segment in _segments(f"{part}-{n}", key, urls[i], payload, refers[i] if again[i] else None):
                     out.append(segment)
                     size += len(segment)
                     if size > 4 << 20:
@@ -157,7 +168,6 @@ def read_segments(spark: SparkSession, path: str, kind: str = "bigint") -> DataF
     """The chunk table of the archives under ``path``; only segments of oversized payloads carry their bytes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.name for f in schema]
         for batch in batches:
             for content in batch.column(0):
                 out, size = [], 0
@@ -173,8 +183,8 @@ def read_segments(spark: SparkSession, path: str, kind: str = "bigint") -> DataF
                     revisit = headers["WARC-Type"] == "revisit"
                     declared = headers["WARC-Payload-Digest"][5:]
                     out.append({
-                        "record": name, "page_id": headers["X-Page-ID"] or None, "record_type": "revisit" if revisit else "response",
-                        "refers_to": headers["WARC-Refers-To"][10:-1] if revisit else None, "chunk": segment, "last": "WARC-Segment-Total-Length" in headers,
+                        "record": name, "row": headers["X-Row"], "page_id": unquote(headers["X-Page-ID"]) if "X-Page-ID" in headers else None, "record_type": "revisit" if revisit else "response",
+                        "refers_to": unquote(headers["WARC-Refers-To"][10:-1].rpartition(":")[0]) if revisit else None, "chunk": segment, "last": "WARC-Segment-Total-Length" in headers,
                         "payload_bytes": int(headers["X-Payload-Length"]) if revisit else length, "declared": declared,
                         "payload_digest": declared if revisit else _base32(digest.digest()), "body": b"".join(parts) if segment else None,
                     })
@@ -184,9 +194,8 @@ def read_segments(spark: SparkSession, path: str, kind: str = "bigint") -> DataF
                         out, size = [], 0
                 yield pa.RecordBatch.from_pylist(out, pa.schema(schema))
         yield pa.RecordBatch.from_pylist([], pa.schema(schema))
-        assert names
 
-    schema = [pa.field(n, t) for n, t in (("record", pa.string()), ("page_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("chunk", pa.int64()), ("last", pa.bool_()), ("payload_bytes", pa.int64()), ("declared", pa.string()), ("payload_digest", pa.string()), ("body", pa.binary()))]
+    schema = [pa.field(n, t) for n, t in (("record", pa.string()), ("row", pa.string()), ("page_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("chunk", pa.int64()), ("last", pa.bool_()), ("payload_bytes", pa.int64()), ("declared", pa.string()), ("payload_digest", pa.string()), ("body", pa.binary()))]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     rows = files.mapInArrow(read, RECORDS.format("string", "string"))
     return rows.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
@@ -204,18 +213,18 @@ def read_archives(spark: SparkSession, path: str, kind: str = "bigint") -> DataF
         name, digest, length, expected = None, hashlib.sha1(), 0, 1
         for batch in batches:
             out = []
-            for record, page, chunk, last, declared, body in zip(*(batch.column(k) for k in range(6))):
-                if record.as_py() != name:
-                    name, digest, length, expected = record.as_py(), hashlib.sha1(), 0, 1
+            for record, row, page, chunk, last, declared, body in zip(*(batch.column(k) for k in range(7))):
+                if (record.as_py(), row.as_py()) != name:
+                    name, digest, length, expected = (record.as_py(), row.as_py()), hashlib.sha1(), 0, 1
                 digest.update(body.as_buffer())
                 length += len(body.as_buffer())
                 in_turn, expected = chunk.as_py() == expected, expected + 1
                 if last.as_py():
                     text = _base32(digest.digest())
                     out.append((page.as_py(), length, text, in_turn and text == declared.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, [batch.schema.field(1).type, pa.int64(), pa.string(), pa.bool_()])], ["page_id", "payload_bytes", "payload_digest", "intact"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, [batch.schema.field(2).type, pa.int64(), pa.string(), pa.bool_()])], ["page_id", "payload_bytes", "payload_digest", "intact"])
 
-    chunks = segments.where("chunk > 0").select("record", "page_id", "chunk", "last", "declared", "body").repartition("record").sortWithinPartitions("record", "chunk")
+    chunks = segments.where("chunk > 0").select("record", "row", "page_id", "chunk", "last", "declared", "body").repartition("record", "row").sortWithinPartitions("record", "row", "chunk")
     long = chunks.mapInArrow(joined, f"page_id {kind}, payload_bytes long, payload_digest string, intact boolean")
     long = long.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast(kind).alias("refers_to"), "intact")
     return whole.unionByName(long)
