@@ -6,7 +6,8 @@ new rule no longer helps. The list is emitted as one ordered Spark conditional e
 
 Defined results: null texts have no words, all counts are 0 and base_failed is true; texts of any length are counted
 whole; repeated rows are judged alike; without usable labels the list is empty and only the base rules decide.
-Labels with nulls are left out. Empty tables give empty results; columns of the input pass through untouched.
+Labels with nulls are left out; of several labels of an id the highest counts, of several texts of a labelled id the
+first in order is learned from. Empty tables give empty results; columns of the input pass through untouched.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .hashing import SPACE, Words, raw_text, row_blocks
 
@@ -62,9 +64,11 @@ def _duplicate_lines(text: bytes) -> tuple[int, int]:
     return len(lines) - len(set(lines)), len(lines)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@F.arrow_udf(StructType([StructField(k, LongType()) for k in BASE + MORE]))
+def _counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The counts of every whole text as one struct; only the text goes to Python."""
     for batch in batches:
-        data, offsets = raw_text(batch.column(batch.schema.get_field_index("text")))
+        data, offsets = raw_text(batch)
         cols: dict[str, list[np.ndarray]] = {k: [] for k in BASE + MORE}
         for a, b in row_blocks(offsets):
             words = Words(data, offsets[a : b + 1])
@@ -86,14 +90,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = np.array([_duplicate_lines(raw[i:j].tobytes()) for i, j in zip(off[:-1].tolist(), off[1:].tolist())], np.int64).reshape(-1, 2)
             cols["n_dup_lines"].append(lines[:, 0])
             cols["n_lines"].append(lines[:, 1])
-        arrays = [pa.array(np.concatenate(cols[k]) if cols[k] else np.empty(0, np.int64), pa.int64()) for k in BASE + MORE]
-        kept = [(f, c) for f, c in zip(batch.schema, batch.columns) if f.name != "text"]
-        yield pa.RecordBatch.from_arrays([c for _, c in kept] + arrays, [f.name for f, _ in kept] + list(BASE + MORE))
+        yield pa.StructArray.from_arrays([pa.array(np.concatenate(cols[k]) if cols[k] else np.empty(0, np.int64), pa.int64()) for k in BASE + MORE], list(BASE + MORE))
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every whole text."""
-    return docs.select("doc_id", "text").mapInArrow(_counted, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{k} long" for k in BASE + MORE)]))
+def text_statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id (and the columns ``more``) and the counts of every whole text."""
+    return docs.select("doc_id", *more, _counted("text").alias("_counts")).select("doc_id", *more, "_counts.*")
 
 
 def base_failed() -> Column:
@@ -137,7 +139,7 @@ def _grow(x: dict[str, np.ndarray], y: np.ndarray) -> list[Test]:
     """Add the threshold of the highest gain until only rows of the class are covered."""
     rule: list[Test] = []
     inside = np.ones(len(y), bool)
-    while len(rule) < 4:
+    while True:
         p0, n0 = int(y[inside].sum()), int((~y[inside]).sum())
         if not p0 or not n0:
             break
@@ -169,12 +171,13 @@ def _worth(rule: list[Test], x: dict[str, np.ndarray], y: np.ndarray) -> float:
     return (p - n) / (p + n) if p + n else -1.0
 
 
-def learn_rules(x: dict[str, np.ndarray], y: np.ndarray, seed: int = 7, precision: float = 0.9, most: int = 24) -> list[list[Test]]:
+def learn_rules(x: dict[str, np.ndarray], y: np.ndarray, seed: int = 7, precision: float = 0.9) -> list[list[Test]]:
     """Rules for the rows where ``y`` holds, in the order found. A rule is kept if, on rows it was not grown on, at
-    least ``precision`` of what it covers is of the class."""
+    least ``precision`` of what it covers is of the class; the first that isn't ends the list, as do fewer than three
+    rows of the class. Nothing else bounds the number of rules or of their conditions."""
     rng, rules = np.random.default_rng(seed), []
     left = np.arange(len(y))
-    while len(rules) < most and y[left].sum() >= 3:
+    while y[left].sum() >= 3:
         part = rng.permutation(left)
         grow, prune = part[: 2 * len(part) // 3], part[2 * len(part) // 3 :]
         rule = _grow({k: v[grow] for k, v in x.items()}, y[grow])
@@ -186,6 +189,8 @@ def learn_rules(x: dict[str, np.ndarray], y: np.ndarray, seed: int = 7, precisio
         if (max(worth) + 1) / 2 < precision:
             break
         hit = _covered(rule, {k: v[left] for k, v in x.items()}, len(left))
+        if not hit.any():
+            break
         rules.append(rule)
         left = left[~hit]
     return rules
@@ -201,10 +206,10 @@ def rules_column(rules: list[list[Test]]) -> Column:
 
 def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Test]]:
     """The decision list from at most ``sample`` labelled rows: their counts, a few numbers a row, are gathered."""
-    chosen = labels.select("doc_id", F.col("quality").alias("_quality")).where("doc_id is not null and _quality is not null").dropDuplicates(["doc_id"])
+    chosen = labels.select("doc_id", F.col("quality").cast("int").alias("_quality")).where("doc_id is not null and _quality is not null").groupBy("doc_id").agg(F.max("_quality").alias("_quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = text_statistics(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).where(~base_failed())
-    rows = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = text_statistics(rows, "_quality").where(~base_failed()).orderBy(F.xxhash64("doc_id"), "doc_id")
     got = rows.select("_quality", *(F.expr(sql).cast("double").alias(k) for k, sql in FEATURES.items())).toPandas()
     if not len(got):
         return []
@@ -218,17 +223,6 @@ def judged(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
 
 def passing(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they came; nothing is shuffled."""
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index("_text")
-            counts = next(_counted(iter([pa.RecordBatch.from_arrays([batch.column(k)], ["text"])])))
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != k), *counts.columns], [*(f.name for i, f in enumerate(batch.schema) if i != k), *counts.schema.names])
-
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    counted = docs.select(row, F.col("text").alias("_text"))
-    schema = counted.drop("_text").schema
-    for k in BASE + MORE:
-        schema = schema.add(k, "long")
-    counted = counted.mapInArrow(both, schema)
+    row = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
+    counted = docs.select(row.alias("_row"), _counted("text").alias("_counts")).select("_row", "_counts.*")
     return counted.where(~base_failed() & rules_column(rules)).select("_row.*")
