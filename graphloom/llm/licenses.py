@@ -1,11 +1,11 @@
 """License scans by conditional compression.
 
-Every cue (a word such as license or copyright) makes a window of words around it, before and after, across line ends
-and as far as the longest template can reach; windows that meet are one block. A template is confirmed in a block by
-its exact wording: the stretch of the block that takes the fewest words changed, added or missing, at most a share
-DIFFERING of the template's words. Names and versions of licenses (IDENTITY, _VERSION) must match: a template's own may
-not be missing, others may not be added. Confirmed templates are ranked by the bytes saved when the block is
-compressed with the template as a raw zstandard dictionary instead of alone.
+A template may differ from a text by at most a share DIFFERING of its words. So a text that has it has also most of the
+template's pairs of neighbouring words, close together: how many is known, and places that have fewer can be left out
+without losing any. What is left are candidate blocks of words, across line ends. A block is compressed alone and with
+each template as a raw zstandard dictionary; templates are ranked by the bytes that they save, and in that order
+confirmed by exact wording: the stretch of the block that takes the fewest words changed, added or missing. Names and
+versions of licenses (IDENTITY, _VERSION) must match: a template's own may not be missing, others may not be added.
 
 Defined results: null and empty texts have no blocks; texts are scanned whole; a license is listed once for a
 document, where it takes the fewest changes, then saves the most bytes, then comes first; findings are in order of
@@ -17,15 +17,17 @@ from __future__ import annotations
 
 import functools
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import Words, raw_text, row_blocks
+
 # Public short notices and headers of common licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -44,17 +46,33 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "SPDX-BSD-2-Clause": "SPDX-License-Identifier: BSD-2-Clause",
+    "SPDX-BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "SPDX-GPL-2.0": "SPDX-License-Identifier: GPL-2.0",
+    "SPDX-GPL-3.0": "SPDX-License-Identifier: GPL-3.0",
+    "SPDX-ISC": "SPDX-License-Identifier: ISC",
+    "SPDX-LGPL-3.0": "SPDX-License-Identifier: LGPL-3.0",
+    "SPDX-MIT": "SPDX-License-Identifier: MIT",
+    "SPDX-MPL-2.0": "SPDX-License-Identifier: MPL-2.0",
+    "BSD-opening": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-2-Clause-conditions": "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause-endorsement": "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MIT-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-# between the words of a cue may be line ends and marks of comments
-CUES = r"(?i)licen[cs]e|copyright|permission\W+is\W+hereby|public\W+domain|spdx-"
 #: Share of a template's words that may be changed, added or missing.
 DIFFERING = 0.2
+#: Pieces of an added word (a dotted name has several), at most.
+PIECES = 20
 #: Words that tell licenses apart, besides versions.
-IDENTITY = frozenset("apache bsd cc by nc nd sa cc0 gnu lesser library affero mit mozilla".split())
+IDENTITY = frozenset("apache bsd cc by nc nd sa cc0 gnu gpl lgpl agpl isc mpl lesser library affero mit mozilla".split())
 _WORD = re.compile(r"[^\W_]++(?:\.++[^\W_]++)*+")
 _VERSION = re.compile(r"v?\d{1,2}(?:\.\d+)*")
-# as the JVM reads it
-_CUE = re.compile(CUES, re.ASCII)
+#: Separators of the words that candidates are sought by: every byte that is no ASCII letter or digit.
+_PIECES = np.array([not (b < 128 and chr(b).isalnum()) for b in range(256)])
 
 
 def _plain(word: str) -> str:
@@ -83,6 +101,36 @@ def _compressors() -> tuple[zstandard.ZstdCompressor, list[tuple[str, list[str],
     return plain, out
 
 
+def _pieces(texts: list[str]) -> Words:
+    return Words(*raw_text(pa.array(texts, pa.string())), _PIECES, lower=True)
+
+
+@functools.lru_cache(maxsize=1)
+def _pairs() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of all templates' pairs of pieces; which template has which; how many pairs a text must share with
+    a template to have it; how far apart in pieces the first and the last of them can be.
+
+    A word changed, added or missing undoes the pairs that touch its pieces; so does the end of a version, which may
+    be written or not.
+    """
+    sets, need, reach = [], [], []
+    for _, own, _ in _compressors()[1]:
+        w = _pieces([" ".join(own)])
+        pairs = np.unique(w.grams(2)[: len(w.hashes) - 1])
+        sizes = sorted((len(_pieces([x]).hashes) for x in own), reverse=True)
+        edits = int(DIFFERING * len(own))
+        undone = sum(n + 1 for n in sizes[:edits]) + sum(_VERSION.fullmatch(x) is not None for x in own)
+        # a pair that the template has twice counts once, and may be undone at both
+        sets.append(pairs)
+        need.append(max(1, len(pairs) - undone))
+        reach.append(len(w.hashes) + PIECES * edits + 8)
+    every = np.unique(np.concatenate(sets))
+    has = np.zeros((len(sets), len(every)), bool)
+    for i, pairs in enumerate(sets):
+        has[i, np.searchsorted(every, pairs)] = True
+    return every, has, np.array(need), np.array(reach)
+
+
 def wording(template: list[str], block: list[str]) -> tuple[int, int]:
     """Words of the template that the block lacks, and words that it adds between those it has."""
     found = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
@@ -139,57 +187,101 @@ def nearest(template: list[str], block: list[str]) -> tuple[int, int, int, int]
     return best if best[0] <= limit else None
 
 
-def candidate_blocks(text: str) -> Iterator[tuple[list[int], list[str]]]:
-    """(character offsets, words) of the blocks of a text."""
-    found = list(_WORD.finditer(text))
-    starts = [m.start() for m in found]
-    longest = max(len(own) for _, own, _ in _compressors()[1])
-    reach = longest + int(DIFFERING * longest)
-    blocks: list[list[int]] = []
-    for cue in _CUE.finditer(text):
-        first, end = max(0, bisect_left(starts, cue.start()) - reach), bisect_left(starts, cue.end()) + reach
-        if blocks and first <= blocks[-1][1]:
-            blocks[-1][1] = end
-        else:
-            blocks.append([first, end])
-    for first, end in blocks:
-        yield starts[first:end], [_plain(m.group().lower()) for m in found[first:end]]
+def _candidates(hits: np.ndarray, at: np.ndarray) -> list[int]:
+    """Templates enough of whose pairs ``at`` are among ``hits`` within their reach. ``hits`` are places in the text."""
+    _, has, need, reach = _pairs()
+    out = []
+    for i in np.flatnonzero(has[:, np.unique(at)].sum(1) >= need).tolist():
+        own = has[i, at]
+        places, pairs = hits[own], at[own]
+        if places[-1] - places[0] <= reach[i]:
+            out.append(i)
+            continue
+        # a window of the template's reach from each place on
+        ends = np.searchsorted(places, places + reach[i], "right")
+        if any(len(np.unique(pairs[a:b])) >= need[i] for a, b in enumerate(ends.tolist()) if b - a >= need[i]):
+            out.append(i)
+    return out
+
 
+def candidate_blocks(text: str) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """(character offsets, words, possible templates) of the blocks of a text."""
+    every, _, _, reach = _pairs()
+    pieces = _pieces([text])
+    grams = pieces.grams(2)[: max(0, len(pieces.hashes) - 1)]
+    place = np.minimum(np.searchsorted(every, grams), len(every) - 1)
+    hits = np.flatnonzero(every[place] == grams)
+    if not len(hits):
+        return
+    found, most, first_byte = None, int(reach.max()), None
+    for part in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(hits) > most) + 1):
+        possible = _candidates(hits[part], place[hits[part]])
+        if not possible:
+            continue
+        if found is None:
+            found = list(_WORD.finditer(text))
+            # where the words of the text begin, in bytes
+            characters = [m.start() for m in found]
+            widths = np.zeros(len(text) + 1, np.int64)
+            np.cumsum(np.array([len(c.encode()) for c in text], np.int64) if not text.isascii() else np.ones(len(text), np.int64), out=widths[1:])
+            first_byte = widths[characters]
+        far = max(int(reach[i]) for i in possible)
+        a, b = max(0, int(hits[part[0]]) - far), min(len(pieces.starts) - 1, int(hits[part[-1]]) + 1 + far)
+        first = max(0, int(np.searchsorted(first_byte, pieces.starts[a], "right")) - 1)
+        end = int(np.searchsorted(first_byte, pieces.starts[b], "right"))
+        yield characters[first:end], [_plain(m.group().lower()) for m in found[first:end]], possible
 
-def ranked(block: list[str]) -> list[tuple[int, int, int, int, int, str]]:
-    """(bytes saved, words changed, lacking, added, first word, name) of the templates confirmed, best first."""
+
+def ranked(block: list[str], possible: list[int]) -> list[tuple[int, str, list[str]]]:
+    """(bytes saved, name, words) of the templates, those that save the most first."""
     plain, templates = _compressors()
-    near = [(got, name, c) for name, own, c in templates if (got := nearest(own, block))]
-    if not near:
-        return []
     raw = " ".join(block).encode()
     alone = len(plain.compress(raw))
-    return sorted(((alone - len(c.compress(raw)), *got, name) for got, name, c in near), key=lambda x: (-x[0], x[1], x[5]))
+    return sorted(((alone - len(templates[i][2].compress(raw)), *templates[i][:2]) for i in possible), key=lambda x: (-x[0], x[1]))
 
 
 def scan(text: str) -> tuple[int, list[tuple[str, int, int, int, int]]]:
     """Number of blocks, and (license, offset, bytes saved, words lacking, words added) of those confirmed."""
     found: dict[str, tuple[tuple[int, int, int], tuple[str, int, int, int, int]]] = {}
     n = 0
-    for starts, block in candidate_blocks(text):
+    for starts, block, possible in candidate_blocks(text):
         n += 1
-        for gain, edits, lacking, added, first, name in ranked(block):
-            this = (edits, -gain, starts[first]), (name, starts[first], gain, lacking, added)
-            found[name] = min(found.get(name, this), this)
+        for gain, name, own in ranked(block, possible):
+            if near := nearest(own, block):
+                edits, lacking, added, first = near
+                this = (edits, -gain, starts[first]), (name, starts[first], gain, lacking, added)
+                found[name] = min(found.get(name, this), this)
     return n, sorted(f for _, f in found.values())
 
 
+def _possible(column: pa.Array) -> np.ndarray:
+    """Rows that have enough pairs of some template, wherever; the others have no candidate block."""
+    every, has, need, _ = _pairs()
+    data, offsets = raw_text(column)
+    out = np.zeros(len(column), bool)
+    for a, b in row_blocks(offsets):
+        pieces = Words(data, offsets[a : b + 1], _PIECES, lower=True)
+        grams = pieces.grams(2)
+        place = np.minimum(np.searchsorted(every, grams), len(every) - 1)
+        hit = every[place] == grams
+        hits = np.flatnonzero(hit)
+        row = np.searchsorted(pieces.rows, hits, "right") - 1
+        rows, first = np.unique(row, return_index=True)
+        for i, own in zip(rows.tolist(), np.split(place[hits], first[1:])):
+            out[a + i] = bool((has[:, np.unique(own)].sum(1) >= need).any())
+    return out
+
+
 def license_findings(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_blocks, licenses, and findings with offset, bytes saved and wording differences."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = pa.struct([("license", pa.string()), *((k, pa.int64()) for k in ("at", "bytes_saved", "lacking", "added"))])
         for batch in batches:
-            got = [scan(text) if text else (0, []) for text in batch.column(1).to_pylist()]
+            some = _possible(batch.column(1)).tolist()
+            got = [scan(text.as_py()) if here else (0, []) for here, text in zip(some, batch.column(1))]
             findings = [[dict(zip(("license", "at", "bytes_saved", "lacking", "added"), f)) for f in found] for _, found in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array(findings, pa.list_(item))], ["doc_id", "n_blocks", "findings"])
 
-    # texts without a cue never leave the JVM
-    rows = docs.select("doc_id", F.when(F.col("text").rlike(CUES), F.col("text")).alias("text"))
-    out = rows.mapInArrow(scanned, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_blocks long, findings array<struct<license string, at long, bytes_saved long, lacking long, added long>>")
+    out = docs.select("doc_id", "text").mapInArrow(scanned, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_blocks long, findings array<struct<license string, at long, bytes_saved long, lacking long, added long>>")
     return out.select("doc_id", "n_blocks", F.col("findings.license").alias("licenses"), "findings")
