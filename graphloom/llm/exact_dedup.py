@@ -78,7 +78,9 @@ def distinct_documents(docs: DataFrame, share: int = HEAVY_SHARE) -> DataFrame:
     """
     digests = written(_digested(docs.select("doc_id", "text")).drop("text"), "digests")
     heavy = F.broadcast(written(heavy_digests(digests, share), "heavy").select(F.col("digest").alias("_heavy"), F.col("keep_id").alias("_keep")))
-    rows = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
-    rows = rows.join(heavy, F.col("_digest") == F.col("_heavy"), "left").where(F.col("_heavy").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep")))
-    order = Window.partitionBy("_digest").orderBy(F.col("doc_id").desc_nulls_last())
-    return rows.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(docs.columns)
+    # whole rows in one column, so that no name of theirs can clash
+    whole = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
+    rows = docs.select(whole.alias("_row"), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("_digest"))
+    rows = rows.join(heavy, F.col("_digest") == F.col("_heavy"), "left").where(F.col("_heavy").isNull() | F.col("_row.doc_id").eqNullSafe(F.col("_keep")))
+    order = Window.partitionBy("_digest").orderBy(F.col("_row.doc_id").desc_nulls_last())
+    return rows.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select("_row.*")
