@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Bits of a map: half a megabyte goes to every task, whatever the number of ids.
 MAP_BITS = 1 << 22
@@ -29,11 +30,11 @@ def possible_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     a join that moves whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(id_map(ids))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        for batch in batches:
-            b = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            rows = batch.filter(pa.array((held[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)))
-            yield rows.select(rows.schema.names[:-1])
+    @F.arrow_udf(BooleanType())
+    def held(bits: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        for bit in bits:
+            b = bit.to_numpy(zero_copy_only=False)
+            yield pa.array((own[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool))
 
-    return docs.withColumn("_bit", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))).mapInArrow(keep, docs.schema)
+    return docs.where(held(F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))))

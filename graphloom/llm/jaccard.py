@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from .components import components
 from .hashing import SPACE, Words, raw_text, row_blocks, shingle_sets
+from .idmaps import MAP_BITS, id_map
 
 #: Shingles in a task's summary, and in the list that all tasks get (16 bytes each), at most.
 COUNTERS, FREQUENT = 65_536, 131_072
@@ -47,8 +48,6 @@ COUNTERS, FREQUENT = 65_536, 131_072
 CELLS = 1 << 24
 #: 64-bit words of a sketch.
 SKETCH = 32
-#: Bits of the map that keeps texts without candidates from being hashed and moved again.
-MAP_BITS = 1 << 22
 _WORDS = [f"s{k}" for k in range(SKETCH)]
 _DIGEST, _GROUP = ["d0", "d1"], ["g0", "g1"]
 
@@ -164,12 +163,7 @@ def _positions_allow(left: str, right: str, num: int, den: int) -> Column:
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(node, members) for at least the documents in ``wanted`` (node); few others come along."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(MAP_BITS)) + 1  # bitmaps count from 1
-    parts = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    held = np.zeros(MAP_BITS // 8, np.uint8)
-    for row in parts:  # a bounded number of parts of 4 KB
-        at = (row["part"] - 1) * 4096
-        held[at : at + 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    held = id_map(wanted)
     shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

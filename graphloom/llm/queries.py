@@ -22,27 +22,46 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches, one of them delivered twice: all documents come; those labelled toxic go; those
-    labelled of low quality are counted anew without repeated lines."""
+    """Totals by source, language and version of the tokenizer after three batches, one of them delivered twice: all
+    documents come, counted by two vocabularies; those labelled toxic go; those labelled of low quality are counted anew
+    without repeated lines. Totals are folded before the last batch, so what comes out is that table and one batch."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    counts = written(token_rollup.token_counts(docs, *_ranks(), version="byte_bpe_50k"), "token-counts")
+    counts = written(_counts(docs), "token-counts")
     store = token_rollup.TokenRollup(spark, new_path(spark, "token-rollup"))
     store.commit("inserts", token_rollup.inserts(counts))
     gone = labels.where("toxic = 1").select("doc_id").distinct()
     store.commit("deletes", token_rollup.deletes(counts.join(gone, "doc_id", "left_semi")))
+    store.fold()
     revised = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
     some = idmaps.possible_rows(docs.select("doc_id", "source", "lang", "text"), revised)
     lines = some.join(revised, "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
-    new = written(token_rollup.token_counts(lines, *_ranks(), version="byte_bpe_50k"), "token-counts")
+    new = written(_counts(lines), "token-counts")
     deltas = token_rollup.revisions(counts.join(revised, "doc_id", "left_semi"), new)
     for _ in range(2):
         store.commit("revisions", deltas)
     return store.totals()
 
 
+def _counts(docs: DataFrame) -> DataFrame:
+    """Token counts by both byte-level vocabularies, the versions of the tokenizer."""
+    import public_tokenizers
+
+    versions = ("byte_bpe_50k", "byte_bpe_multi_50k")
+    a, b = (token_rollup.token_counts(docs, public_tokenizers.path(f"{v}.tiktoken"), public_tokenizers.PATTERN, version=v) for v in versions)
+    return a.unionByName(b)
+
+
+def _replies(messages: DataFrame) -> DataFrame:
+    """Who replies to whom: each message to the one before it, every fourth to the one before that."""
+    parent = F.col("turn") - F.when(F.col("turn") % 4 == 3, 2).otherwise(1)
+    return messages.where("turn > 0").select("conv_id", "turn", parent.alias("parent_turn")).distinct()
+
+
 def op3_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message of the conversations, without quotes, with what it replies to."""
-    return quotes.conversations(_table(spark, sf_dir, "conversations"))
+    """The conversations written as mail that quotes what it replies to and what that replies to, then put together
+    again: every message without quotes, with what it replies to."""
+    messages = _table(spark, sf_dir, "conversations")
+    return quotes.conversations(quotes.as_mail(messages, _replies(messages)))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,15 +110,30 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    import corpus_pipeline
-
     found = [op1_toxicity, op2_token_counts, op3_quote_threads, op4_exact_dedup, op5_packing, op6_warc, op7_quality_rules, op8_license_scan, op9_jaccard_join, op10_byte_bpe]
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query."""
     return {
+        "op3_quote_threads": r"""
+            WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+            u AS (SELECT conv_id, turn, list_distinct(list_filter(list_transform(list_concat([text], string_split(regexp_replace(text, '([.!?]+)[ \t\r\n]+', '\1' || chr(31), 'g'), chr(31)), string_split(text, chr(10))),
+                     lambda x: trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'))), lambda x: x <> '')) AS keys,
+                   trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS whole FROM m),
+            held AS (SELECT DISTINCT conv_id, turn, unnest(keys) AS key FROM u),
+            r AS (SELECT DISTINCT conv_id, turn, turn - CASE WHEN turn % 4 = 3 THEN 2 ELSE 1 END AS p_turn FROM conversations WHERE turn > 0),
+            q AS (SELECT r.conv_id, r.turn, 1 AS level, u.whole FROM r JOIN u ON u.conv_id = r.conv_id AND u.turn = r.p_turn
+                  UNION ALL SELECT r.conv_id, r.turn, 2, u.whole FROM r JOIN r g ON g.conv_id = r.conv_id AND g.turn = r.p_turn JOIN u ON u.conv_id = g.conv_id AND u.turn = g.p_turn
+                            WHERE EXISTS (SELECT 1 FROM m WHERE m.conv_id = r.conv_id AND m.turn = r.p_turn)),
+            l AS (SELECT q.conv_id, q.turn, q.level, max(held.turn) AS holder FROM q JOIN held ON held.conv_id = q.conv_id AND held.key = q.whole AND held.turn < q.turn GROUP BY 1, 2, 3),
+            p AS (SELECT conv_id, turn, arg_min(holder, level) AS parent_turn, count(*) AS n_links FROM l GROUP BY 1, 2),
+            walk AS (SELECT conv_id, turn, parent_turn AS root_turn, 1::BIGINT AS depth FROM p
+                     UNION ALL SELECT w.conv_id, w.turn, p.parent_turn, w.depth + 1 FROM walk w JOIN p ON p.conv_id = w.conv_id AND p.turn = w.root_turn),
+            top AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(root_turn, depth) AS root_turn FROM walk GROUP BY 1, 2)
+            SELECT m.conv_id, m.turn, m.role, m.text, p.parent_turn, coalesce(top.root_turn, m.turn) AS root_turn, coalesce(top.depth, 0) AS depth, coalesce(p.n_links, 0) AS n_links
+            FROM m LEFT JOIN p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN top ON top.conv_id = m.conv_id AND top.turn = m.turn""",
         "op4_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -2,7 +2,8 @@
 
 Inserts, deletes and revised counts of documents become signed sums by source, language and tokenizer version. A batch
 is summed before it is stored, under its own name; a commit record makes it count. Storing a batch again replaces it,
-committing it again changes nothing, and totals read committed batches only. ``compact`` folds batches into one.
+committing it again changes nothing, and totals read committed batches only. ``fold`` writes the totals so far down
+with the batches that are in them; from then on they are that table and the batches since.
 
 Defined results: null texts have 0 tokens; null sources and languages are groups of their own; repeated rows are
 counted as often as they come; groups whose documents and tokens come to 0 are left out of totals; a store without
@@ -85,13 +86,36 @@ class TokenRollup:
         marks = self.spark.read.schema("batch_id string").option("recursiveFileLookup", True).parquet(self._batches("commits"))
         return deltas.join(marks.distinct(), "batch_id", "left_semi")
 
+    def _folded(self) -> str | None:
+        """The newest table of totals that is complete: the list of its batches is written last."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self._batches("totals"))
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return None
+        numbers = sorted((int(s.getPath().getName()) for s in fs.listStatus(root)), reverse=True)
+        return next((p for p in (f"{self._batches('totals')}/{n}" for n in numbers) if self._exists(f"{p}/batches/_SUCCESS")), None)
+
+    def _sums(self) -> DataFrame:
+        """Signed sums of what is folded and of the batches since."""
+        new, folded = self.committed(), self._folded()
+        if folded:
+            new = new.join(self.spark.read.schema("batch_id string").parquet(f"{folded}/batches"), "batch_id", "left_anti")
+        new = new.drop("batch_id")
+        if folded:
+            new = new.unionByName(self.spark.read.parquet(f"{folded}/sums"))
+        return new.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).where("d_docs <> 0 or d_tokens <> 0")
+
+    def fold(self) -> None:
+        """Write the totals down. A fold that fails half-way is passed over and done again."""
+        if not self._exists(self._batches("commits")):
+            return
+        folded = self._folded()
+        to = f"{self._batches('totals')}/{int(folded.rpartition('/')[2]) + 1 if folded else 0}"
+        done = self.spark.read.schema("batch_id string").option("recursiveFileLookup", True).parquet(self._batches("commits")).distinct()
+        self._sums().write.mode("overwrite").parquet(f"{to}/sums")
+        done.write.mode("overwrite").parquet(f"{to}/batches")
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens."""
-        sums = self.committed().groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 or n_tokens <> 0")
-
-    def compact(self, to: str) -> "TokenRollup":
-        """A new store under ``to`` with one batch that holds this one's totals."""
-        other = TokenRollup(self.spark, to)
-        other.commit("compacted", self.totals().select(*KEYS, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens")))
-        return other
+        return self._sums().select(*KEYS, F.col("d_docs").alias("n_docs"), F.col("d_tokens").alias("n_tokens"))
