@@ -118,8 +118,10 @@ class Lens:
 
     @cached_property
     def grants(self) -> DataFrame:
-        rows = [("eng", "click", None), ("eng", "view", None)] + [("sales", "purchase", str(k)) for k in (1, 2, 3)]
-        return self.spark.createDataFrame(rows, "group_name string, source_system string, resource_key string")
+        """Engineers see clicks and views whole, sales the purchases of three resources, as far as there are any."""
+        found = self.event_docs.select("source_system", "resource_key").distinct()
+        eng = found.where("source_system in ('click', 'view')").select(F.lit("eng").alias("group_name"), "source_system", _text().alias("resource_key")).distinct()
+        return eng.unionByName(found.where("source_system = 'purchase' and resource_key in ('1', '2', '3')").select(F.lit("sales").alias("group_name"), "source_system", "resource_key"))
 
     @property
     def now(self) -> Column:
@@ -150,6 +152,7 @@ edges AS (SELECT * FROM e_part_of UNION ALL SELECT * FROM e_member_of UNION ALL
 event_docs AS (SELECT 'event:' || event_id AS document_id, event_type AS source_system, event_id::VARCHAR AS external_id, props AS content, json_extract_string(props, '$.k') AS resource_key, ts AS source_updated_at, ts AS ingested_at, event_id FROM events),
 mentions AS (SELECT 'customer:' || user_id AS node_id, 'event:' || event_id AS document_id, substr(props, 1, 1000) AS context FROM events),
 runs AS (SELECT event_id AS run_id, event_type AS source_system, CASE WHEN value < 5 OR (event_type = 'error' AND value < 40) THEN 'failed' ELSE 'completed' END AS status, ts AS started_at, ts AS finished_at, json_extract_string(props, '$.k') AS resource_key, event_id::VARCHAR AS cursor FROM events),
+grants AS (SELECT DISTINCT 'eng' AS group_name, source_system, NULL::VARCHAR AS resource_key FROM event_docs WHERE source_system IN ('click', 'view') UNION ALL SELECT DISTINCT 'sales', source_system, resource_key FROM event_docs WHERE source_system = 'purchase' AND resource_key IN ('1', '2', '3')),
 visible_docs AS (SELECT * FROM event_docs WHERE source_system = 'purchase' AND resource_key IN ('1', '2', '3')),
 visible AS (SELECT DISTINCT node_id FROM mentions SEMI JOIN visible_docs USING (document_id))
 """

@@ -136,32 +136,55 @@ def vector_pairs(vectors: DataFrame, most: float, block_rows: int = 2048, same_t
     return rows.groupBy("i", "j").applyInPandas(close, "a string, b string, distance double")
 
 
-def match_derived(existing: DataFrame, incoming: DataFrame, threshold: float = 0.55) -> DataFrame:
-    """node_type, name, matched_id: for new names of derived nodes the most similar known name of the type, then
-    through its alias pointer to the canonical node. Ties go to the smallest id."""
-    known = existing.where("external_id is null").select("node_type", "name", F.coalesce("canonical_node_id", "node_id").alias("node_id")).groupBy("node_type", "name").agg(F.min("node_id").alias("node_id"))
-    new = incoming.select("node_type", "name").distinct()
-    same = new.join(known, ["node_type", "name"]).select("node_type", "name", "node_id", F.lit(1.0).alias("similarity"))
-    both = new.select("node_type", "name").unionByName(known.select("node_type", "name"))
-    pairs = name_pairs(both, threshold)
-    ways = pairs.select("node_type", F.col("a").alias("name"), F.col("b").alias("other"), "similarity").unionByName(pairs.select("node_type", F.col("b").alias("name"), F.col("a").alias("other"), "similarity"))
-    near = ways.join(new, ["node_type", "name"], "left_semi").join(known.withColumnRenamed("name", "other"), ["node_type", "other"]).select("node_type", "name", "node_id", "similarity")
-    return same.unionByName(near).groupBy("node_type", "name").agg(F.min_by("node_id", F.struct(-F.col("similarity"), "node_id")).alias("matched_id"))
-
+def match_derived(existing: DataFrame, incoming: DataFrame, threshold: float = 0.55, near: float = 0.15) -> DataFrame:
+    """node_type, name, matched_id: for new names of derived nodes the known node of the type that is similar by name
+    or, if both have an ``embedding``, within the cosine distance ``near``; then through its alias pointer to the
+    canonical node.
 
-def resolve_derived(existing: DataFrame, incoming: DataFrame, threshold: float = 0.55) -> DataFrame:
+    A new name with a vector takes the nearest by vector, one without it the most similar by name. Known nodes
+    without a vector come after those with one. Ties go to the more similar name, then the smallest id.
+    """
+    known = existing.where("external_id is null").withColumn("to", F.coalesce("canonical_node_id", "node_id"))
+    by_name = known.groupBy("node_type", "name").agg(F.min("to").alias("to"))
+    new = incoming.select("node_type", "name").distinct()
+    same = new.join(by_name, ["node_type", "name"]).select("node_type", "name", F.col("name").alias("other"))
+    pairs = name_pairs(new.unionByName(by_name.select("node_type", "name")), threshold)
+    ways = pairs.select("node_type", F.col("a").alias("name"), F.col("b").alias("other")).unionByName(pairs.select("node_type", F.col("b").alias("name"), F.col("a").alias("other")))
+    found = same.unionByName(ways.join(new, ["node_type", "name"], "left_semi"))
+    score = text.trigram_similarity(F.col("name"), F.col("other"))
+    if "embedding" not in existing.columns or "embedding" not in incoming.columns:
+        found = found.join(by_name.withColumnRenamed("name", "other"), ["node_type", "other"]).withColumn("similarity", score)
+        return found.groupBy("node_type", "name").agg(F.min_by("to", F.struct(-F.col("similarity"), "to")).alias("matched_id"))
+    asked = incoming.where("embedding is not null").groupBy("node_type", "name").agg(F.min_by("embedding", "seq").alias("v"))
+    own = known.select("node_type", F.col("name").alias("other"), "to", "node_id", F.col("embedding").alias("w"))
+    found = found.join(own, ["node_type", "other"])
+    key = F.concat(F.lit("\x1f"), "node_type", F.lit("\x1f"), "name")
+    both = asked.select(key.alias("node_id"), "node_type", F.col("v").alias("embedding")).unionByName(known.where("embedding is not null").select("node_id", "node_type", "embedding"))
+    close = vector_pairs(both, near, same_type=True).where(F.startswith("a", F.lit("\x1f")) & ~F.startswith("b", F.lit("\x1f")))
+    close = close.join(asked.withColumn("a", key), "a").join(own.withColumnRenamed("node_id", "b").drop("node_type"), "b").select("node_type", "other", "name", "to", F.col("b").alias("node_id"), "w")
+    found = found.unionByName(close).distinct().join(asked, ["node_type", "name"], "left")
+    found = found.withColumn("distance", F.round(scores.cosine_distance(F.col("v"), F.col("w")), 12)).withColumn("similarity", F.round(score, 12))
+    order = F.struct(F.col("distance").isNull(), "distance", -F.col("similarity"), "to")
+    return found.groupBy("node_type", "name").agg(F.min_by("to", order).alias("matched_id"))
+
+
+def resolve_derived(existing: DataFrame, incoming: DataFrame, threshold: float = 0.55, near: float = 0.15) -> DataFrame:
     """node_type, name, node_id, change for new names of derived nodes.
 
-    First against known nodes; what is left is joined among itself into components by similarity, each represented by
-    its first arrival (smallest ``seq``). Chains of similar names so become one node.
+    First against known nodes; what is left is joined among itself into components by similarity of names or vectors,
+    each represented by its first arrival (smallest ``seq``). Chains of similar names so become one node.
     """
     from .graphs import components
 
-    matched = match_derived(existing, incoming, threshold)
-    left = incoming.join(matched, ["node_type", "name"], "left_anti").groupBy("node_type", "name").agg(F.min("seq").alias("seq"))
+    matched = match_derived(existing, incoming, threshold, near)
+    left = incoming.join(matched, ["node_type", "name"], "left_anti")
     key = lambda t, n: F.concat_ws("\x1f", t, n)
-    found = components(name_pairs(left, threshold).select(key(F.col("node_type"), F.col("a")).alias("a"), key(F.col("node_type"), F.col("b")).alias("b")))
-    left = left.withColumn("node", key(F.col("node_type"), F.col("name"))).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    vectors = left.where("embedding is not null").groupBy("node_type", "name").agg(F.min_by("embedding", "seq").alias("embedding")) if "embedding" in left.columns else None
+    left = left.groupBy("node_type", "name").agg(F.min("seq").alias("seq"))
+    links = name_pairs(left, threshold).select(key(F.col("node_type"), F.col("a")).alias("a"), key(F.col("node_type"), F.col("b")).alias("b"))
+    if vectors is not None:
+        links = links.unionByName(vector_pairs(vectors.withColumn("node_id", key(F.col("node_type"), F.col("name"))), near, same_type=True).select("a", "b"))
+    left = left.withColumn("node", key(F.col("node_type"), F.col("name"))).join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = left.groupBy("component").agg(F.min_by("name", F.struct("seq", "name")).alias("head"))
     made = left.join(heads, "component").select("node_type", "name", F.sha2(F.concat_ws("|", "node_type", "head"), 256).alias("node_id"), F.when(F.col("name") == F.col("head"), "created").otherwise("merged").alias("change"))
     return matched.select("node_type", "name", F.col("matched_id").alias("node_id"), F.lit("enriched").alias("change")).unionByName(made)

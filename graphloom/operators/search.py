@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,26 +18,34 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "i
 STEM = r"(?:ing|ed|es|s)$"
 
 
-def semantic_search(vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int = 10) -> DataFrame:
-    """request_id, rank, node_id, similarity: the k nearest vectors of each query.
+def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_block: int = 8192, query_block: int = 1024) -> DataFrame:
+    """request_id, rank, node_id, similarity: the k nearest vectors of each query (request_id, embedding); exact.
 
-    Every task keeps k rows a query, so the shuffle holds k rows a query and task.
+    Blocks of vectors meet blocks of queries; every meeting is one task's work of bounded size and leaves k rows a
+    query. Similarities are rounded to 6 places, equal ones are in order of node_id. Vectors of zeros are as near as
+    orthogonal ones.
     """
-    names = [q for q, _ in queries]
-    m = np.array([v for _, v in queries], float)
-    m = m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame({"request_id": pd.Series(dtype=str), "node_id": pd.Series(dtype=str), "similarity": pd.Series(dtype=float)})
-        for pdf in batches:
-            v = np.array(pdf["embedding"].tolist(), float).reshape(len(pdf), -1)
-            s = m @ (v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)).T
-            new = pd.DataFrame({"request_id": np.repeat(names, len(pdf)), "node_id": np.tile(pdf["node_id"].to_numpy(), len(names)), "similarity": np.round(s.ravel(), 6)})
-            both = new if best.empty else pd.concat([best, new])
-            best = both.sort_values(["similarity", "node_id"], ascending=[False, True]).groupby("request_id").head(k)
-        yield best
-
-    found = vectors.where("embedding is not null").select("node_id", "embedding").mapInPandas(near, "request_id string, node_id string, similarity double")
+    v = vectors.where("embedding is not null").select("node_id", F.col("embedding").cast("array<double>").alias("v"))
+    q = queries.where("embedding is not null").select("request_id", F.col("embedding").cast("array<double>").alias("v"))
+    rows, columns = max(1, math.ceil(v.count() / vector_block)), max(1, math.ceil(q.count() / query_block))
+    v = v.withColumn("i", F.pmod(F.xxhash64("node_id"), F.lit(rows)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    q = q.withColumn("j", F.pmod(F.xxhash64("request_id"), F.lit(columns)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+
+    def unit(column: pd.Series) -> np.ndarray:
+        m = np.array(column.tolist(), float).reshape(len(column), -1)
+        return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+
+    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"request_id": [], "node_id": [], "similarity": []}).astype({"request_id": str, "node_id": str, "similarity": float})
+        left = left.sort_values("node_id", ignore_index=True)
+        s = np.round(unit(right["v"]) @ unit(left["v"]).T, 6)
+        # rows are in order of node_id, so a stable sort settles ties
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        found = np.repeat(np.arange(len(right)), best.shape[1])
+        return pd.DataFrame({"request_id": right["request_id"].to_numpy()[found], "node_id": left["node_id"].to_numpy()[best.ravel()], "similarity": s[found, best.ravel()]})
+
+    found = v.groupBy("i", "j").cogroup(q.groupBy("i", "j")).applyInPandas(near, "request_id string, node_id string, similarity double")
     return reads.ranked(found, ["request_id"], [F.col("similarity").desc(), F.col("node_id")], k).select("request_id", "rank", "node_id", "similarity")
 
 
@@ -98,13 +106,29 @@ def keyword_search(nodes: DataFrame, query: str, k: int = 10, body: Column | Non
     return reads.ranked(top.withColumn("_q", F.lit(1)), ["_q"], [F.col("score").desc(), F.col("name"), F.col("node_id")], k).select("rank", "node_id", "name", "score")
 
 
+def keyword_batch(nodes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """request_id, rank, node_id, score: nodes (node_id, name, body) that hold all the words of a query (request_id,
+    query), for many queries at once, scored and ranked as in ``keyword_search``.
+
+    Words meet words in one join; a word that many nodes and many queries have is the size of the answer it gives.
+    """
+    t = nodes.select("node_id", "name", tokens(F.col("body")).alias("t"))
+    held = t.select("node_id", "name", F.size("t").alias("len"), F.explode("t").alias("word")).groupBy("node_id", "name", "len", "word").agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.select("request_id", F.array_distinct(tokens(F.col("query"))).alias("w")).select("request_id", F.size("w").alias("words"), F.explode("w").alias("word"))
+    met = asked.join(held, "word").groupBy("request_id", "words", "node_id", "name", "len").agg(F.count(F.lit(1)).alias("found"), F.sum(1 + F.log(F.col("n").cast("double"))).alias("sum"))
+    met = met.where("found = words").select("request_id", "node_id", "name", F.round(F.col("sum") / (1 + F.log(1.0 + F.col("len"))), 6).alias("score"))
+    return reads.ranked(met, ["request_id"], [F.col("score").desc(), F.col("name"), F.col("node_id")], k).select("request_id", "rank", "node_id", "score")
+
+
 def fuse(semantic: DataFrame | None, keyword: DataFrame, limit: int) -> DataFrame:
-    """node_id, score, semantic_rank, keyword_rank by reciprocal ranks; semantic hits come first of equals. Without a
-    semantic leg the keywords alone decide."""
-    leg = lambda df, name: df.select("node_id", F.lit(name).alias("leg"), "rank")
+    """(request_id,) node_id, score, semantic_rank, keyword_rank by reciprocal ranks; semantic hits come first of
+    equals. Without a semantic leg the keywords alone decide. ``limit`` is for each request, if legs have request_id."""
+    by = ["request_id"] if "request_id" in keyword.columns else []
+    leg = lambda df, name: df.select(*by, "node_id", F.lit(name).alias("leg"), "rank")
     both = leg(keyword, "k") if semantic is None else leg(semantic, "s").unionByName(leg(keyword, "k"))
-    out = both.groupBy("node_id").agg(F.round(F.sum(scores.rrf(F.col("rank"))), 6).alias("score"), F.min(F.when(F.col("leg") == "s", F.col("rank"))).alias("semantic_rank"), F.min(F.when(F.col("leg") == "k", F.col("rank"))).alias("keyword_rank"))
-    return out.orderBy(F.col("score").desc(), F.col("semantic_rank").asc_nulls_last(), F.col("keyword_rank").asc_nulls_last(), "node_id").limit(limit)
+    out = both.groupBy(*by, "node_id").agg(F.round(F.sum(scores.rrf(F.col("rank"))), 6).alias("score"), F.min(F.when(F.col("leg") == "s", F.col("rank"))).alias("semantic_rank"), F.min(F.when(F.col("leg") == "k", F.col("rank"))).alias("keyword_rank"))
+    order = [F.col("score").desc(), F.col("semantic_rank").asc_nulls_last(), F.col("keyword_rank").asc_nulls_last(), F.col("node_id")]
+    return reads.ranked(out, by, order, limit).drop("rank") if by else out.orderBy(*order).limit(limit)
 
 
 def ask(hits: DataFrame, nodes: DataFrame, edges: DataFrame, mentions: DataFrame, docs: DataFrame, near: int = 5) -> DataFrame:

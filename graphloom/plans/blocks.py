@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..lens import Lens
 from ..operators import reads, reports, visibility
+from ..session import written
 from .registry import query
 
 SINCE = "2024-01-25 00:00:00"
@@ -193,7 +194,7 @@ def join_multi_hop_pattern(g: Lens) -> DataFrame:
     return match_pattern(g.edges("PART_OF", "MEMBER_OF", "AUTHORED"), [("PART_OF", "<"), ("MEMBER_OF", "<"), ("AUTHORED", ">")])
 
 
-@query("SELECT everything, keys, source_system FROM (SELECT source_system, bool_or(resource_key IS NULL) AS everything, CASE WHEN bool_or(resource_key IS NULL) THEN [] ELSE list_sort(list(resource_key)) END AS keys FROM (VALUES ('click', NULL), ('view', NULL), ('purchase', '1'), ('purchase', '2'), ('purchase', '3')) v(source_system, resource_key) GROUP BY 1)")
+@query("SELECT everything, keys, source_system FROM (SELECT source_system, bool_or(resource_key IS NULL) AS everything, CASE WHEN bool_or(resource_key IS NULL) THEN [] ELSE list_sort(list(resource_key)) END AS keys FROM grants GROUP BY 1)")
 def join_grants_groups(g: Lens) -> DataFrame:
     return visibility.grants_for(g.grants, ["eng", "sales"])
 
@@ -296,7 +297,7 @@ def agg_graph_metrics(g: Lens) -> DataFrame:
     return reports.graph_metrics(g.nodes(), g.edges(), g.event_docs, g.runs, proposals(g))
 
 
-@query("SELECT ['click', 'view'] AS whole, ['purchase/1', 'purchase/2', 'purchase/3'] AS single")
+@query("SELECT coalesce(list_sort(list(DISTINCT source_system) FILTER (WHERE resource_key IS NULL)), []) AS whole, coalesce(list_sort(list(DISTINCT source_system || '/' || resource_key) FILTER (WHERE resource_key IS NOT NULL)), []) AS single FROM grants")
 def agg_grant_union(g: Lens) -> DataFrame:
     held = visibility.grants_for(g.grants, ["eng", "sales"])
     pairs = held.select("source_system", "everything", F.explode_outer("keys").alias("key"))
@@ -365,8 +366,11 @@ def win_topk_per_entity(g: Lens) -> DataFrame:
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS in_60s FROM events")
 def win_sliding_60s(g: Lens) -> DataFrame:
-    last = Window.partitionBy("event_type").orderBy(F.unix_micros("ts")).rangeBetween(-59_999_999, 0)
-    return g.table("events").select("event_id", F.count(F.lit(1)).over(last).alias("in_60s"))
+    """Windows are of one type and minute: an event counts in its own minute and, for what follows, in the next."""
+    e = g.table("events").select("event_id", "event_type", F.unix_micros("ts").alias("at"))
+    e = e.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("minute", F.floor(F.col("at") / 60_000_000) + F.col("again"))
+    last = Window.partitionBy("event_type", "minute").orderBy("at").rangeBetween(-59_999_999, 0)
+    return e.withColumn("in_60s", F.count(F.lit(1)).over(last)).where("again = 0").select("event_id", "in_60s")
 
 
 def doomed(names: DataFrame, keep: int) -> DataFrame:
@@ -436,11 +440,16 @@ def set_distinct_concepts(g: Lens) -> DataFrame:
 # --- reads
 
 
-@query("""SELECT 'nodes' AS section, node_type AS label, count(*) AS value FROM n_customer SEMI JOIN visible USING (node_id) GROUP BY 2
- UNION ALL SELECT 'edges', relationship, count(*) FROM e_part_of GROUP BY 2 HAVING false""")
+@query(""", scope AS (SELECT node_id FROM visible UNION SELECT 'nation:' || c_nationkey FROM customer JOIN visible ON node_id = 'customer:' || c_custkey)
+ SELECT 'nodes' AS section, node_type AS label, count(*) AS value FROM nodes SEMI JOIN scope USING (node_id) WHERE canonical_node_id IS NULL GROUP BY 2
+ UNION ALL SELECT 'edges', relationship, count(*) FROM edges WHERE source_id IN (SELECT node_id FROM scope) AND target_id IN (SELECT node_id FROM scope) GROUP BY 2""")
 def graph_stats(g: Lens) -> DataFrame:
-    ids = visibility.visible_node_ids(g.mentions, g.event_docs, g.grants, _SALES)
-    return reports.graph_stats(g.nodes(), g.edges(), ids)
+    """Events mention a customer and with it the customer's nation, so edges between the two are in sight."""
+    home = g.table("customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("node_id"), F.concat(F.lit("nation:"), "c_nationkey").alias("nation"))
+    mentions = g.mentions.select("node_id", "document_id")
+    mentions = mentions.unionByName(mentions.join(home, "node_id").select(F.col("nation").alias("node_id"), "document_id"))
+    ids = visibility.visible_node_ids(mentions, g.event_docs, g.grants, _SALES)
+    return reports.graph_stats(g.nodes(), g.edges(), written(ids, "visible"))
 
 
 @query(_HEALTH)

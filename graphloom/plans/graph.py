@@ -15,6 +15,7 @@ from .registry import query
 from .scalars import summarize_proposal
 
 _BAG = "map<string,string>"
+_P = blocks.PROPOSALS
 
 
 def _no_bag() -> Column:
@@ -24,13 +25,12 @@ def _no_bag() -> Column:
 # --- search
 
 
-def _vector_queries(g: Lens, n: int = 2) -> list[tuple[str, list[float]]]:
-    """A stated, bounded set of query vectors: the first ids."""
-    rows = g.table("embeddings").where(F.col("vec_id") < n).select("vec_id", "embedding").collect()
-    return [(f"q{r['vec_id']}", list(r["embedding"])) for r in sorted(rows)]
+def _vector_queries(g: Lens) -> DataFrame:
+    """The query vectors: those whose id is divisible by 20."""
+    return g.table("embeddings").where("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("request_id"), "embedding")
 
 
-_SEMANTIC = """, q AS (SELECT 'q' || vec_id AS request_id, embedding AS qe FROM embeddings WHERE vec_id < 2),
+_SEMANTIC = """, q AS (SELECT 'q' || vec_id AS request_id, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0),
  sem AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, node_id) AS rank, node_id, similarity FROM (SELECT request_id, 'vec:' || vec_id AS node_id, round(list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]), 6) AS similarity FROM embeddings, q))
 """
 
@@ -40,9 +40,9 @@ def semantic_search(g: Lens) -> DataFrame:
     return search.semantic_search(g.vectors, _vector_queries(g), 10)
 
 
-@query(_SEMANTIC + "SELECT node_id, similarity FROM sem WHERE rank <= 20 AND request_id = 'q0'")
+@query(_SEMANTIC + "SELECT request_id, node_id, similarity FROM sem WHERE rank <= 20")
 def topk_cosine(g: Lens) -> DataFrame:
-    return search.semantic_search(g.vectors, _vector_queries(g, 1), 20).select("node_id", "similarity")
+    return search.semantic_search(g.vectors, _vector_queries(g), 20).select("request_id", "node_id", "similarity")
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + "]"
@@ -72,18 +72,21 @@ def topk_keyword(g: Lens) -> DataFrame:
 
 
 def _legs(g: Lens) -> tuple[DataFrame, DataFrame]:
-    sem = search.semantic_search(g.vectors, _vector_queries(g, 1), 20)
+    """Each query vector together with the words of its label."""
+    sem = search.semantic_search(g.vectors, _vector_queries(g), 20)
     e = g.table("embeddings")
-    named = e.select(F.concat(F.lit("vec:"), "vec_id").alias("node_id"), F.concat(F.lit("vec "), "vec_id", F.lit(" label "), "label").alias("name"), F.lit(None).cast("string").alias("summary"))
-    return sem, search.keyword_search(named, "label 3", 20)
+    named = e.select(F.concat(F.lit("vec:"), "vec_id").alias("node_id"), F.concat(F.lit("vec "), "vec_id", F.lit(" label "), "label").alias("name")).withColumn("body", F.col("name"))
+    asked = e.where("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("request_id"), F.concat(F.lit("label "), "label").alias("query"))
+    return sem, search.keyword_batch(named, asked, 20)
 
 
-_LEGS = _SEMANTIC + """, kwv AS (SELECT row_number() OVER (ORDER BY score DESC, name, node_id) AS rank, node_id FROM (SELECT 'vec:' || vec_id AS node_id, 'vec ' || vec_id || ' label ' || label AS name, round((1.0 + 1 + CASE WHEN label = 3 AND vec_id = 3 THEN ln(2) ELSE 0 END) / (1 + ln(5.0)), 6) AS score FROM embeddings WHERE label = 3 OR vec_id = 3)),
- legs AS (SELECT node_id, 's' AS leg, rank FROM sem WHERE request_id = 'q0' AND rank <= 20 UNION ALL SELECT node_id, 'k', rank FROM kwv WHERE rank <= 20)
+_LEGS = _SEMANTIC + """, kwv AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, name, node_id) AS rank, node_id FROM (SELECT 'q' || y.vec_id AS request_id, 'vec:' || x.vec_id AS node_id, 'vec ' || x.vec_id || ' label ' || x.label AS name, round((1.0 + 1 + CASE WHEN x.label = y.label AND x.vec_id = y.label THEN ln(2) ELSE 0 END) / (1 + ln(5.0)), 6) AS score
+  FROM embeddings x JOIN embeddings y ON x.label = y.label OR x.vec_id = y.label WHERE y.vec_id % 20 = 0)),
+ legs AS (SELECT request_id, node_id, 's' AS leg, rank FROM sem WHERE rank <= 20 UNION ALL SELECT request_id, node_id, 'k', rank FROM kwv WHERE rank <= 20)
 """
 
 
-@query(_LEGS + "SELECT node_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(rank) FILTER (WHERE leg = 's') AS semantic_rank, min(rank) FILTER (WHERE leg = 'k') AS keyword_rank FROM legs GROUP BY 1 ORDER BY score DESC, semantic_rank NULLS LAST, keyword_rank NULLS LAST, node_id LIMIT 20")
+@query(_LEGS + ", fused AS (SELECT request_id, node_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(rank) FILTER (WHERE leg = 's') AS semantic_rank, min(rank) FILTER (WHERE leg = 'k') AS keyword_rank FROM legs GROUP BY 1, 2) SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, semantic_rank NULLS LAST, keyword_rank NULLS LAST, node_id) <= 20")
 def hybrid_search(g: Lens) -> DataFrame:
     return search.fuse(*_legs(g), 20)
 
@@ -91,33 +94,33 @@ def hybrid_search(g: Lens) -> DataFrame:
 @query(_LEGS + "SELECT * FROM legs")
 def win_rank_legs(g: Lens) -> DataFrame:
     sem, kw = _legs(g)
-    return sem.select("node_id", F.lit("s").alias("leg"), "rank").unionByName(kw.select("node_id", F.lit("k").alias("leg"), "rank"))
+    return sem.select("request_id", "node_id", F.lit("s").alias("leg"), "rank").unionByName(kw.select("request_id", "node_id", F.lit("k").alias("leg"), "rank"))
 
 
-@query(_LEGS + "SELECT node_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM legs GROUP BY 1")
+@query(_LEGS + "SELECT request_id, node_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM legs GROUP BY 1, 2")
 def set_union_legs(g: Lens) -> DataFrame:
-    return search.fuse(*_legs(g), 1 << 20).select("node_id", "score")
+    return search.fuse(*_legs(g), 1 << 20).select("request_id", "node_id", "score")
 
 
-@query("""SELECT node_id, coalesce(neighbors, []) AS neighbors, coalesce(systems, []) AS systems FROM (SELECT node_id FROM n_customer WHERE external_id::BIGINT % 10 = 3)
+@query("""SELECT node_id, coalesce(neighbors, []) AS neighbors, coalesce(systems, []) AS systems FROM (SELECT node_id FROM n_customer)
  LEFT JOIN (SELECT node_id, list_sort(list(direction || ' ' || relationship || ' ' || other_id)) AS neighbors FROM (SELECT *, row_number() OVER (PARTITION BY node_id, direction ORDER BY relationship, other_id) AS k FROM (
   SELECT source_id AS node_id, 'out' AS direction, relationship, target_id AS other_id FROM (SELECT * FROM e_member_of UNION ALL SELECT * FROM e_authored))) WHERE k <= 5 GROUP BY 1) USING (node_id)
  LEFT JOIN (SELECT node_id, list_sort(list(DISTINCT source_system)) AS systems FROM mentions JOIN event_docs USING (document_id) GROUP BY 1) USING (node_id)""")
 def ask(g: Lens) -> DataFrame:
-    hits = g.nodes("customer").where(F.col("external_id").cast("long") % 10 == 3)
-    return search.ask(hits, g.nodes("nation", "order"), g.edges("MEMBER_OF", "AUTHORED"), g.mentions, g.event_docs)
+    return search.ask(g.nodes("customer"), g.nodes("nation", "order"), g.edges("MEMBER_OF", "AUTHORED"), g.mentions, g.event_docs)
 
 
 # --- walks
 
 
-def _starts(g: Lens, prefix: str, n: int) -> DataFrame:
-    return g.spark.createDataFrame([(f"{prefix}:{i}",) for i in range(1, n + 1)], "start_id string")
+def _starts(g: Lens) -> DataFrame:
+    """All suppliers."""
+    return g.nodes("supplier").select(F.col("node_id").alias("start_id"))
 
 
 _ADJ = """, adj AS (SELECT source_id AS near, target_id AS far, '>' || relationship AS step FROM (SELECT * FROM e_part_of UNION ALL SELECT * FROM e_member_of) UNION SELECT target_id, source_id, '<' || relationship FROM (SELECT * FROM e_part_of UNION ALL SELECT * FROM e_member_of)),
  names AS (SELECT node_id, name, node_type FROM n_region UNION ALL SELECT node_id, name, node_type FROM n_nation UNION ALL SELECT node_id, name, node_type FROM n_customer UNION ALL SELECT node_id, name, node_type FROM n_supplier),
- s AS (SELECT 'supplier:' || i AS start_id FROM range(1, 4) t(i)),
+ s AS (SELECT node_id AS start_id FROM n_supplier),
  w1 AS (SELECT start_id, far AS node_id, [step] AS rels, [a.name, b.name] AS names FROM s JOIN names a ON a.node_id = start_id JOIN adj ON near = start_id JOIN names b ON b.node_id = far),
  w2 AS (SELECT start_id, far AS node_id, min((list_append(rels, step), list_append(names, n.name))) AS p FROM w1 JOIN adj ON near = w1.node_id JOIN names n ON n.node_id = far WHERE far <> start_id AND (start_id, far) NOT IN (SELECT (start_id, node_id) FROM w1) GROUP BY 1, 2),
  found AS (SELECT start_id, node_id, 1 AS depth, rels, names FROM w1 UNION ALL SELECT start_id, node_id, 2, p[1], p[2] FROM w2),
@@ -132,19 +135,19 @@ def _world(g: Lens) -> tuple[DataFrame, DataFrame]:
 @query(_ADJ + "SELECT start_id, node_id, depth, path FROM (SELECT p.*, row_number() OVER (PARTITION BY start_id ORDER BY depth, node_id) AS k FROM paths p JOIN names USING (node_id) WHERE node_type = 'customer') WHERE k <= 10")
 def traverse_to_type(g: Lens) -> DataFrame:
     edges, nodes = _world(g)
-    return graphs.traverse_to_type(edges, nodes, _starts(g, "supplier", 3), "customer", 2, 10)
+    return graphs.traverse_to_type(edges, nodes, _starts(g), "customer", 2, 10)
 
 
 @query(_ADJ + "SELECT start_id, node_id, depth FROM paths ORDER BY depth, start_id, node_id LIMIT 15")
 def topk_paths(g: Lens) -> DataFrame:
     edges, nodes = _world(g)
-    return graphs.first_arrivals(edges, nodes, _starts(g, "supplier", 3), 2).where("depth > 0").orderBy("depth", "start_id", "node_id").limit(15).select("start_id", "node_id", "depth")
+    return graphs.first_arrivals(edges, nodes, _starts(g), 2).where("depth > 0").orderBy("depth", "start_id", "node_id").limit(15).select("start_id", "node_id", "depth")
 
 
 @query(_ADJ + "SELECT start_id, node_id, depth, path FROM paths")
 def win_distinct_on_shortest(g: Lens) -> DataFrame:
     edges, nodes = _world(g)
-    found = graphs.first_arrivals(edges, nodes, _starts(g, "supplier", 3), 2).where("depth > 0")
+    found = graphs.first_arrivals(edges, nodes, _starts(g), 2).where("depth > 0")
     return found.select("start_id", "node_id", "depth", text.render_path(F.col("names"), F.col("rels")).alias("path"))
 
 
@@ -152,11 +155,11 @@ def win_distinct_on_shortest(g: Lens) -> DataFrame:
 def find_path(g: Lens) -> DataFrame:
     edges, nodes = _world(g)
     targets = g.spark.createDataFrame([("customer:5",), ("customer:11",), ("customer:77",), ("region:1",)], "target_id string")
-    return graphs.find_path(edges, nodes, _starts(g, "supplier", 3).join(F.broadcast(targets)), 2)
+    return graphs.find_path(edges, nodes, _starts(g).join(F.broadcast(targets)), 2)
 
 
 _HOPS = """, adj AS (SELECT source_id AS near, target_id AS far FROM (SELECT * FROM e_part_of UNION ALL SELECT * FROM e_member_of) UNION SELECT target_id, source_id FROM (SELECT * FROM e_part_of UNION ALL SELECT * FROM e_member_of)),
- h0 AS (SELECT 'supplier:' || i AS start_id, 'supplier:' || i AS node_id, 0 AS depth FROM range(1, 4) t(i)),
+ h0 AS (SELECT node_id AS start_id, node_id, 0 AS depth FROM n_supplier),
  h1 AS (SELECT * FROM h0 UNION ALL SELECT start_id, far, 1 FROM h0 JOIN adj ON near = node_id),
  h2 AS (SELECT * FROM h1 UNION ALL SELECT start_id, far, 2 FROM h1 JOIN adj ON near = node_id),
  hops AS (SELECT start_id, node_id, min(depth) AS depth FROM h2 GROUP BY 1, 2)
@@ -165,7 +168,7 @@ _HOPS = """, adj AS (SELECT source_id AS near, target_id AS far FROM (SELECT * F
 
 @query(_HOPS + "SELECT * FROM hops")
 def khop_nodes(g: Lens) -> DataFrame:
-    return graphs.khop_nodes(g.edges("PART_OF", "MEMBER_OF"), _starts(g, "supplier", 3), 2)
+    return graphs.khop_nodes(g.edges("PART_OF", "MEMBER_OF"), _starts(g), 2)
 
 
 @query(_HOPS + """, met AS (SELECT start_id, source_id, relationship, target_id, min(depth) AS d FROM (SELECT * FROM e_part_of UNION ALL SELECT * FROM e_member_of) e JOIN hops ON node_id IN (source_id, target_id) WHERE depth <= 1 GROUP BY ALL),
@@ -173,18 +176,18 @@ def khop_nodes(g: Lens) -> DataFrame:
  SELECT start_id, rank, a.label AS source, relationship, b.label AS target FROM (SELECT *, row_number() OVER (PARTITION BY start_id ORDER BY d, source_id, relationship, target_id) AS rank FROM met) m JOIN label a ON a.node_id = source_id JOIN label b ON b.node_id = target_id WHERE rank <= 40""")
 def khop_subgraph(g: Lens) -> DataFrame:
     edges, nodes = _world(g)
-    return graphs.khop_subgraph(edges, nodes, _starts(g, "supplier", 3), 2, 40)
+    return graphs.khop_subgraph(edges, nodes, _starts(g), 2, 40)
 
 
 @query("SELECT r.target_id AS start_id, r.source_id AS n1, m.source_id AS n2 FROM e_part_of r JOIN e_member_of m ON m.target_id = r.source_id")
 def set_union_all_walk(g: Lens) -> DataFrame:
     """A bounded walk as recursive SQL."""
-    g.edges("PART_OF", "MEMBER_OF").select("source_id", "target_id").createOrReplaceTempView("graphloom_steps")
+    steps = g.edges("PART_OF", "MEMBER_OF").select("source_id", "target_id")
     return g.spark.sql("""
         WITH RECURSIVE walk(path, node, depth) AS (
-            SELECT array(target_id), target_id, 0 FROM (SELECT DISTINCT target_id FROM graphloom_steps WHERE target_id LIKE 'region:%')
-            UNION ALL SELECT concat(path, array(source_id)), source_id, depth + 1 FROM walk JOIN graphloom_steps ON target_id = node WHERE depth < 2)
-        SELECT path[0] AS start_id, path[1] AS n1, path[2] AS n2 FROM walk WHERE depth = 2""")
+            SELECT array(target_id), target_id, 0 FROM (SELECT DISTINCT target_id FROM {steps} WHERE target_id LIKE 'region:%')
+            UNION ALL SELECT concat(path, array(source_id)), source_id, depth + 1 FROM walk JOIN {steps} ON target_id = node WHERE depth < 2)
+        SELECT path[0] AS start_id, path[1] AS n1, path[2] AS n2 FROM walk WHERE depth = 2""", steps=steps)
 
 
 @query("SELECT DISTINCT d.source_id AS n0, d.target_id AS n1, m.target_id AS n2, r.target_id AS n3 FROM e_depends_on d JOIN e_member_of m ON m.source_id = d.target_id JOIN e_part_of r ON r.source_id = m.target_id")
@@ -192,27 +195,27 @@ def match_pattern(g: Lens) -> DataFrame:
     return blocks.match_pattern(g.edges("DEPENDS_ON", "MEMBER_OF", "PART_OF"), [("DEPENDS_ON", ">"), ("MEMBER_OF", ">"), ("PART_OF", ">")])
 
 
-_RANKS = """, nn AS (SELECT node_id FROM n_region UNION ALL SELECT node_id FROM n_nation UNION ALL SELECT node_id FROM n_supplier UNION ALL SELECT node_id FROM n_customer),
- ee AS (SELECT source_id, target_id FROM e_part_of UNION ALL SELECT source_id, target_id FROM e_member_of), od AS (SELECT source_id AS node_id, count(*) AS o FROM ee GROUP BY 1),
+_RANKS = """, nn AS MATERIALIZED (SELECT node_id FROM n_region UNION ALL SELECT node_id FROM n_nation UNION ALL SELECT node_id FROM n_supplier UNION ALL SELECT node_id FROM n_customer),
+ ee AS MATERIALIZED (SELECT source_id, target_id FROM e_part_of UNION ALL SELECT source_id, target_id FROM e_member_of), od AS (SELECT source_id AS node_id, count(*) AS o FROM ee GROUP BY 1),
  r0 AS (SELECT node_id, 1.0::DOUBLE / (SELECT count(*) FROM nn) AS rank FROM nn)"""
-for _k in range(5):
+for _k in range(30):
     _RANKS += f""",
- r{_k + 1} AS (SELECT node_id, 0.15::DOUBLE / (SELECT count(*) FROM nn) + 0.85::DOUBLE * (SELECT coalesce(sum(rank), 0) FROM r{_k} ANTI JOIN od USING (node_id)) / (SELECT count(*) FROM nn) + 0.85::DOUBLE * coalesce(got, 0) AS rank
+ r{_k + 1} AS MATERIALIZED (SELECT node_id, 0.15::DOUBLE / (SELECT count(*) FROM nn) + 0.85::DOUBLE * (SELECT coalesce(sum(rank), 0) FROM r{_k} ANTI JOIN od USING (node_id)) / (SELECT count(*) FROM nn) + 0.85::DOUBLE * coalesce(got, 0) AS rank
   FROM nn LEFT JOIN (SELECT target_id AS node_id, sum(rank / o) AS got FROM ee JOIN r{_k} ON r{_k}.node_id = source_id JOIN od ON od.node_id = source_id GROUP BY 1) USING (node_id))"""
 
 
-@query(_RANKS + " SELECT node_id, round(rank / (SELECT max(rank) FROM r5), 4) AS rank FROM r5")
+@query(_RANKS + " SELECT node_id, round(rank / (SELECT max(rank) FROM r30), 4) AS rank FROM r30")
 def pagerank(g: Lens) -> DataFrame:
-    """Five rounds, so that the SQL beside it stays readable; the default is thirty."""
+    """Thirty rounds over the places and who belongs to them."""
     edges, nodes = _world(g)
-    return graphs.pagerank(nodes, edges, iterations=5)
+    return graphs.pagerank(nodes, edges)
 
 
-@query(_RANKS + " SELECT node_id, name, round(rank / (SELECT max(rank) FROM r5), 4)::VARCHAR AS importance FROM r5 JOIN n_nation USING (node_id)")
+@query(_RANKS + " SELECT node_id, name, round(rank / (SELECT max(rank) FROM r30), 4)::VARCHAR AS importance FROM r30 JOIN nodes USING (node_id)")
 def stamp_importance(g: Lens) -> DataFrame:
     edges, nodes = _world(g)
-    ranks = graphs.pagerank(nodes, edges, iterations=5)
-    own = nodes.where("canonical_node_id is null and node_type = 'nation'").join(ranks, "node_id")
+    ranks = graphs.pagerank(nodes, edges)
+    own = nodes.where("canonical_node_id is null").join(ranks, "node_id")
     return own.withColumn("properties", scores.stamp(F.col("properties"), "importance", F.col("rank"))).select("node_id", "name", F.try_element_at("properties", F.lit("importance")).alias("importance"))
 
 
@@ -251,8 +254,8 @@ def knn_join(g: Lens) -> DataFrame:
 
 
 def _vec_mentions(g: Lens) -> DataFrame:
-    """Two mentions of each third vector, one of the others."""
-    e = g.table("embeddings").withColumn("n", F.explode(F.when(F.col("vec_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    """Two mentions of each vector."""
+    e = g.table("embeddings").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
     return e.select(F.concat(F.lit("vec:"), "vec_id").alias("node_id"), F.concat(F.lit("m:"), "vec_id", F.lit(":"), "n").alias("document_id"))
 
 
@@ -261,7 +264,7 @@ def _vec_edges(g: Lens) -> DataFrame:
     return e.select(F.concat(F.lit("vec:"), "vec_id").alias("source_id"), F.concat(F.lit("vec:"), F.col("vec_id") + 3).alias("target_id"), F.lit("RELATES_TO").alias("relationship"))
 
 
-_LINKABLE = "split_part(a, ':', 2)::INT % 3 = 0 AND split_part(b, ':', 2)::INT % 3 = 0 AND abs(split_part(a, ':', 2)::INT - split_part(b, ':', 2)::INT) <> 3"
+_LINKABLE = "abs(split_part(a, ':', 2)::INT - split_part(b, ':', 2)::INT) <> 3"
 
 
 @query(_VEC + f"SELECT a, b, distance FROM vp WHERE distance <= 0.65 AND {_LINKABLE}")
@@ -335,6 +338,13 @@ def scan_orphans(g: Lens) -> DataFrame:
     return scans.scan_orphans(g.nodes(), g.edges(), g.mentions).select("dedup_key", "kind", "confidence")
 
 
+@query(_P + ", found AS (SELECT 'stale_flag' AS kind, 'stale_flag:' || c_custkey AS dedup_key, c_acctbal, c_custkey FROM customer) SELECT dedup_key FROM found ANTI JOIN proposals USING (kind, dedup_key) ORDER BY c_acctbal, c_custkey LIMIT 20")
+def scan_unfiled(g: Lens) -> DataFrame:
+    """What the queue has under any status takes no room among the first twenty."""
+    found = g.table("customer").select(F.concat(F.lit("stale_flag:"), "c_custkey").alias("dedup_key"), "c_acctbal", "c_custkey")
+    return scans.unfiled(found, "stale_flag", _queue(g), 20, ["c_acctbal", "c_custkey"]).select("dedup_key")
+
+
 @query("SELECT 'edge_removal' AS kind, source_id || ':' || relationship || ':' || target_id AS dedup_key FROM e_references WHERE confidence < 0.93")
 def scan_weak_edges(g: Lens) -> DataFrame:
     return scans.scan_weak_edges(g.edges("REFERENCES"), 0.93, None).select("kind", "dedup_key")
@@ -478,14 +488,30 @@ def record_mentions(g: Lens) -> DataFrame:
     return out.select(F.concat_ws("/", F.substring("node_id", 10, 30), F.substring("document_id", 6, 30)).alias("k"), "node_id", "document_id", "context")
 
 
-@query(_PART_TRI + """, known AS (SELECT name FROM dn WHERE length(name) % 2 = 0), fresh AS (SELECT name FROM dn WHERE length(name) % 2 = 1),
- ways AS (SELECT a AS name, b AS other, similarity FROM np UNION ALL SELECT b, a, similarity FROM np)
- SELECT f.name, arg_min('known:' || k.name, (-similarity, 'known:' || k.name)) AS node_id FROM fresh f JOIN ways USING (name) JOIN known k ON k.name = other WHERE similarity >= 0.45 GROUP BY 1""")
+@query(_PART_TRI + """, known AS (SELECT name FROM dn WHERE length(name) % 2 = 0), fresh AS (SELECT p_name AS name, min(p_partkey) AS seq FROM part WHERE length(p_name) % 2 = 1 GROUP BY 1),
+ ways AS (SELECT a AS name, b AS other, similarity FROM np WHERE similarity >= 0.45 UNION ALL SELECT b, a, similarity FROM np WHERE similarity >= 0.45),
+ matched AS (SELECT f.name, arg_min('known:' || k.name, (-similarity, 'known:' || k.name)) AS node_id FROM fresh f JOIN ways USING (name) JOIN known k ON k.name = other GROUP BY 1),
+ rest AS (SELECT name, seq FROM fresh ANTI JOIN matched USING (name)),
+ near AS (SELECT name, other FROM ways WHERE name IN (SELECT name FROM rest) AND other IN (SELECT name FROM rest)),
+ heads AS (SELECT name, arg_min(other, (seq, other)) AS head FROM (SELECT r.name, r.other, s.seq FROM (WITH RECURSIVE reach AS (SELECT name, name AS other FROM rest UNION SELECT reach.name, near.other FROM reach JOIN near ON near.name = reach.other) SELECT * FROM reach) r JOIN rest s ON s.name = r.other) GROUP BY 1)
+ SELECT name, node_id, 'enriched' AS change FROM matched UNION ALL SELECT name, sha256('part|' || head), CASE WHEN name = head THEN 'created' ELSE 'merged' END FROM heads""")
 def resolve_derived(g: Lens) -> DataFrame:
-    names = g.table("part").select(F.col("p_name").alias("name")).distinct()
+    names = g.table("part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("seq"))
     known = names.where("length(name) % 2 = 0").select(F.concat(F.lit("known:"), "name").alias("node_id"), F.lit("part").alias("node_type"), "name", F.lit(None).cast("string").alias("external_id"), F.lit(None).cast("string").alias("canonical_node_id"))
-    fresh = names.where("length(name) % 2 = 1").select(F.lit("part").alias("node_type"), "name", F.xxhash64("name").alias("seq"))
-    return resolve.resolve_derived(known, fresh, 0.45).where("change = 'enriched'").select("name", "node_id")
+    fresh = names.where("length(name) % 2 = 1").select(F.lit("part").alias("node_type"), "name", "seq")
+    return resolve.resolve_derived(known, fresh, 0.45).select("name", "node_id", "change")
+
+
+@query(""", nm AS (SELECT 'vec ' || vec_id AS name, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ gr AS (SELECT name, vec_id, v, list_distinct(flatten(list_transform(regexp_split_to_array(name, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i::INT, 3))))) AS g FROM nm),
+ cand AS (SELECT x.name, 'vec:' || y.vec_id AS node_id, round(1 - list_cosine_similarity(x.v, y.v), 12) AS d, round(len(list_intersect(x.g, y.g))::DOUBLE / len(list_distinct(list_concat(x.g, y.g))), 12) AS s FROM gr x JOIN gr y ON x.vec_id % 2 = 1 AND y.vec_id % 2 = 0)
+ SELECT name, arg_min(node_id, (d, -s, node_id)) AS node_id FROM cand WHERE s >= 0.55 OR d <= 0.6 GROUP BY 1""")
+def resolve_derived_vectors(g: Lens) -> DataFrame:
+    """Vectors of odd ids against those of even ids: by name or by vector, the nearest vector first."""
+    v = g.vectors.select("node_id", F.lit("vec").alias("node_type"), "name", "embedding", (F.split_part("node_id", F.lit(":"), F.lit(2)).cast("long")).alias("seq"))
+    none = F.lit(None).cast("string")
+    known = v.where("seq % 2 = 0").select("node_id", "node_type", "name", "embedding", none.alias("external_id"), none.alias("canonical_node_id"))
+    return resolve.match_derived(known, v.where("seq % 2 = 1"), 0.55, 0.6).select("name", F.col("matched_id").alias("node_id"))
 
 
 def _file_nodes(g: Lens) -> DataFrame:
@@ -557,8 +583,15 @@ def scan_schema_drift(g: Lens) -> DataFrame:
 
 @query(", r AS (SELECT event_type, props, event_id FROM events ORDER BY ts DESC, event_id LIMIT 50) SELECT 'kind_' || event_type AS dedup_key, arg_min(props, event_id) AS example FROM r GROUP BY event_type")
 def sample_missing_types(g: Lens) -> DataFrame:
-    recent = g.table("events").orderBy(F.col("ts").desc(), "event_id").limit(50)
-    found = recent.select(F.lit("node").alias("kind"), F.concat(F.lit("kind_"), "event_type").alias("name"), F.col("props").alias("example"), F.col("event_id").alias("document_id"))
+    """The newest documents go to an extractor that reports their source as a type that it lacks."""
+    recent = g.event_docs.orderBy(F.col("created_at").desc(), F.col("external_id").cast("long")).limit(50)
+    shown = recent.select("document_id", F.concat(F.lit("title: "), F.coalesce("title", "source_system"), F.lit("\n---\n"), text.clip_text(F.col("content"), 12_000)).alias("rendered"))
+
+    def extractor(document_id: str, rendered: str) -> dict:
+        title, body = rendered.split("\n---\n", 1)
+        return {"unmapped": [{"kind": "node", "name": f"kind_{title.removeprefix('title: ')}", "example": body}]}
+
+    found = extract.extract_model(shown, extractor).select(F.split_part("document_id", F.lit(":"), F.lit(2)).cast("long").alias("document_id"), F.inline("unmapped"))
     return extract.file_unmapped(found).select("dedup_key", F.try_element_at("payload", F.lit("example")).alias("example"))
 
 
@@ -604,9 +637,6 @@ def _queue(g: Lens) -> DataFrame:
     return q.select("proposal_id", "kind", F.create_map(F.lit("node_id"), "node_id").alias("payload"), "confidence", "agent", _no_bag().alias("evidence"), "dedup_key", "status", "created_at", "decided_at", "applied_at", F.lit(None).cast("string").alias("reviewed_by"), F.lit(None).cast("string").alias("error"))
 
 
-_P = blocks.PROPOSALS
-
-
 @query(_P + ", f AS (SELECT 'stale_flag:' || c_custkey AS dedup_key, round((c_custkey % 10) / 10.0, 2) AS confidence FROM customer) SELECT status, count(*) AS n FROM (SELECT status FROM proposals UNION ALL SELECT CASE WHEN confidence >= 0.9 THEN 'auto_applied' ELSE 'pending' END FROM f WHERE dedup_key NOT IN (SELECT dedup_key FROM proposals)) GROUP BY 1")
 def submit_proposals(g: Lens) -> DataFrame:
     found = g.table("customer").select(F.lit("stale_flag").alias("kind"), F.create_map(F.lit("node_id"), F.concat(F.lit("customer:"), "c_custkey")).alias("payload"), F.round(F.col("c_custkey") % 10 / 10, 2).alias("confidence"), F.lit("staleness").alias("agent"), _no_bag().alias("evidence"), F.concat(F.lit("stale_flag:"), "c_custkey").alias("dedup_key"))

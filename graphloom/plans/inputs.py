@@ -196,6 +196,13 @@ def write_graph_view(g: Lens) -> DataFrame:
     return dumps.graph_view(g.nodes("supplier", "nation"), g.edges("MEMBER_OF"), 100_000)
 
 
+@query("""SELECT 'node' AS kind, '{"id":"' || node_id || '","name":"' || name || '","type":"' || node_type || '"}' AS payload FROM (SELECT * FROM n_region UNION ALL SELECT * FROM n_nation) UNION ALL SELECT 'edge', '{"source":"' || source_id || '","target":"' || target_id || '","relationship":"PART_OF"}' FROM e_part_of""")
+def write_graph_view_near(g: Lens) -> DataFrame:
+    """What lies within a step of any region."""
+    regions = g.nodes("region").select(F.col("node_id").alias("start_id"))
+    return dumps.graph_view(g.nodes("region", "nation", "supplier"), g.edges("PART_OF"), 100_000, regions, 1)
+
+
 @query("SELECT user_id::VARCHAR AS request_id, list_sort(list_slice(list_sort(list('event:' || event_id)), 1, 100)) AS result_ids, count(*)::INT AS result_count FROM events GROUP BY 1")
 def write_audit(g: Lens) -> DataFrame:
     e = g.table("events").select(F.col("user_id").cast("string").alias("request_id"), F.concat(F.lit("event:"), "event_id").alias("node_id"))
@@ -244,8 +251,8 @@ def stream_late_reject(g: Lens) -> DataFrame:
 
 @query()
 def stream_rate_limit(g: Lens) -> DataFrame:
-    """At most three admitted events of a type in an hour; state can't be written as SQL."""
-    return replay.drained(replay.rate_limited(_events(g), "event_type", 3, 3600).select("event_id", "key", "allowed"))
+    """At most two admitted events of a user in a day; state can't be written as SQL."""
+    return replay.drained(replay.rate_limited(_events(g), "user_id", 2, 86_400).select("event_id", "key", "allowed"))
 
 
 @query("SELECT date_trunc('day', started_at) AS day, source_system, count(*) AS n_runs, count(*) FILTER (WHERE status = 'failed') AS n_failed FROM runs GROUP BY ALL")

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import graphs
+from ..session import written
+
 
 def dump_lines(tables: dict[str, DataFrame]) -> DataFrame:
     """(value) one JSON line per row, tagged by its table; tables keep the order given."""
@@ -35,9 +38,17 @@ def read_dump(spark: SparkSession, path: str, schemas: dict[str, str], target: d
     return out
 
 
-def graph_view(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """(kind, payload) JSON for a viewer: the first ``most`` nodes by id, and edges between them; ``</`` is escaped."""
-    kept = nodes.where("canonical_node_id is null").orderBy("node_id").limit(most).select("node_id", "name", "node_type")
+def graph_view(nodes: DataFrame, edges: DataFrame, most: int, starts: DataFrame | None = None, depth: int = 1) -> DataFrame:
+    """(kind, payload) JSON for a viewer: the first ``most`` nodes by id, and edges between them; ``</`` is escaped.
+
+    With ``starts`` (start_id) only what lies within ``depth`` steps of them, either way, aliases included.
+    """
+    if starts is None:
+        own = nodes.where("canonical_node_id is null")
+    else:
+        near = graphs.khop_nodes(edges, starts, max(1, depth)).select("node_id").distinct()
+        own = nodes.join(near, "node_id", "left_semi")
+    kept = written(own.orderBy("node_id").limit(most).select("node_id", "name", "node_type"), "view")
     ids = kept.select("node_id")
     inner = edges.join(ids.toDF("source_id"), "source_id", "left_semi").join(ids.toDF("target_id"), "target_id", "left_semi")
     safe = lambda c: F.replace(c, F.lit("</"), F.lit("<\\/"))

@@ -42,7 +42,7 @@ def local_notes(spark: SparkSession, folder: str, resource_key: str, most: int |
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt,markdown}").load(folder)
     root = folder.rstrip("/")
     name = F.regexp_replace("path", f"^.*{root.rsplit('/', 1)[-1]}/", "")
-    rows = files.select(name.alias("name"), F.decode(F.col("content"), "UTF-8").alias("content"))
+    rows = files.select(name.alias("name"), text.decoded(F.col("content")).alias("content"))
     rows = rows.withColumn("payload", F.to_json(F.struct(F.array_sort(text.wikilinks(F.col("content"))).alias("wikilinks"))))
     rows = rows if most is None else rows.orderBy("name").limit(most)
     stem = F.regexp_replace(F.element_at(F.split("name", "/"), -1), r"\.[^.]*$", "")

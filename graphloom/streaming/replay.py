@@ -64,14 +64,19 @@ def admitted(hits: list[int], now: int, limit: int, window_us: int) -> tuple[boo
     return (True, [*kept, now]) if len(kept) < limit else (False, kept)
 
 
-def rate_limited(stream: DataFrame, key: str, limit: int, window_seconds: int = 60) -> DataFrame:
-    """event_id, key, at, allowed: at most ``limit`` admitted hits a key in the trailing window. State holds at most
-    ``limit`` times a key and goes when idle for two windows."""
+def rate_limited(stream: DataFrame, key: str, limit: int, window_seconds: int = 60, lateness: str = "1 day") -> DataFrame:
+    """event_id, key, at, allowed: at most ``limit`` admitted hits a key in the trailing window.
+
+    Hits are taken in order of their time within a batch, batches as they come. State holds at most ``limit`` times a
+    key and goes when the watermark, ``lateness`` behind the newest hit, is two windows past the key's last hit; hits
+    later than that are not seen. Time is that of events, so a stream that has ended asks for no more batches.
+    """
     window = window_seconds * 1_000_000
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         if state.hasTimedOut:
             state.remove()
+            yield pd.DataFrame({"event_id": [], "key": [], "at": [], "allowed": []}).astype({"event_id": "int64", "key": "object", "at": "int64", "allowed": "bool"})
             return
         hits = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
@@ -80,11 +85,11 @@ def rate_limited(stream: DataFrame, key: str, limit: int, window_seconds: int =
             ok, hits = admitted(hits, int(at), limit, window)
             out.append((event_id, keys[0], at, ok))
         state.update((hits,))
-        state.setTimeoutDuration(2 * window_seconds * 1000)
+        state.setTimeoutTimestamp(max(int(rows["at"].max()) // 1000 + 2 * window_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "key", "at", "allowed"])
 
-    rows = stream.select("event_id", F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(step, "event_id long, key string, at long, allowed boolean", "hits array<long>", "append", "ProcessingTimeTimeout")
+    rows = stream.withWatermark("ts", lateness).select("event_id", F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("at"), "ts")
+    return rows.groupBy("key").applyInPandasWithState(step, "event_id long, key string, at long, allowed boolean", "hits array<long>", "append", "EventTimeTimeout")
 
 
 def on_time(stream: DataFrame, event: Column, arrived: Column, seconds: int = 300) -> DataFrame:

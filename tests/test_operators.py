@@ -202,3 +202,70 @@ def test_rate_limit():
         out.append(ok)
     assert out == [True, True, False, False, True, True]
     assert replay.admitted([], 5, 0, 60)[0]
+
+
+def test_rate_limit_stream(spark):
+    from graphloom.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    hits, want = {}, {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).orderBy("at", "event_id").collect():
+        kept = [t for t in hits.get(r["user_id"], []) if r["at"] - t <= 86_400_000_000]
+        want[r["event_id"]] = len(kept) < 2
+        hits[r["user_id"]] = kept + [r["at"]] * (len(kept) < 2)
+    got = {r["event_id"]: r["allowed"] for r in QUERIES["stream_rate_limit"](spark, sf).collect()}
+    assert got == want and len(set(want.values())) == 2
+
+
+def test_filed_findings_take_no_room(spark):
+    n = nodes_of(spark, *({"node_id": str(i), "node_type": "t", "name": f"n{i}"} for i in range(6)))
+    e = spark.createDataFrame([("0", "1", "R")], "source_id string, target_id string, relationship string")
+    m = spark.createDataFrame([("2", "d", "")], schema.MENTIONS)
+    queue = proposals.submit(spark.createDataFrame([], schema.PROPOSALS), scans.scan_orphans(n, e, m, 1), F.lit("2024-01-01").cast("timestamp"))
+    queue = queue.withColumn("status", F.lit("rejected"))
+    assert [r["dedup_key"] for r in queue.collect()] == ["3"]
+    assert [r["dedup_key"] for r in scans.scan_orphans(n, e, m, 1, queue).collect()] == ["4"]
+    assert scans.scan_orphans(n, e, m, 1, queue, limit_before_filed=True).count() == 0
+    assert scans.scan_orphans(n.limit(0), e, m).count() == 0
+
+
+def test_contradictions_that_are_filed_take_no_room(spark):
+    pairs = [({"node_id": f"a{i}", "node_type": "t", "name": f"a{i}", "properties": {"k": "1", "l": "1"}}, {"node_id": f"b{i}", "node_type": "t", "name": f"b{i}", "canonical_node_id": f"a{i}", "properties": {"k": "2", "l": "2"}}) for i in range(3)]
+    n = nodes_of(spark, *(x for p in pairs for x in p))
+    first = scans.scan_contradictions(n, 1)
+    assert sorted(r["dedup_key"] for r in first.collect()) == ["a0:b0:k", "a0:b0:l"]
+    queue = proposals.submit(spark.createDataFrame([], schema.PROPOSALS), first, F.lit("2024-01-01").cast("timestamp"))
+    assert sorted(r["dedup_key"] for r in scans.scan_contradictions(n, 1, queue).collect()) == ["a1:b1:k", "a1:b1:l"]
+    assert scans.scan_contradictions(n, 1, queue, True).count() == 0
+
+
+def test_entities_and_broken_text(spark):
+    d = spark.createDataFrame([(1, "caf&eacute; &#8217;x&#x2019; &hellip;", b"a\xffb\xc3\xa9"), (2, None, None), (3, "<b>plain</b>", b"ok")], "i int, t string, b binary")
+    got = {r["i"]: (r["t"], r["b"]) for r in d.select("i", text.strip_html(F.col("t")).alias("t"), text.decoded(F.col("b")).alias("b")).collect()}
+    assert got == {1: ("caf\u00e9 \u2019x\u2019 \u2026", "ab\u00e9"), 2: ("", None), 3: ("plain", "ok")}
+
+
+def test_derived_names_and_vectors(spark):
+    none = "external_id string, canonical_node_id string"
+    known = spark.createDataFrame([("k1", "t", "checkout flow", [1.0, 0.0], None, None), ("k2", "t", "billing", [0.0, 1.0], None, "k9"), ("k3", "t", "search index", None, None, None)], f"node_id string, node_type string, name string, embedding array<double>, {none}")
+    new = spark.createDataFrame([("t", "payments", [0.05, 1.0], 1), ("t", "checkout flows", [0.0, 1.0], 2), ("t", "search indexes", None, 3), ("t", "other", [-1.0, 0.1], 4), ("t", "thing", [-1.0, 0.0], 5), ("u", "billing", None, 6)], "node_type string, name string, embedding array<double>, seq int")
+    got = {(r["node_type"], r["name"]): (r["node_id"], r["change"]) for r in resolve.resolve_derived(known, new).collect()}
+    # a new name with a vector takes the nearest vector even if another name is more alike
+    assert got["t", "payments"] == ("k9", "enriched") and got["t", "checkout flows"] == ("k9", "enriched") and got["t", "search indexes"] == ("k3", "enriched")
+    assert got["t", "other"][1] == "created" and got["t", "thing"] == (got["t", "other"][0], "merged") and got["u", "billing"][1] == "created"
+
+
+def test_same_names_of_one_source_never_meet(spark):
+    rows = [{"node_id": f"{s}{i}", "node_type": "t", "name": "same", "source_system": s, "external_id": str(i)} for s in ("a", "b") for i in range(3)]
+    rows += [{"node_id": f"n{i}", "node_type": "t", "name": "same"} for i in range(2)]
+    got = {(r["a"], r["b"]) for r in scans.fuzzy_pairs(nodes_of(spark, *rows), 0.45).collect()}
+    ids = [(r["node_id"], r.get("source_system")) for r in rows]
+    assert got == {tuple(sorted((i, j))) for i, s in ids for j, t in ids if i != j and (s is None or t is None or s != t)}
+
+
+def test_view_of_a_neighbourhood(spark):
+    n = nodes_of(spark, *({"node_id": i, "node_type": "t", "name": i} for i in "abcd"))
+    e = spark.createDataFrame([("a", "b", "R"), ("c", "b", "R"), ("c", "d", "R")], "source_id string, target_id string, relationship string")
+    starts = spark.createDataFrame([("a",)], "start_id string")
+    ids = lambda depth: sorted(r["payload"][7] for r in dumps.graph_view(n, e, 10, starts, depth).where("kind = 'node'").collect())
+    assert ids(1) == ["a", "b"] and ids(2) == ["a", "b", "c"]

@@ -10,7 +10,6 @@ from graphloom.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"pagerank", "stamp_importance"}
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +32,7 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(n for n in ORACLES if not n.startswith("stream_") and n not in SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
