@@ -10,13 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scores, text
+from ..functions import scores, stems, text
 from . import reads
 
-# Words that carry no search meaning.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
-STEM = r"(?:ing|ed|es|s)$"
-
 
 def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_block: int = 8192, query_block: int = 1024) -> DataFrame:
     """request_id, rank, node_id, similarity: the k nearest vectors of each query (request_id, embedding); exact.
@@ -50,17 +46,15 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_
 
 
 def tokens(body: Column) -> Column:
-    """Lower-case words without stop words, common endings cut from words of more than four letters."""
-    words = F.filter(F.split(F.lower(F.coalesce(body, F.lit(""))), text.NOT_ALNUM), lambda w: (w != "") & ~w.isin(STOP_WORDS))
-    return F.transform(words, lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, STEM, "")).otherwise(w))
+    """Stems of the lower-case words that are no stop words."""
+    return stems.stemmed(F.filter(F.split(F.lower(F.coalesce(body, F.lit(""))), text.NOT_ALNUM), lambda w: (w != "") & ~w.isin(stems.STOP_WORDS)))
 
 
 def parse_query(query: str) -> list[list[tuple[bool, list[str]]]]:
     """Alternatives (OR) of parts, all of which must hold; a part is (wanted, words in a row)."""
 
     def words(s: str) -> list[str]:
-        found = [w for w in re.split(r"[\W_]+", s.lower()) if w and w not in STOP_WORDS]
-        return [re.sub(STEM, "", w) if len(w) > 4 else w for w in found]
+        return [stems.stem(w) for w in re.split(r"[\W_]+", s.lower()) if w and w not in stems.STOP_WORDS]
 
     out: list[list[tuple[bool, list[str]]]] = [[]]
     for minus, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):

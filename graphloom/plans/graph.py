@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions import scores, text
+from ..functions import scores, stems, text
 from ..lens import Lens
 from ..operators import extract, graphs, proposals, resolve, scans, search
 from ..session import written
@@ -45,7 +45,7 @@ def topk_cosine(g: Lens) -> DataFrame:
     return search.semantic_search(g.vectors, _vector_queries(g), 20).select("request_id", "node_id", "similarity")
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + "]"
+_STOP = "[" + ", ".join(f"'{w}'" for w in stems.STOP_WORDS) + "]"
 _KEYWORDS = f""", k0 AS (SELECT p_partkey, p_name AS name, list_transform(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND NOT list_contains({_STOP}, w)), lambda w: CASE WHEN length(w) > 4 THEN regexp_replace(w, '(?:ing|ed|es|s)$', '') ELSE w END) AS t FROM part),
 """
 

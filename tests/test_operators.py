@@ -45,6 +45,19 @@ def test_scores(spark):
     assert one(d.select(scores.epoch_ts(f("x")))) is None
 
 
+def test_english_stems(spark):
+    # words and stems as the stemmer's authors publish them
+    pairs = "consigned consign consistency consist consolatory consolatori conspirators conspir constancy constanc knackeries knackeri knitted knit generically generic skies sky ties tie hopping hop hoping hope national nation happy happi news news exceed exceed".split()
+    words, want = pairs[::2], pairs[1::2]
+    d = spark.createDataFrame([(1, words), (2, []), (3, words[:2])], "i int, w array<string>")
+    from graphloom.functions import stems
+
+    got = {r["i"]: r["s"] for r in d.select("i", stems.stemmed(F.col("w")).alias("s")).collect()}
+    assert got == {1: want, 2: [], 3: want[:2]}
+    n = nodes_of(spark, {"node_id": "1", "node_type": "t", "name": "Deployed the services"}, {"node_id": "2", "node_type": "t", "name": "servants"})
+    assert [r["node_id"] for r in search.keyword_search(n, "deploying service", 5).collect()] == ["1"]
+
+
 def test_pagerank_of_the_whole_graph(spark):
     from graphloom.lens import Lens
     from graphloom.plans import QUERIES
