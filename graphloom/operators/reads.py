@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..session import written
 
 
 def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "both", most: int | None = None, of: DataFrame | None = None) -> DataFrame:
@@ -50,6 +51,20 @@ def ranked(df: DataFrame, per: list[str], order: list[Column], most: int) -> Dat
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).where(F.col("rank") <= most)
 
 
+def wide_ranks(df: DataFrame, per: list[str], order: list[Column]) -> DataFrame:
+    """All rows with their ``rank`` in groups of any size: ranges of the order are numbered side by side, and each
+    starts after the rows of its group in the ranges before."""
+    spread = written(df.repartitionByRange(*per, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = spread.groupBy(*per, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*per).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*(F.col(c).alias(f"_{c}") for c in per), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = spread.withColumn("rank", F.row_number().over(Window.partitionBy(*per, "_range").orderBy(*order)))
+    same = F.col("_range") == F.col("_at")
+    for c in per:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return own.join(starts, same).select(*df.columns, (F.col("rank") + F.col("_start")).alias("rank"))
+
+
 def entity_timeline(mentions: DataFrame, docs: DataFrame, most: int = 20) -> DataFrame:
     """Newest documents of each node."""
     seen = mentions.select("node_id", "document_id").join(docs, "document_id")

@@ -179,9 +179,9 @@ def fn_stale_confidence(g: Lens) -> DataFrame:
 
 @query("SELECT user_id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM (SELECT user_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) GROUP BY 1")
 def fn_rrf(g: Lens) -> DataFrame:
-    from ..operators.reads import ranked
+    from ..operators.reads import wide_ranks
 
-    legs = ranked(g.table("events"), ["event_type"], [F.col("value").desc(), F.col("event_id")], 1 << 30)
+    legs = wide_ranks(g.table("events"), ["event_type"], [F.col("value").desc(), F.col("event_id")])
     return legs.groupBy("user_id").agg(F.round(F.sum(scores.rrf(F.col("rank"))), 6).alias("score"))
 
 

@@ -282,3 +282,11 @@ def test_view_of_a_neighbourhood(spark):
     starts = spark.createDataFrame([("a",)], "start_id string")
     ids = lambda depth: sorted(r["payload"][7] for r in dumps.graph_view(n, e, 10, starts, depth).where("kind = 'node'").collect())
     assert ids(1) == ["a", "b"] and ids(2) == ["a", "b", "c"]
+
+
+def test_ranks_in_groups_of_any_size(spark):
+    rows = [(k, i % 7, i) for k, n in (("a", 500), (None, 200), ("b", 3)) for i in range(n)]
+    d = spark.createDataFrame(rows, "k string, v int, i int")
+    got = {(r["k"], r["i"]): r["rank"] for r in reads.wide_ranks(d, ["k"], [F.col("v").desc(), F.col("i")]).collect()}
+    want = {(k, i): n for key in ("a", "b", None) for n, (k, _, i) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2])), 1)}
+    assert got == want
