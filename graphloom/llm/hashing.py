@@ -7,13 +7,15 @@ No Python string is made.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+#: Small enough for a block's arrays to stay in a core's cache, and for a worker to stay small.
+BLOCK_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -65,6 +67,12 @@ def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[
         first = min(last, n)
 
 
+def give_back() -> None:
+    """Return what Arrow's pool holds but doesn't use; a worker that waits for its next task then stays small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 class Words:
     """The words of some rows: ``hashes``, and ``rows`` offsets into them (one more than rows)."""
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .hashing import SPACE, Words, raw_text, row_blocks
+from .hashing import SPACE, Words, give_back, raw_text, row_blocks
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_distinct_words", "n_upper", "n_exclaims", "n_digits", "n_lines")
@@ -91,6 +91,7 @@ def _counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             cols["n_dup_lines"].append(lines[:, 0])
             cols["n_lines"].append(lines[:, 1])
         yield pa.StructArray.from_arrays([pa.array(np.concatenate(cols[k]) if cols[k] else np.empty(0, np.int64), pa.int64()) for k in BASE + MORE], list(BASE + MORE))
+    give_back()
 
 
 def text_statistics(docs: DataFrame, *more: str) -> DataFrame:

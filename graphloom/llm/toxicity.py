@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
-from .hashing import NOT_WORD, Words, raw_text, row_blocks
+from .hashing import NOT_WORD, Words, give_back, raw_text, row_blocks
 
 BITS = 22
 #: Labelled rows that the weights are fitted on, at most: those of the lowest hashes of their ids, whatever the label,
@@ -77,16 +77,19 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def _slot_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, label and text to key, label and the distinct slots."""
+@F.arrow_udf(ArrayType(IntegerType()))
+def _slot_sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The distinct slots of each text."""
     for batch in batches:
-        data, offsets = raw_text(batch.column(2))
+        data, offsets = raw_text(batch)
+        parts = []
         for a, b in row_blocks(offsets):
             slots, row = _features(data, offsets[a : b + 1])
             own = np.unique(row * np.int64(1 << BITS) + slots)
             cut = np.searchsorted(own >> BITS, np.arange(b - a + 1)).astype(np.int32)
-            sets = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((own & ((1 << BITS) - 1)).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), sets], ["key", "label", "slots"])
+            parts.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((own & ((1 << BITS) - 1)).astype(np.int32))))
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+    give_back()
 
 
 def _trained(batches: Iterator[pa.RecordBatch], epochs: int) -> Iterator[pa.RecordBatch]:
@@ -94,15 +97,17 @@ def _trained(batches: Iterator[pa.RecordBatch], epochs: int) -> Iterator[pa.Reco
     rows: list[tuple[int, np.ndarray, int]] = []
     for batch in batches:
         cut, slots = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
-        rows += [(key, slots[cut[i] : cut[i + 1]].copy(), label) for i, (key, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))]
+        rows += [(key, slots[cut[i] : cut[i + 1]], label) for i, (key, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))]
     rows.sort(key=lambda x: x[0])
     model = Ftrl()
     for _ in range(epochs):
         for _, slots, label in rows:
             model.learn(slots.astype(np.int64), label)
-    w = model.weights()
-    at = np.flatnonzero(w)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], ["slot", "weight"])
+    rows.clear()
+    at = np.flatnonzero(np.abs(model.z) > model.l1)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(model.weights(at), pa.float64())], ["slot", "weight"])
+    batch = model = None
+    give_back()
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, epochs: int = 3, sample: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -118,7 +123,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, epochs: int = 3, sample: in
         return np.empty(0, np.int64), np.empty(0), share
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    sets = rows.select(F.xxhash64("doc_id", "text").alias("key"), F.col("_label").alias("label"), "text").mapInArrow(_slot_sets, "key long, label int, slots array<int>")
+    sets = rows.select(F.xxhash64("doc_id", "text").alias("key"), F.col("_label").alias("label"), _slot_sets("text").alias("slots"))
     got = sets.repartition(1).mapInArrow(lambda it: _trained(it, epochs), "slot long, weight double").toPandas()
     return got["slot"].to_numpy(), got["weight"].to_numpy(), share
 
@@ -144,6 +149,8 @@ def score_column(spark: SparkSession, text: Column, model: tuple[np.ndarray, np.
                 known = (np.bincount(row, minlength=b - a) > 0) & (len(slots) > 0)
                 out.append(np.where(known, 1 / (1 + np.exp(-np.clip(logit, -35, 35))), share))
             yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
+        table = batch = data = None
+        give_back()
 
     return score(text)
 
