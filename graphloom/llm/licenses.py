@@ -120,7 +120,6 @@ def _pairs() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         sizes = sorted((len(_pieces([x]).hashes) for x in own), reverse=True)
         edits = int(DIFFERING * len(own))
         undone = sum(n + 1 for n in sizes[:edits]) + sum(_VERSION.fullmatch(x) is not None for x in own)
-        # a pair that the template has twice counts once, and may be undone at both
         sets.append(pairs)
         need.append(max(1, len(pairs) - undone))
         reach.append(len(w.hashes) + PIECES * edits + 8)
@@ -149,9 +148,10 @@ def nearest(template: list[str], block: list[str]) -> tuple[int, int, int, int]
         return None
     # only the surroundings of the rarest word that must match
     must = [w for w, f in zip(template, fixed) if f]
+    rarest = min(must, key=block.count) if must else None
     reach = len(template) + limit
     spans: list[list[int]] = []
-    for at in (i for i, w in enumerate(block) if w == min(must, key=block.count)) if must else range(0, len(block), reach):
+    for at in (i for i, w in enumerate(block) if w == rarest) if must else range(0, len(block), reach):
         if spans and at - reach <= spans[-1][1]:
             spans[-1][1] = at + reach
         else:

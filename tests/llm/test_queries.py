@@ -236,9 +236,8 @@ def brute_license(own, block):
 def test_licenses_equal_brute_force():
     rng = random.Random(12)
     filler = "the of a to and license under software notice copyright terms page text 2 mit".split()
-    found, lost = 0, []
-    for k in range(60):
-        text = []
+    found = 0
+    for _ in range(25):
         planted = rng.choice(list(licenses.TEMPLATES))
         own = licenses.TEMPLATES[planted].split()
         for _ in range(rng.randrange(3)):
@@ -256,7 +255,7 @@ def test_licenses_equal_brute_force():
                     got[name] = min(near[0], got.get(name, near[0]))
         assert {n: e for n, e in got.items() if n in short} == want, text
         found += len(want)
-    assert found > 30
+    assert found > 15
 
 
 def test_recall_of_altered_notices():
