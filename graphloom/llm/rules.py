@@ -210,8 +210,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[
     chosen = labels.select("doc_id", F.col("quality").cast("int").alias("_quality")).where("doc_id is not null and _quality is not null").groupBy("doc_id").agg(F.max("_quality").alias("_quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = text_statistics(rows, "_quality").where(~base_failed()).orderBy(F.xxhash64("doc_id"), "doc_id")
-    got = rows.select("_quality", *(F.expr(sql).cast("double").alias(k) for k, sql in FEATURES.items())).toPandas()
+    rows = text_statistics(rows, "_quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # a filter before the sort would have Spark count twice: for the filter, and for what passes it
+    got = rows.select("_quality", base_failed().alias("_failed"), *(F.expr(sql).cast("double").alias(k) for k, sql in FEATURES.items())).toPandas()
+    got = got[~got["_failed"].astype(bool)]
     if not len(got):
         return []
     return learn_rules({k: got[k].to_numpy() for k in FEATURES}, (got["_quality"] == 0).to_numpy())
