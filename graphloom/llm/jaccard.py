@@ -217,18 +217,24 @@ def shared_lists(posts: DataFrame, num: int, den: int) -> DataFrame:
     return lists.join(about, ["shingle", "cls"])
 
 
-def _likely_members(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+def _likely_members(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sizes and sketches of fixed width allow the similarity."""
-    side = members.select("node", "size", *_WORDS)
+    side = sketched.select("node", "size", *_WORDS)
     both = pairs.join(side.alias("x"), F.col("a") == F.col("x.node")).join(side.alias("y"), F.col("b") == F.col("y.node"))
     return both.where(_similar_sizes(F.col("x.size"), F.col("y.size"), num, den) & _sketches_allow("x", "y", num, den)).select("a", "b")
 
 
-def _with_parts(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members with their component so far and its size."""
-    parts = written(components(links), "parts")
-    parts = parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("part_size")), "component")
-    return members.join(parts, "node", "left").select("gid", "node", "size", "n_members", F.coalesce("component", "node").alias("part"), F.coalesce("part_size", F.lit(1)).alias("part_size"), *_WORDS)
+def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with ``part``, the smallest node of their component with the new links, and its size.
+
+    Only components that a link joins take part in the rounds, so later calls have little to do.
+    """
+    to = members.select("node", "part")
+    ends = links.join(to.toDF("a", "pa"), "a").join(to.toDF("b", "pb"), "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    found = components(ends).toDF("part", "component")
+    own = members.drop("part_size").join(found, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
+    own = written(own, "parts")
+    return written(own.join(own.groupBy("part").agg(F.count(F.lit(1)).alias("part_size")), "part"), "members")
 
 
 def similar_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -242,7 +248,8 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -
     # equal digests have equal sets: the columns of any row stand for all
     nodes = written(some.groupBy(*_DIGEST).agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("size", *_GROUP, *_WORDS))), "nodes")
     groups = nodes.groupBy(*_GROUP).agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("n_members"))
-    members = written(nodes.drop(*_DIGEST).join(groups, _GROUP).drop(*_GROUP), "members")
+    sketched = written(nodes.drop(*_DIGEST).join(groups, _GROUP).drop(*_GROUP), "members")
+    members = sketched.drop(*_WORDS).withColumns({"part": F.col("node"), "part_size": F.lit(1).cast("long")})
 
     def check(pairs: DataFrame) -> DataFrame:
         likely_pairs = likely(written(pairs, "pairs"), signed, num, den)
@@ -256,8 +263,7 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -
     p = p.where(_similar_sizes(F.col("p.size"), F.col("q.size"), num, den) & _positions_allow("p", "q", num, den))
     first = p.select(F.least("p.gid", "q.gid").alias("a"), F.greatest("p.gid", "q.gid").alias("b")).distinct()
     first = first.unionByName(members.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b")))
-    links = check(_likely_members(first, members, num, den))
-    members = written(_with_parts(members, links), "members")
+    members = _joined(members, check(_likely_members(first, sketched, num, den)))
 
     # what is outside the largest component of a list meets the hub of that component
     lists = lists.select("shingle", "cls", "gid", "pos").withColumn("own", F.lit(False))
@@ -269,20 +275,18 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -
     near = hubs.select("shingle", "own", "q", F.explode(F.array(*(F.col("cls") + k for k in (-1, 0, 1)))).alias("cls"))
     p = others.join(near, ["shingle", "own", "cls"]).where(_similar_sizes(F.col("p.size"), F.col("q.size"), num, den) & _positions_allow("p", "q", num, den))
     second = p.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-    more = check(_likely_members(second, members, num, den))
-    links = links.unionByName(more)
-    members = written(_with_parts(members.drop("part", "part_size"), links), "members")
+    members = _joined(members, check(_likely_members(second, sketched, num, den)))
 
     # pairs that could still join two components
-    entries = written(_entries(lists, members).join(members.select("node", *_WORDS), "node"), "entries")
+    entries = written(_entries(lists, members).join(sketched.select("node", *_WORDS), "node"), "entries")
     x, y = entries.where("part <> top").alias("x"), entries.alias("y")
     meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.own") == F.col("y.own")) & (F.col("x.part") != F.col("y.part"))
     meet &= (F.col("y.part") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
     meet &= _similar_sizes(F.col("x.size"), F.col("y.size"), num, den) & _positions_allow("x", "y", num, den) & _sketches_allow("x", "y", num, den)
     last = x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    found = written(components(links.unionByName(check(last))), "components")
+    members = _joined(members, check(last))
 
-    classes = nodes.select(*_DIGEST, "node").join(found, "node", "left").select(*_DIGEST, F.coalesce("component", "node").alias("component"))
+    classes = nodes.select(*_DIGEST, "node").join(members.select("node", F.col("part").alias("component")), "node").drop("node")
     rows = signed.where("size > 0").select("doc_id", "size", *_DIGEST).join(classes, _DIGEST, "left").select("doc_id", "size", "component")
     rows = rows.unionByName(signed.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component")))
     return rows.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
