@@ -110,7 +110,8 @@ def linear_issues(df: DataFrame) -> DataFrame:
 
 def confluence_pages(df: DataFrame, base: str) -> DataFrame:
     p = df.withColumn("p", F.from_json("payload", "id string, title string, space string, body string, webui string, created string, updated string, comments array<struct<who:string, said:string>>"))
-    said = F.transform("p.comments", lambda c: F.struct(c["who"].alias("who"), text.strip_html(c["said"]).alias("said")))
+    stripped = text.strip_html_each(F.transform("p.comments", lambda c: c["said"]))
+    said = F.zip_with("p.comments", stripped, lambda c, s: F.struct(c["who"].alias("who"), s.alias("said")))
     return _doc(p, "confluence_page", F.col("p.id"), F.col("p.title"), with_comments(text.strip_html(F.col("p.body")), said), url=F.concat(F.lit(base), "p.webui"), source_created_at=scores.iso_ts(F.col("p.created")), source_updated_at=scores.iso_ts(F.col("p.updated")), resource_key=F.col("p.space"))
 
 
