@@ -70,21 +70,23 @@ def latest_holders(held: DataFrame, asked: DataFrame) -> DataFrame:
     yes, no = F.lit(True), F.lit(False)
     rows = held.select("conv_id", "key", "turn", yes.alias("holds"), no.alias("asks")).unionByName(asked.select("conv_id", "key", "turn", no.alias("holds"), yes.alias("asks")))
     rows = rows.groupBy("conv_id", "key", "turn").agg(F.max("holds").alias("holds"), F.max("asks").alias("asks"))
-    rows = rows.withColumn("holder", F.when(F.col("holds"), F.col("turn").cast("long"))).withColumn("at", F.col("turn").cast("long"))
-    found = []
-    for level in range(3):
-        # of the last level all blocks of a hash are one window
-        block = F.floor(F.col("at") / BLOCK) if level < 2 else F.lit(0).cast("long")
-        rows = rows.withColumn("block", block)
+    rows = rows.withColumns({"holder": F.when(F.col("holds"), F.col("turn").cast("long")), "at": F.col("turn").cast("long")})
+
+    def in_blocks(rows: DataFrame, block: Column) -> DataFrame:
         before = Window.partitionBy("conv_id", "key", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-        found.append(rows.withColumn("before", F.max("holder").over(before)))
-        rows = rows.groupBy("conv_id", "key", F.col("block").alias("at")).agg(F.max("holder").alias("holder"))
-    near, blocks, far = found
-    near = near.where("asks").select("conv_id", "key", "turn", "block", "before")
-    for k, up in enumerate((blocks, far)):
-        up = up.select("conv_id", "key", F.col("at").alias("block"), F.col("block").alias(f"_b{k}"), F.col("before").alias("_up"))
-        near = near.join(up, ["conv_id", "key", "block"]).select("conv_id", "key", "turn", F.col(f"_b{k}").alias("block"), F.coalesce("before", "_up").alias("before"))
-    return near.where("before is not null").select("conv_id", "key", "turn", F.col("before").alias("holder"))
+        return rows.withColumn("block", block).withColumn("before", F.max("holder").over(before))
+
+    near = written(in_blocks(rows, F.floor(F.col("at") / BLOCK)), "holders")
+    found = near.where("asks and before is not null").select("conv_id", "key", "turn", "before")
+    # only what its own block doesn't answer goes on to blocks, and blocks of blocks
+    left = near.where("asks and before is null").select("conv_id", "key", "turn", "block")
+    up = near.join(left.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi")
+    for block in (F.floor(F.col("at") / BLOCK), F.lit(0).cast("long")):
+        up = in_blocks(up.groupBy("conv_id", "key", F.col("block").alias("at")).agg(F.max("holder").alias("holder")), block)
+        met = left.join(up.select("conv_id", "key", F.col("at").alias("block"), F.col("block").alias("next"), "before"), ["conv_id", "key", "block"])
+        found = found.unionByName(met.where("before is not null").select("conv_id", "key", "turn", "before"))
+        left = met.where("before is null").select("conv_id", "key", "turn", F.col("next").alias("block"))
+    return found.withColumnRenamed("before", "holder")
 
 
 def quote_links(passages: DataFrame) -> DataFrame:
