@@ -33,12 +33,12 @@ def src_parquet(g: Lens) -> DataFrame:
 
 @query("SELECT 'note-' || page_id AS note, '{\"wikilinks\":[\"a\",\"p' || page_id || '\"]}' AS raw_payload, 'vault' AS resource_key FROM pages")
 def src_local_notes(g: Lens) -> DataFrame:
-    """Each page becomes a note in a folder of its own."""
+    """Each page becomes a note, a file of its own."""
     folder = f"{new_path(g.spark, 'notes')}/vault"
-    notes = g.table("pages").select(F.concat(F.lit("[[p"), "page_id", F.lit("|x]] see [[a]] and [[p"), "page_id", F.lit("#top]]")).alias("value"), F.concat(F.lit("note-"), "page_id").alias("name"))
-    notes.write.partitionBy("name").option("compression", "none").text(folder)
+    notes = g.table("pages").select(F.concat(F.lit("[[p"), "page_id", F.lit("|x]] see [[a]] and [[p"), "page_id", F.lit("#top]]")).alias("value"))
+    notes.write.option("maxRecordsPerFile", 1).option("compression", "none").text(folder)
     found = landed.local_notes(g.spark, folder, "vault")
-    return found.select(F.regexp_extract("external_id", "name=([^/]*)/", 1).alias("note"), "raw_payload", "resource_key")
+    return found.select(F.concat(F.lit("note-"), F.regexp_extract("content", r"\[\[p([^|]*)\|", 1)).alias("note"), "raw_payload", "resource_key")
 
 
 @query("SELECT 'org/shop#' || o_orderkey AS external_id, 'PR #' || o_orderkey || ': order' || chr(10) || 'State: ' || CASE WHEN o_orderstatus = 'F' THEN 'merged' ELSE 'open' END || chr(10) || chr(10) || o_orderpriority AS content, o_orderdate AS source_created_at FROM orders")
