@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path, written
-from . import bpe, exact_dedup, idmaps, jaccard, licenses, packing, quotes, rules, token_rollup, toxicity, warc
+from . import bpe, divergence, exact_dedup, idmaps, jaccard, licenses, packing, quotes, recompression, rules, secrets, token_rollup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,9 +108,48 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), *_ranks())
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of every language against the others and against the language."""
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of what the patterns find, and all spans."""
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    kinds = F.array(*map(F.lit, secrets.KINDS))
+    named = F.filter("spans", lambda s: s["kind"] < 3)
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(joined(named), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """The documents, words from place a on repeated with period p in every tenth by the checksum of doc_id; a and p are
+    by that checksum and the number of words."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    some = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n, g = F.size("words").cast("long"), F.expr("h div 10")
+    some = some.withColumns({"n": n, "g": g}).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    some = some.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = "concat(slice(words, 1, int(a)), slice(flatten(array_repeat(slice(words, int(a + 1), int(p)), int((n - a) div p + 1))), 1, int(n - a)))"
+    return some.select("doc_id", F.when(F.col("n") > 0, F.expr(f"array_join({again}, ' ')")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document."""
+    found = recompression.periodic_runs(_with_periods(_table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumns({"best": best, "lines": F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")})
+    return found.selectExpr(
+        "doc_id", "bigint(size(runs)) AS n_runs", "best.start", "-best.minus AS length", "best.period", "-1000 * best.minus div best.period AS exponent_milli",
+        "sha2(lines, 256) AS runs_sha256", "sha2(collapsed, 256) AS collapsed_sha256",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    found = [op1_toxicity, op2_token_counts, op3_quote_threads, op4_exact_dedup, op5_packing, op6_warc, op7_quality_rules, op8_license_scan, op9_jaccard_join, op10_byte_bpe]
+    found = [op1_toxicity, op2_token_counts, op3_quote_threads, op4_exact_dedup, op5_packing, op6_warc, op7_quality_rules, op8_license_scan, op9_jaccard_join, op10_byte_bpe, op11_source_divergence, op12_secret_scan, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 
@@ -147,4 +186,19 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
                    CASE WHEN page_id <> top THEN top END AS refers_to, true AS intact
             FROM m""",
+        "op11_source_divergence": r"""
+            WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+            w AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{80}-\x{10FFFF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+            l AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+            c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN l ON l.lang = w.lang AND l.term = w.term GROUP BY 1, 2, 3),
+            g AS (SELECT DISTINCT lang, source FROM d),
+            every AS (SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n, l.n AS lang_n FROM g JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+            weighed AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source) AS a, sum(lang_n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source) AS b FROM every),
+            p AS (SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 5)) // a)::BIGINT AS p, (1 + (1000000000::HUGEINT * (lang_n + 5)) // b)::BIGINT AS q FROM weighed),
+            sums AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p))::BIGINT AS value FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY 1, 2, 3),
+            pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(s.value, 0) AS value FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source
+                      LEFT JOIN sums s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+            found AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM found
+            QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50""",
     }
