@@ -9,9 +9,13 @@
    the head of their group. What is verified is joined into components; so a large group of near copies costs a pair
    or two for each row and list.
 4. Members outside the largest component of a list then meet that component's hub, in the same way.
-5. Last, every pair of groups that shares a prefix shingle and could still join two components is expanded to members,
-   filtered by size, position and sketch, and verified on whole sets. So no link between components is lost, and
-   pairs inside a component, which can't change it, aren't made.
+5. Last, pairs that could still join two components. Where all but the largest component of a list are a few entries,
+   every such entry meets the list. Where they are more, their pairs would grow with the square of the list, so there
+   the prefix gives way to parts: hashed shingles deal a set out to more parts than the two sets may differ in, so one
+   part at least must be equal (or, where parts would be small, be equal but for one shingle, in half as many parts).
+   Texts of a common stock of sentences share most of their prefixes, but hardly any part. What meets is filtered by
+   size, position and sketch, and verified on whole sets. So no link between components is lost, and pairs inside a
+   component, which can't change it, aren't made.
 
 Lists are counted and hubs chosen by aggregates, which are combined before they move; no window or array gathers a list.
 
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .components import components
-from .hashing import SPACE, Words, raw_text, row_blocks, shingle_sets
+from .hashing import SPACE, Words, mix, raw_text, row_blocks, shingle_sets
 from .idmaps import MAP_BITS, id_map
 
 #: Shingles in a task's summary, and in the list that all tasks get (16 bytes each), at most.
@@ -50,6 +54,10 @@ CELLS = 1 << 24
 SKETCH = 32
 _WORDS = [f"s{k}" for k in range(SKETCH)]
 _DIGEST, _GROUP = ["d0", "d1"], ["g0", "g1"]
+#: Entries of a list outside its largest component that meet the whole list; more of them meet by parts.
+FEW = 16
+#: Shingles of a part, about, below which one may be missing.
+PART = 6
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -237,6 +245,63 @@ def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
     return written(own.join(own.groupBy("part").agg(F.count(F.lit(1)).alias("part_size")), "part"), "members")
 
 
+def part_keys(values: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set's parts, and of its parts less one shingle if these may differ in one; similar sets share a key of
+    the first kind, or one has a key of the first kind that is one of the other's second kind.
+
+    A set is dealt out for its class of sizes together with the one above, and with the one below. Two similar sets are
+    dealt out alike for the class of the smaller one, in more parts than sets of that class and the next may differ in. Its smallest parts, one in twenty, are left out and made up for by twice as
+    many more, so that sets hardly ever meet in empty parts.
+    """
+    ratio = math.log(den / num) * (1 + 1e-9)
+    less_one = den + num < 2 * PART * (den - num)
+    whole, less, own = [], [], mix(values)
+    size_class = math.floor(math.log(len(values)) / ratio)
+    for cls in (size_class, size_class - 1):
+        largest = sum(math.floor(math.exp(ratio * (cls + k))) + 1 for k in (1, 2))
+        parts = largest * (den - num) // (den + num) // (1 + less_one) + 1
+        left_out = round(parts / 20)
+        parts += 2 * left_out
+        at = ((own >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        sums, sizes = np.zeros(parts, np.uint64), np.bincount(at, minlength=parts)
+        np.add.at(sums, at, values)
+        kept = np.ones(parts, bool)
+        kept[np.argsort(sizes, kind="stable")[:left_out]] = False
+        salt = mix(np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B1) + np.uint64(cls + 2))
+        whole.append(mix(sums + salt)[kept])
+        if less_one:
+            less.append(mix(sums[at] - values + salt[at])[kept[at]])
+    return np.concatenate(whole), np.concatenate(less) if less else np.empty(0, np.uint64)
+
+
+def part_pairs(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, size, part) of different components that have a part in common; every similar
+    pair of them is one."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_map(nodes.select("node")))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            b = batch.column(1).to_numpy(zero_copy_only=False)
+            own = batch.filter(pa.array((held[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)))
+            for a, sets in _sets(own.column(2), n):
+                keys = [part_keys(s, num, den) if len(s) else ((), ()) for s in sets]
+                columns = (pa.array([np.asarray(k[i], np.uint64).view(np.int64) for k in keys], pa.list_(pa.int64())) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([own.column(0).slice(a, len(sets)), *columns], ["node", "whole", "less"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("bit"), "text")
+    keys = rows.mapInArrow(keyed, f"node {docs.schema['doc_id'].dataType.simpleString()}, whole array<long>, less array<long>").join(nodes, "node")
+    both = F.explode(F.array(F.struct(F.lit(True).alias("is_whole"), F.col("whole").alias("keys")), F.struct(F.lit(False).alias("is_whole"), F.col("less").alias("keys"))))
+    posts = keys.select("node", "size", "part", both.alias("k")).select("node", "size", "part", "k.is_whole", F.explode("k.keys").alias("key"))
+    posts = written(posts, "part-posts")
+    mixed = posts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("is_whole").alias("any")).where("low <> high and any").select("key")
+    posts = posts.join(mixed, "key", "left_semi")
+    x, y = posts.where("is_whole").alias("x"), posts.alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & (~F.col("y.is_whole") | (F.col("x.node") < F.col("y.node")))
+    found = x.join(y, meet & _similar_sizes(F.col("x.size"), F.col("y.size"), num, den))
+    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def similar_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
@@ -278,12 +343,16 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -
     members = _joined(members, check(_likely_members(second, sketched, num, den)))
 
     # pairs that could still join two components
-    entries = written(_entries(lists, members).join(sketched.select("node", *_WORDS), "node"), "entries")
-    x, y = entries.where("part <> top").alias("x"), entries.alias("y")
+    entries = written(_entries(lists, members), "entries")
+    few = entries.groupBy("shingle", "own").agg(F.sum((F.col("part") != F.col("top")).cast("long")).alias("n")).where(F.col("n") <= FEW).select("shingle", "own")
+    light = written(entries.join(few, ["shingle", "own"], "left_semi").join(sketched.select("node", *_WORDS), "node"), "light-entries")
+    x, y = light.where("part <> top").alias("x"), light.alias("y")
     meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.own") == F.col("y.own")) & (F.col("x.part") != F.col("y.part"))
     meet &= (F.col("y.part") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
     meet &= _similar_sizes(F.col("x.size"), F.col("y.size"), num, den) & _positions_allow("x", "y", num, den) & _sketches_allow("x", "y", num, den)
-    last = x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    last = x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    crowded = written(entries.join(few, ["shingle", "own"], "left_anti").select("node", "size", "part").distinct(), "crowded")
+    last = last.unionByName(_likely_members(part_pairs(docs, crowded, n, num, den), sketched, num, den)).distinct()
     members = _joined(members, check(last))
 
     classes = nodes.select(*_DIGEST, "node").join(members.select("node", F.col("part").alias("component")), "node").drop("node")
