@@ -88,9 +88,9 @@ def _table(rows: pa.Array, one_tile: bool) -> tuple[pa.Array, np.ndarray]:
 
 def _distances(posts: DataFrame) -> DataFrame:
     """lang, a, b (a < b) and d: over the terms that both sources have, how far apart their shares are, less what that
-    would be if one or both had none. ``posts``: lang, source, term, p (the share), none (that of a term it lacks)."""
-    tiles = posts.groupBy("lang").agg(F.ceil(F.approx_count_distinct("source") / TILE).alias("tiles"))
-    own = posts.join(tiles, "lang").withColumn("tile", F.pmod(F.xxhash64("source"), F.col("tiles")))
+    would be if one or both had none. ``posts``: lang, source, term, p (the share), none (that of a term it lacks), tiles
+    (of the language)."""
+    own = posts.withColumn("tile", F.pmod(F.xxhash64("source"), F.col("tiles")))
     # a row goes wherever its tile meets one, itself included
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda k: F.struct(F.least("tile", k).alias("x"), F.greatest("tile", k).alias("y")))
     own = own.select("lang", "term", F.explode(meet).alias("at"), F.struct("source", "p", "none", "tile").alias("row"))
@@ -131,7 +131,9 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, top: int = 50) -> Dat
     langs = cells.groupBy("lang").agg(F.sum(F.col("n") * F.col("many")).alias("lang_sum"))
     langs = langs.join(posts.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("terms")), "lang")
     sums = cells.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("many")).alias("sum"), F.sum("many").alias("own_terms"))
-    groups = named.select("lang", "source").distinct().join(langs, "lang", "left").join(sums, ["lang", "source"], "left").fillna(0)
+    groups = written(named.select("lang", "source").distinct(), "sources")
+    tiles = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    groups = groups.join(tiles, "lang").join(langs, "lang", "left").join(sums, ["lang", "source"], "left").fillna(0)
     groups = groups.withColumns({"weight": F.col("sum") + ADDED * F.col("terms"), "lang_weight": F.col("lang_sum") + ADDED * F.col("terms")})
     groups = written(groups.withColumn("none", F.when(F.col("weight") > 0, _share(F.lit(0), F.col("weight"))).otherwise(0)), "groups")
 
@@ -147,7 +149,7 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, top: int = 50) -> Dat
     terms = terms.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
 
     # pairs: what one source has and the other lacks, from cells; what both have, term by term; what neither has
-    shares = posts.join(groups.select("lang", "source", "weight", "none"), ["lang", "source"]).select("lang", "source", "term", _share(F.col("n"), F.col("weight")).alias("p"), "none")
+    shares = posts.join(groups.select("lang", "source", "weight", "none", "tiles"), ["lang", "source"]).select("lang", "source", "term", _share(F.col("n"), F.col("weight")).alias("p"), "none", "tiles")
     x, y = (groups.select("lang", *(F.col(c).alias(f"{side}_{c}") for c in ("source", "own_terms", "none", "terms"))) for side in "xy")
     both = x.join(y, "lang").where("x_source <> y_source")
     own = cells.groupBy("lang", "source", "n").agg(F.sum("many").alias("many")).join(groups.select("lang", "source", "weight"), ["lang", "source"])
