@@ -3,7 +3,8 @@
 Inserts, deletes and revised counts of documents become signed sums by source, language and tokenizer version. A batch
 is summed before it is stored, under its own name; a commit record makes it count. Storing a batch again replaces it,
 committing it again changes nothing, and totals read committed batches only. ``fold`` writes the totals so far down
-with the batches that are in them; from then on they are that table and the batches since.
+with the batches that are in them; from then on only that table and the deltas of the batches since are read. The driver
+holds names of batches, no rows of theirs.
 
 Defined results: null texts have 0 tokens; null sources and languages are groups of their own; repeated rows are
 counted as often as they come; groups whose documents and tokens come to 0 are left out of totals; a store without
@@ -12,6 +13,7 @@ batches has empty totals. Other columns are not touched.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -78,44 +80,46 @@ class TokenRollup:
         self.spark.range(1).select(F.lit(batch_id).alias("batch_id")).coalesce(1).write.mode("overwrite").parquet(mark)
         return True
 
-    def committed(self) -> DataFrame:
-        """Deltas of committed batches."""
-        if not self._exists(self._batches("commits")):
-            return self.spark.createDataFrame([], DELTAS)
-        deltas = self.spark.read.schema(DELTAS).option("recursiveFileLookup", True).parquet(self._batches("deltas"))
-        marks = self.spark.read.schema("batch_id string").option("recursiveFileLookup", True).parquet(self._batches("commits"))
-        return deltas.join(marks.distinct(), "batch_id", "left_semi")
+    def committed(self) -> list[str]:
+        """Names of the committed batches, those whose commit record is complete."""
+        return sorted(name for name in self._names("commits") if self._exists(f"{self._batches('commits')}/{name}/_SUCCESS"))
+
+    def _names(self, kind: str) -> list[str]:
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._batches(kind))
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
 
     def _folded(self) -> str | None:
         """The newest table of totals that is complete: the list of its batches is written last."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self._batches("totals"))
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return None
-        numbers = sorted((int(s.getPath().getName()) for s in fs.listStatus(root)), reverse=True)
+        numbers = sorted(map(int, self._names("totals")), reverse=True)
         return next((p for p in (f"{self._batches('totals')}/{n}" for n in numbers) if self._exists(f"{p}/batches/_SUCCESS")), None)
 
-    def _sums(self) -> DataFrame:
-        """Signed sums of what is folded and of the batches since."""
-        new, folded = self.committed(), self._folded()
-        if folded:
-            new = new.join(self.spark.read.schema("batch_id string").parquet(f"{folded}/batches"), "batch_id", "left_anti")
-        new = new.drop("batch_id")
-        if folded:
-            new = new.unionByName(self.spark.read.parquet(f"{folded}/sums"))
-        return new.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).where("d_docs <> 0 or d_tokens <> 0")
+    def _state(self) -> tuple[str | None, list[str], list[str]]:
+        """The folded totals, the batches in them, and those committed since. All that is read or written for one
+        answer goes by one state, whatever is committed meanwhile."""
+        folded = self._folded()
+        done = [r["batch_id"] for r in self.spark.read.schema("batch_id string").parquet(f"{folded}/batches").collect()] if folded else []
+        return folded, done, sorted(set(self.committed()) - set(done))
+
+    def _sums(self, folded: str | None, new: list[str]) -> DataFrame:
+        """Signed sums of what is folded and of some batches since; nothing else is read."""
+        sums = "source string, lang string, tokenizer_version string, d_docs long, d_tokens long"
+        parts = [self.spark.read.schema(DELTAS).parquet(*(f"{self._batches('deltas')}/{name}" for name in new)).drop("batch_id")] if new else []
+        parts += [self.spark.read.schema(sums).parquet(f"{folded}/sums")] if folded else []
+        both = functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], sums)
+        return both.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).where("d_docs <> 0 or d_tokens <> 0")
 
     def fold(self) -> None:
-        """Write the totals down. A fold that fails half-way is passed over and done again."""
-        if not self._exists(self._batches("commits")):
+        """Write the totals down. A fold that fails half-way is passed over and done again; a batch committed during a
+        fold is left to the next one."""
+        folded, done, new = self._state()
+        if not new:
             return
-        folded = self._folded()
         to = f"{self._batches('totals')}/{int(folded.rpartition('/')[2]) + 1 if folded else 0}"
-        done = self.spark.read.schema("batch_id string").option("recursiveFileLookup", True).parquet(self._batches("commits")).distinct()
-        self._sums().write.mode("overwrite").parquet(f"{to}/sums")
-        done.write.mode("overwrite").parquet(f"{to}/batches")
+        self._sums(folded, new).write.mode("overwrite").parquet(f"{to}/sums")
+        self.spark.createDataFrame([(name,) for name in [*done, *new]], "batch_id string").coalesce(1).write.mode("overwrite").parquet(f"{to}/batches")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens."""
-        return self._sums().select(*KEYS, F.col("d_docs").alias("n_docs"), F.col("d_tokens").alias("n_tokens"))
+        folded, _, new = self._state()
+        return self._sums(folded, new).select(*KEYS, F.col("d_docs").alias("n_docs"), F.col("d_tokens").alias("n_tokens"))
