@@ -63,12 +63,39 @@ TEMPLATES = {
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# Usual short wordings, listed under the license's name.
+WORDINGS = (
+    ("AGPL-3.0", "GNU AGPL v3"),
+    ("AGPL-3.0", "GNU Affero General Public License v3.0"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache-2.0 OR MIT"),
+    ("Apache-2.0", "MIT OR Apache-2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("GPL-2.0", "GNU General Public License v2.0"),
+    ("GPL-2.0", "GNU GPL v2"),
+    ("GPL-2.0", "GNU GPL version 2"),
+    ("GPL-3.0", "GNU General Public License v3.0"),
+    ("GPL-3.0", "GNU GPL v3"),
+    ("GPL-3.0", "GNU GPL version 3"),
+    ("ISC", "ISC License"),
+    ("LGPL-3.0", "GNU Lesser General Public License v3.0"),
+    ("LGPL-3.0", "GNU LGPL v3"),
+    ("MIT", "MIT License"),
+    ("MIT", "Apache-2.0 OR MIT"),
+    ("MIT", "MIT OR Apache-2.0"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+)
 #: Share of a template's words that may be changed, added or missing.
 DIFFERING = 0.2
-#: Pieces of an added word (a dotted name has several), at most.
-PIECES = 20
 #: Words that tell licenses apart, besides versions.
-IDENTITY = frozenset("apache bsd cc by nc nd sa cc0 gnu gpl lgpl agpl isc mpl lesser library affero mit mozilla".split())
+IDENTITY = frozenset("apache bsd cc by nc nd sa cc0 gnu gpl lgpl agpl isc mpl lesser library affero mit mozilla noncommercial noderivatives sharealike".split())
 _WORD = re.compile(r"[^\W_]++(?:\.++[^\W_]++)*+")
 _VERSION = re.compile(r"v?\d{1,2}(?:\.\d+)*")
 #: Separators of the words that candidates are sought by: every byte that is no ASCII letter or digit.
@@ -93,7 +120,7 @@ def _compressors() -> tuple[zstandard.ZstdCompressor, list[tuple[str, list[str],
     """Without a dictionary, and with each template as one."""
     plain = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
     out = []
-    for name, text in TEMPLATES.items():
+    for name, text in [*TEMPLATES.items(), *WORDINGS]:
         own = words(text)
         # a raw dictionary has 8 bytes at least
         held = zstandard.ZstdCompressionDict(" ".join(own).encode().rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -108,7 +135,7 @@ def _pieces(texts: list[str]) -> Words:
 @functools.lru_cache(maxsize=1)
 def _pairs() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted hashes of all templates' pairs of pieces; which template has which; how many pairs a text must share with
-    a template to have it; how far apart in pieces the first and the last of them can be.
+    a template to have it; how far apart in words the first and the last of them can be, whatever pieces added words have.
 
     A word changed, added or missing undoes the pairs that touch its pieces; so does the end of a version, which may
     be written or not.
@@ -122,7 +149,7 @@ def _pairs() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         undone = sum(n + 1 for n in sizes[:edits]) + sum(_VERSION.fullmatch(x) is not None for x in own)
         sets.append(pairs)
         need.append(max(1, len(pairs) - undone))
-        reach.append(len(w.hashes) + PIECES * edits + 8)
+        reach.append(len(own) + edits)
     every = np.unique(np.concatenate(sets))
     has = np.zeros((len(sets), len(every)), bool)
     for i, pairs in enumerate(sets):
@@ -188,7 +215,7 @@ def nearest(template: list[str], block: list[str]) -> tuple[int, int, int, int]
 
 
 def _candidates(hits: np.ndarray, at: np.ndarray) -> list[int]:
-    """Templates enough of whose pairs ``at`` are among ``hits`` within their reach. ``hits`` are places in the text."""
+    """Templates enough of whose pairs ``at`` are among ``hits`` within their reach. ``hits`` are numbers of words."""
     _, has, need, reach = _pairs()
     out = []
     for i in np.flatnonzero(has[:, np.unique(at)].sum(1) >= need).tolist():
@@ -206,30 +233,27 @@ def _candidates(hits: np.ndarray, at: np.ndarray) -> list[int]:
 
 def candidate_blocks(text: str) -> Iterator[tuple[list[int], list[str], list[int]]]:
     """(character offsets, words, possible templates) of the blocks of a text."""
-    every, _, _, reach = _pairs()
+    every, has, need, reach = _pairs()
     pieces = _pieces([text])
     grams = pieces.grams(2)[: max(0, len(pieces.hashes) - 1)]
     place = np.minimum(np.searchsorted(every, grams), len(every) - 1)
     hits = np.flatnonzero(every[place] == grams)
     if not len(hits):
         return
-    found, most, first_byte = None, int(reach.max()), None
-    for part in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(hits) > most) + 1):
-        possible = _candidates(hits[part], place[hits[part]])
-        if not possible:
-            continue
-        if found is None:
-            found = list(_WORD.finditer(text))
-            # where the words of the text begin, in bytes
-            characters = [m.start() for m in found]
-            widths = np.zeros(len(text) + 1, np.int64)
-            np.cumsum(np.array([len(c.encode()) for c in text], np.int64) if not text.isascii() else np.ones(len(text), np.int64), out=widths[1:])
-            first_byte = widths[characters]
-        far = max(int(reach[i]) for i in possible)
-        a, b = max(0, int(hits[part[0]]) - far), min(len(pieces.starts) - 1, int(hits[part[-1]]) + 1 + far)
-        first = max(0, int(np.searchsorted(first_byte, pieces.starts[a], "right")) - 1)
-        end = int(np.searchsorted(first_byte, pieces.starts[b], "right"))
-        yield characters[first:end], [_plain(m.group().lower()) for m in found[first:end]], possible
+    if not (has[:, np.unique(place[hits])].sum(1) >= need).any():
+        return
+    found = list(_WORD.finditer(text))
+    # where the words of the text begin, in bytes
+    characters = [m.start() for m in found]
+    widths = np.zeros(len(text) + 1, np.int64)
+    np.cumsum(np.array([len(c.encode()) for c in text], np.int64) if not text.isascii() else np.ones(len(text), np.int64), out=widths[1:])
+    at = np.searchsorted(widths[characters], pieces.starts[hits], "right") - 1  # the word of a pair's first piece
+    most = int(reach.max())
+    for part in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(at) > most) + 1):
+        if possible := _candidates(at[part], place[hits[part]]):
+            far = max(int(reach[i]) for i in possible) + 1
+            first, end = max(0, int(at[part[0]]) - far), int(at[part[-1]]) + 2 + far
+            yield characters[first:end], [_plain(m.group().lower()) for m in found[first:end]], possible
 
 
 def ranked(block: list[str], possible: list[int]) -> list[tuple[int, str, list[str]]]:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from graphloom.llm import exact_dedup, idmaps, jaccard, licenses, packing, queries, quotes, rules, toxicity, warc
+from graphloom.llm import exact_dedup, idmaps, jaccard, licenses, packing, queries, quotes, rules, token_rollup, toxicity, warc
 from graphloom.session import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -120,6 +120,31 @@ def test_op2_by_brute_force(spark):
 # --- 3
 
 
+def test_a_batch_committed_during_a_fold_counts_once(spark):
+    rows = lambda *n: spark.createDataFrame([("s", "en", "v", 1, k) for k in n], "source string, lang string, tokenizer_version string, d_docs long, d_tokens long")
+    store = token_rollup.TokenRollup(spark, new_path(spark, "rollup-test"))
+    assert store.totals().collect() == []
+    store.commit("a", rows(10))
+    sums = store._sums
+
+    def while_folding(*state):
+        if "b" not in store.committed():
+            store.commit("b", rows(10))
+        return sums(*state)
+
+    store._sums = while_folding
+    store.fold()
+    store._sums = sums
+    total = [("s", "en", "v", 2, 20)]
+    assert [tuple(r) for r in store.totals().collect()] == total
+    store.fold()
+    store.fold()
+    assert not store.commit("a", rows(10)) and not store.commit("b", rows(10))
+    assert [tuple(r) for r in store.totals().collect()] == total and store._state()[1:] == (["a", "b"], [])
+    store.commit("c", rows(1))
+    assert sorted({f.split("/deltas/")[1].split("/")[0] for f in store.totals().inputFiles() if "/deltas/" in f}) == ["c"]  # no other deltas are read
+
+
 def brute_holders(held, asked):
     out = {}
     for c, k, t in asked:
@@ -233,6 +258,28 @@ def brute_license(own, block):
     return best
 
 
+@pytest.mark.parametrize("name,pieces", [("GPL-3.0", 60), ("MPL-2.0", 200), ("ISC-permission", 2000)])
+def test_licenses_with_a_word_of_many_pieces(name, pieces):
+    own = licenses.TEMPLATES[name].split()
+    own.insert(4, ".".join(f"x{i}" for i in range(pieces)))
+    found = {f[0]: f for f in licenses.scan("before it " + " ".join(own) + " after it")[1]}
+    assert found[name][3:] == (0, 1)
+
+
+def test_usual_wordings_of_licenses():
+    wordings = {
+        "Licensed under Apache License 2.0": "Apache-2.0", "under the MIT License": "MIT", "Distributed under the terms of the GNU GPL v3": "GPL-3.0",
+        "Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0", "Apache-2.0 OR MIT": "MIT", "MIT OR Apache-2.0": "Apache-2.0", "the GNU GPL version 3": "GPL-3.0",
+        "BSD 3-Clause License": "BSD-3-Clause", "This project is licensed under the ISC License": "ISC", "Licensed under the Mozilla Public License 2.0": "MPL-2.0",
+        "GNU General Public License v2.0": "GPL-2.0", "released under CC-BY-4.0": "CC-BY-4.0", "under the GNU Lesser General Public License v3.0": "LGPL-3.0", "GNU AGPL v3": "AGPL-3.0",
+        "the Apache License, Version 2.0": "Apache-2.0", "Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC-4.0",
+    }
+    for text, name in wordings.items():
+        assert name in [f[0] for f in licenses.scan(f"some words before. {text} and others after it")[1]], text
+    for text in ("a license of mine", "the mit of the license", "apache tribe of two", "creative work of the commons"):
+        assert licenses.scan(text)[1] == []
+
+
 def test_licenses_equal_brute_force():
     rng = random.Random(12)
     filler = "the of a to and license under software notice copyright terms page text 2 mit".split()
@@ -246,14 +293,16 @@ def test_licenses_equal_brute_force():
         text = [rng.choice(filler) for _ in range(rng.randrange(30))] + own + [rng.choice(filler) for _ in range(rng.randrange(30))]
         text = rng.choice([" ", "\n", "  \n// "]).join(text)
         block = licenses.words(text)
-        short = {n: t for n, t in licenses.TEMPLATES.items() if len(t) < 400}
-        want = {n: e for n, t in short.items() if (e := brute_license(licenses.words(t), block)) is not None}
+        want = {}
+        for n, t in [*licenses.TEMPLATES.items(), *licenses.WORDINGS]:
+            if (e := brute_license(licenses.words(t), block)) is not None:
+                want[n] = min(e, want.get(n, e))
         got = {}
         for starts, words, possible in licenses.candidate_blocks(text):
             for _, name, own in licenses.ranked(words, possible):
                 if near := licenses.nearest(own, words):
                     got[name] = min(near[0], got.get(name, near[0]))
-        assert {n: e for n, e in got.items() if n in short} == want, text
+        assert got == want, text
         found += len(want)
     assert found > 15
 
