@@ -423,28 +423,6 @@ def test_similar_documents(docs, none, n, num, den):
     assert jaccard.similar_documents(none, n, num, den).count() == 0
 
 
-@pytest.mark.parametrize("n,num,den", [(3, 9, 10), (5, 4, 5)])
-def test_similar_documents_by_parts(docs, n, num, den, monkeypatch):
-    monkeypatch.setattr(jaccard, "FEW", 0)  # no list is met as a whole
-    want = brute_components(texts_of(docs), n, num, den)
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(docs, n, num, den).collect()} == want
-
-
-@pytest.mark.parametrize("num,den", [(9, 10), (4, 5), (7, 10)])
-def test_similar_sets_share_a_part(num, den):
-    rng, met, far = np.random.default_rng(9), 0, 0
-    for _ in range(1500):
-        base, apart = rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64), rng.random(3) * (1 - num / den) / 2
-        x = np.unique(np.concatenate((base, rng.integers(0, 1 << 63, round(len(base) * apart[0]), dtype=np.uint64))))
-        y = np.unique(np.concatenate((base[rng.random(len(base)) >= apart[1]], base[:1], rng.integers(0, 1 << 63, round(len(base) * apart[2]), dtype=np.uint64))))
-        common = len(np.intersect1d(x, y))
-        if den * common >= num * (len(x) + len(y) - common):
-            (a, b), (c, d) = jaccard.part_keys(x, num, den), jaccard.part_keys(y, num, den)
-            assert len(np.intersect1d(a, c)) or len(np.intersect1d(a, d)) or len(np.intersect1d(b, c))
-            met, far = met + 1, far + (common < max(len(x), len(y)))
-    assert far > 100
-
-
 def stock_of_sentences(spark, rows):
     """Texts of half of sixty sentences each, in order: half of the prefixes of any two agree, and no two are similar."""
     rng = random.Random(3)
@@ -452,13 +430,6 @@ def stock_of_sentences(spark, rows):
     return spark.createDataFrame([(i, ". ".join(stock[k] for k in sorted(rng.sample(range(60), 30)))) for i in range(rows)], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("n,num,den,share", [(3, 9, 10, 0.03), (5, 4, 5, 0.15)])
-def test_pairs_of_a_common_stock(spark, n, num, den, share):
-    docs = stock_of_sentences(spark, 400)
-    nodes = docs.select(F.col("doc_id").alias("node"), F.lit(300).cast("long").alias("size"), F.col("doc_id").alias("part"))
-    assert jaccard.part_pairs(docs, nodes, n, num, den).count() < share * 400 * 399 / 2
-
-
 def test_common_stock_and_its_copies(spark):
     docs = stock_of_sentences(spark, 120)
     near = docs.where("doc_id % 3 = 0").select((F.col("doc_id") + 1000).alias("doc_id"), F.concat("text", F.lit(" and one more line here")).alias("text"))
