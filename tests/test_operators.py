@@ -158,6 +158,72 @@ def test_merge_and_rollback(spark):
         proposals.rollback_entity_merge(done, n, e, m)
 
 
+def one_after_another(nodes, edges, mentions, merges):
+    """Plain Python: merges by order, each on what the ones before have left."""
+    alias, errors = {}, {}
+    for p, w, l, c in sorted(merges, key=lambda r: (-r[3], r[0])):
+        if w == l or w not in nodes or l not in nodes or nodes[w]["type"] != nodes[l]["type"] or w in alias or l in alias:
+            errors[p] = True
+            continue
+        for key in [k for k in edges if l in k[:2]]:
+            row = edges.pop(key)
+            to = tuple(w if x == l else x for x in key[:2]) + key[2:]
+            if to[0] == to[1]:
+                continue
+            twin = edges.get(to)
+            edges[to] = (twin[0] + row[0], max(twin[1], row[1])) if twin else row
+        for n, d in [m for m in mentions if m[0] == l]:
+            mentions.discard((n, d))
+            mentions.add((w, d))
+        nodes[w]["properties"] = {**nodes[l]["properties"], **nodes[w]["properties"]}
+        nodes[w]["summary"] = nodes[w]["summary"] or nodes[l]["summary"]
+        nodes[w]["confidence"] = max(nodes[w]["confidence"], nodes[l]["confidence"])
+        alias[l] = w
+    return alias, errors
+
+
+def test_merges_of_a_batch_are_done_one_after_another(spark):
+    import random
+
+    rng = random.Random(7)
+    for round_ in range(4):
+        ids = [f"n{i:02}" for i in range(14)]
+        plain = {i: {"type": rng.choice("ttttu"), "properties": {rng.choice("xyz"): i for _ in range(2)}, "summary": rng.choice([None, f"s {i}"]), "confidence": rng.random()} for i in ids}
+        edges = {(a, b, "R"): (float(rng.randint(1, 5)), rng.random()) for a in ids for b in ids if a != b and rng.random() < 0.2}
+        mentions = {(i, f"d{rng.randrange(6)}") for i in ids for _ in range(2)}
+        merges = [(f"p{k:02}", *rng.sample(ids, 2), rng.choice([0.7, 0.8, 0.9])) for k in range(12)]
+        if not round_:  # a star, and a chain
+            merges = [("p1", "n00", "n01", 0.9), ("p2", "n00", "n02", 0.8), ("p3", "n00", "n03", 0.7), ("q1", "n04", "n05", 0.9), ("q2", "n05", "n06", 0.8), ("q3", "n06", "n07", 0.7), ("r1", "n08", "n00", 0.1)]
+            plain = {i: v | {"type": "t"} for i, v in plain.items()}
+        n = nodes_of(spark, *({"node_id": i, "node_type": v["type"], "name": i, "properties": v["properties"], "summary": v["summary"], "confidence": v["confidence"]} for i, v in plain.items()))
+        e = spark.createDataFrame([(*k, w, c, None, {}) for k, (w, c) in edges.items()], schema.EDGES)
+        m = spark.createDataFrame([(i, d, "c") for i, d in mentions], schema.MENTIONS)
+        done = proposals.apply_entity_merge(n, e, m, spark.createDataFrame(merges, "proposal_id string, winner_id string, loser_id string, confidence double"))
+        alias, errors = one_after_another(plain, edges, mentions, merges)
+        assert {r["old_id"]: r["new_id"] for r in done.mapping.collect()} == alias and {r["proposal_id"] for r in done.errors.collect()} == set(errors)
+        assert {(r["source_id"], r["target_id"], "R"): (r["weight"], r["confidence"]) for r in done.edges.collect()} == edges
+        assert {(r["node_id"], r["document_id"]) for r in done.mentions.collect()} == mentions
+        for r in done.nodes.collect():
+            own = plain[r["node_id"]]
+            assert (r["canonical_node_id"], r["properties"], r["summary"], r["confidence"]) == (alias.get(r["node_id"]), own["properties"], own["summary"], own["confidence"])
+        if not round_:
+            assert alias == {"n01": "n00", "n02": "n00", "n03": "n00", "n05": "n04", "n07": "n06", "n00": "n08"}
+        for before, after in zip((n, e, m), proposals.rollback_entity_merge(done, done.nodes, done.edges, done.mentions)):
+            assert sorted(map(repr, before.collect())) == sorted(map(repr, after.select(before.columns).collect()))
+
+
+def test_rollback_names_what_has_changed(spark):
+    n, e, m = merge_graph(spark)
+    done = proposals.apply_entity_merge(n, e, m, spark.createDataFrame([("p1", "w", "l", 0.9)], "proposal_id string, winner_id string, loser_id string, confidence double"))
+    later = done.nodes.withColumn("summary", F.when(F.col("node_id") == "w", "newer").otherwise(F.col("summary")))
+    with pytest.raises(ValueError, match="changed since: w$"):
+        proposals.rollback_entity_merge(done, later, done.edges, done.mentions)
+    with pytest.raises(ValueError, match="o w R"):
+        proposals.rollback_entity_merge(done, done.nodes, done.edges.where("source_id <> 'o'"), done.mentions)
+    unrelated = done.nodes.withColumn("summary", F.when(F.col("node_id") == "s", "newer").otherwise(F.col("summary")))
+    assert proposals.rollback_entity_merge(done, unrelated, done.edges, done.mentions)[0].where("node_id = 's'").first()["summary"] == "newer"
+
+
 def test_decisions(spark):
     now = F.lit("2024-01-01").cast("timestamp")
     found = spark.createDataFrame([Row(kind="k", payload={"a": "1"}, confidence=c, agent="x", evidence={}, dedup_key=d) for c, d in ((0.95, "a"), (0.5, "b"))], "kind string, payload map<string,string>, confidence double, agent string, evidence map<string,string>, dedup_key string")
