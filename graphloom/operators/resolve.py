@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..session import written
 
 DOC_KEY = ["source_system", "source_type", "external_id"]
 NODE_KEY = ["node_type", "source_system", "external_id"]
@@ -85,55 +89,139 @@ def record_mentions(current: DataFrame, seen: DataFrame) -> DataFrame:
     return current.unionByName(first.join(current, ["node_id", "document_id"], "left_anti").select(current.columns))
 
 
-def name_pairs(names: DataFrame, threshold: float) -> DataFrame:
-    """node_type, a, b, similarity of different names of a type with trigram similarity at or over the threshold.
+def name_pairs(names: DataFrame, threshold: float, known: DataFrame | None = None) -> DataFrame:
+    """node_type, a, b, similarity of different names of a type with trigram similarity at or over the threshold; with
+    ``known``, of a name (a) and a known one (b) only.
 
     Names meet on their rarest trigrams only (as many as the threshold asks for), then are scored exactly.
     """
-    names = names.select("node_type", "name").distinct().withColumn("grams", text.trigrams(F.col("name"))).withColumn("n", F.size("grams")).where("n > 0")
-    single = names.select("node_type", "name", "n", F.explode("grams").alias("gram"))
+    sides = names.select("node_type", "name", F.lit(True).alias("asked"))
+    if known is not None:
+        sides = sides.unionByName(known.select("node_type", "name", F.lit(False).alias("asked")))
+    sides = sides.distinct().withColumn("grams", text.trigrams(F.col("name"))).withColumn("n", F.size("grams")).where("n > 0")
+    single = sides.select("node_type", "name", "asked", "n", F.explode("grams").alias("gram"))
     often = single.groupBy("node_type", "gram").agg(F.count(F.lit(1)).alias("often"))
-    rare = single.join(often, ["node_type", "gram"]).withColumn("k", F.row_number().over(Window.partitionBy("node_type", "name").orderBy("often", "gram")))
-    rare = rare.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("node_type", "gram", "name", "n")
-    x, y = rare.alias("x"), rare.alias("y")
-    meet = (F.col("x.node_type") == F.col("y.node_type")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.name") < F.col("y.name"))
+    rare = single.join(often, ["node_type", "gram"]).withColumn("k", F.row_number().over(Window.partitionBy("node_type", "name", "asked").orderBy("often", "gram")))
+    rare = rare.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("node_type", "gram", "name", "n", "asked")
+    x, y = rare.where("asked").alias("x"), rare.where("asked" if known is None else "not asked").alias("y")
+    meet = (F.col("x.node_type") == F.col("y.node_type")) & (F.col("x.gram") == F.col("y.gram"))
+    meet &= F.col("x.name") < F.col("y.name") if known is None else F.col("x.name") != F.col("y.name")
     meet &= F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold - 1e-9
     pairs = x.join(y, meet).select("x.node_type", F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
     return pairs.withColumn("similarity", text.trigram_similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= threshold)
 
 
-def vector_pairs(vectors: DataFrame, most: float, block_rows: int = 2048, same_type: bool = False) -> DataFrame:
-    """(a, b, distance) with a < b of all vectors within a cosine distance, block against block; exact.
+#: Pivots, at most, which every task holds; vectors that they are picked from, for each of them.
+PIVOTS, PICKED = 256, 8
+
+
+def _pivots(vectors: DataFrame, count: int) -> np.ndarray:
+    """Unit vectors far from each other, each in turn the one farthest from those before it, among a bounded number
+    picked by hash."""
+    picked = vectors.orderBy(F.xxhash64("node_id"), "node_id").limit(PICKED * count).select(F.col("embedding").cast("array<double>")).collect()
+    v = _units([r[0] for r in picked]) if picked else np.zeros((0, 1))
+    v = v[v.any(1)]
+    if not len(v):
+        return np.ones((1, 1))
+    chosen, near = [0], v @ v[0]
+    while len(chosen) < count and near.min() < 1 - 1e-9:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, v @ v[chosen[-1]])
+    return v[chosen]
 
-    Every row goes to one group for each block of the other side; a group holds two blocks and emits only close pairs.
-    """
-    import numpy as np
-    import pandas as pd
 
-    blocks = max(1, math.ceil(vectors.count() / block_rows))
-    rows = vectors.where("embedding is not null").select("node_id", "node_type", F.col("embedding").cast("array<double>").alias("v")).withColumn("own", F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+def in_cells(vectors: DataFrame, most: float, block_rows: int, asked: DataFrame | None = None) -> DataFrame:
+    """Unit vectors (node_id, node_type, v) in the cells where they can meet others within a cosine distance: ``home``
+    rows in the cell of their nearest pivot (``own``), copies in every cell that holds a vector near enough to them.
+
+    There is a pivot for each ``block_rows`` vectors up to PIVOTS. By the triangle inequality, a vector has no partner in
+    a cell if it is farther from the plane half way between the two pivots than the bound, or farther from the cell's
+    pivot than the bound and the cell's radius. Without ``asked`` copies go to no later cell than their own, so
+    every two cells meet once; with it, only its rows are copied, and only rows of ``vectors`` are at home. From a
+    distance of 1 on, where angles bound nothing, all cells are reached.
+    """
+    rows = vectors.where("embedding is not null").select("node_id", "node_type", "embedding", F.lit(True).alias("known"))
+    count = max(1, min(PIVOTS, math.ceil(rows.count() / block_rows)))
+    shared = vectors.sparkSession.sparkContext.broadcast(_pivots(rows, count) if count > 1 else np.ones((1, 1)))  # one cell needs no pivot
+    if asked is not None:
+        rows = rows.unionByName(asked.where("embedding is not null").select("node_id", "node_type", "embedding", F.lit(False).alias("known")))
+    bound, alone = math.sqrt(2 * most) + 1e-9 if most < 1 else math.inf, asked is None
+
+    def distances(v: np.ndarray) -> np.ndarray:
+        p = shared.value
+        if len(p) == 1:
+            return np.zeros((len(v), 1))
+        return np.sqrt(np.maximum(0, (v * v).sum(1)[:, None] + 1 - 2 * v @ p.T))
+
+    def at_home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in filter(len, frames):
+            v = _units(frame["v"])
+            far = distances(v)
+            yield frame.assign(v=list(v), own=far.argmin(1), far=far.min(1))
+
+    rows = rows.select("node_id", "node_type", "known", F.col("embedding").cast("array<double>").alias("v"))
+    homes = rows.mapInPandas(at_home, "node_id string, node_type string, known boolean, v array<double>, own long, far double")
+    radius = np.full(count, 0.0 if count == 1 else -np.inf)
+    if count > 1:
+        homes = written(homes, "homes")
+        for cell, far in homes.where("known").groupBy("own").agg(F.max("far")).collect():  # a row for each pivot
+            radius[cell] = far
+
+    def copied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = shared.value
+        apart = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+        for frame in filter(len, frames):
+            far, own = distances(np.array(frame["v"].tolist(), float).reshape(len(frame), -1)), frame["own"].to_numpy()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                beyond = (far**2 - frame["far"].to_numpy()[:, None] ** 2) / (2 * apart[own])  # from the planes half way
+            reached = ~(beyond > bound) & (far <= radius[: far.shape[1]] + bound)
+            if alone:
+                reached &= np.arange(far.shape[1]) <= own[:, None]
+                reached[np.arange(len(own)), own] = True
+            at, cell = np.nonzero(reached)
+            yield frame.iloc[at].assign(cell=cell)
+
+    schema = "node_id string, node_type string, known boolean, v array<double>, own long, far double, cell long"
+    copies = (homes if alone else homes.where("not known")).mapInPandas(copied, schema).withColumn("home", F.lit(False))
+    return homes.where("known").withColumns({"cell": F.col("own"), "home": F.lit(True)}).unionByName(copies).drop("known", "far")
+
+
+def _units(vectors: list) -> np.ndarray:
+    m = np.array([np.asarray(v, float) for v in vectors], float).reshape(len(vectors), -1)
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def vector_pairs(vectors: DataFrame, most: float, block_rows: int = 2048, same_type: bool = False, asked: DataFrame | None = None) -> DataFrame:
+    """(a, b, distance) with a < b of all vectors within a cosine distance; with ``asked``, of one of its rows (a) and
+    one of ``vectors`` (b). Exact.
+
+    Vectors meet in the cells of ``in_cells``. A cell's rows at home and its copies are dealt to blocks, block against
+    block, so a cell of any size is many groups of two blocks each.
+    """
+    rows = written(in_cells(vectors, most, block_rows, asked), "cells")
+    sizes = rows.groupBy("cell").agg(*(F.ceil(F.count(F.when(F.col("home") == at, 1)) / block_rows).alias(c) for c, at in (("homes", True), ("copies", False))))
+    rows = rows.join(F.broadcast(sizes), "cell").where("homes > 0 and copies > 0")  # a row for each of at most PIVOTS cells
+    block = lambda n: F.pmod(F.xxhash64("node_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    alone = asked is None
+    meet = rows.where("home").select("*", block("homes").alias("i"), every("copies").alias("j")).unionByName(rows.where("not home").select("*", block("copies").alias("j"), every("homes").alias("i")))
 
     def close(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
         m = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
-        norm = np.sqrt((m * m).sum(1, keepdims=True))
-        m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-        own, ids, kinds = pdf["own"].to_numpy(), pdf["node_id"].to_numpy(), pdf["node_type"].to_numpy()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        home, own, ids, kinds = pdf["home"].to_numpy(bool), pdf["own"].to_numpy(), pdf["node_id"].to_numpy(), pdf["node_type"].to_numpy()
+        left, right = np.flatnonzero(home), np.flatnonzero(~home)
         d = 1 - m[left] @ m[right].T
         x, y = np.nonzero(d <= most + 1e-12)
         a, b, d = left[x], right[y], d[x, y]
-        keep = a != b
-        if i == j:
-            keep &= a < b
+        keep = (own[b] != key[0]) | (ids[a] < ids[b]) if alone else np.ones(len(a), bool)
         if same_type:
             keep &= kinds[a] == kinds[b]
         a, b, d = ids[a[keep]], ids[b[keep]], d[keep]
-        swap = a > b
+        swap = a > b if alone else np.ones(len(a), bool)
         return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "distance": d})
 
-    return rows.groupBy("i", "j").applyInPandas(close, "a string, b string, distance double")
+    return meet.groupBy("cell", "i", "j").applyInPandas(close, "a string, b string, distance double")
 
 
 def match_derived(existing: DataFrame, incoming: DataFrame, threshold: float = 0.55, near: float = 0.15) -> DataFrame:
@@ -142,15 +230,14 @@ def match_derived(existing: DataFrame, incoming: DataFrame, threshold: float = 0
     canonical node.
 
     A new name with a vector takes the nearest by vector, one without it the most similar by name. Known nodes
-    without a vector come after those with one. Ties go to the more similar name, then the smallest id.
+    without a vector come after those with one. Ties go to the more similar name, then the smallest id. Only new names
+    and vectors meet known ones; known ones never meet each other.
     """
     known = existing.where("external_id is null").withColumn("to", F.coalesce("canonical_node_id", "node_id"))
     by_name = known.groupBy("node_type", "name").agg(F.min("to").alias("to"))
     new = incoming.select("node_type", "name").distinct()
     same = new.join(by_name, ["node_type", "name"]).select("node_type", "name", F.col("name").alias("other"))
-    pairs = name_pairs(new.unionByName(by_name.select("node_type", "name")), threshold)
-    ways = pairs.select("node_type", F.col("a").alias("name"), F.col("b").alias("other")).unionByName(pairs.select("node_type", F.col("b").alias("name"), F.col("a").alias("other")))
-    found = same.unionByName(ways.join(new, ["node_type", "name"], "left_semi"))
+    found = same.unionByName(name_pairs(new, threshold, by_name).select("node_type", F.col("a").alias("name"), F.col("b").alias("other")))
     score = text.trigram_similarity(F.col("name"), F.col("other"))
     if "embedding" not in existing.columns or "embedding" not in incoming.columns:
         found = found.join(by_name.withColumnRenamed("name", "other"), ["node_type", "other"]).withColumn("similarity", score)
@@ -158,9 +245,8 @@ def match_derived(existing: DataFrame, incoming: DataFrame, threshold: float = 0
     asked = incoming.where("embedding is not null").groupBy("node_type", "name").agg(F.min_by("embedding", "seq").alias("v"))
     own = known.select("node_type", F.col("name").alias("other"), "to", "node_id", F.col("embedding").alias("w"))
     found = found.join(own, ["node_type", "other"])
-    key = F.concat(F.lit("\x1f"), "node_type", F.lit("\x1f"), "name")
-    both = asked.select(key.alias("node_id"), "node_type", F.col("v").alias("embedding")).unionByName(known.where("embedding is not null").select("node_id", "node_type", "embedding"))
-    close = vector_pairs(both, near, same_type=True).where(F.startswith("a", F.lit("\x1f")) & ~F.startswith("b", F.lit("\x1f")))
+    key = F.concat_ws("\x1f", "node_type", "name")
+    close = vector_pairs(known, near, same_type=True, asked=asked.select(key.alias("node_id"), "node_type", F.col("v").alias("embedding")))
     close = close.join(asked.withColumn("a", key), "a").join(own.withColumnRenamed("node_id", "b").drop("node_type"), "b").select("node_type", "other", "name", "to", F.col("b").alias("node_id"), "w")
     found = found.unionByName(close).distinct().join(asked, ["node_type", "name"], "left")
     found = found.withColumn("distance", F.round(scores.cosine_distance(F.col("v"), F.col("w")), 12)).withColumn("similarity", F.round(score, 12))

@@ -57,9 +57,14 @@ def graph_view(nodes: DataFrame, edges: DataFrame, most: int, starts: DataFrame
 
 
 def audit_rows(results: DataFrame, subject: Column, groups: Column, tool: str, params: Column, now: Column, most: int = 100) -> DataFrame:
-    """One audit row per request: its result ids (at most ``most``, the smallest) and their number."""
-    first = results.withColumn("_n", F.row_number().over(Window.partitionBy("request_id").orderBy("node_id")))
-    out = first.groupBy("request_id").agg(F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.col("node_id")))).alias("result_ids"), F.count(F.lit(1)).cast("int").alias("result_count"))
+    """One audit row per request: its result ids (at most ``most``, the smallest) and their number.
+
+    The number is an aggregate; the ids are ranked no further than ``most`` before and after they move, so no task holds
+    all results of a request.
+    """
+    counts = results.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("result_count"))
+    first = results.withColumn("_n", F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("node_id").asc_nulls_last()))).where(F.col("_n") <= most)
+    out = counts.join(first.groupBy("request_id").agg(F.array_sort(F.collect_list("node_id")).alias("result_ids")), "request_id")
     return out.select("request_id", now.alias("occurred_at"), subject.alias("subject"), groups.alias("groups"), F.lit(tool).alias("tool"), params.alias("params"), "result_ids", "result_count")
 
 

@@ -128,11 +128,94 @@ def test_dedup_scan(spark):
     assert proposals.submit(queue, scans.scan_dedup(n.where("node_id < '3'"), m), F.lit("2024-01-02").cast("timestamp")).count() == queue.count() == 1
 
 
+def test_lines_of_stripped_html(spark):
+    import html
+    import re
+
+    pieces = ["<p>a</p>", "\r\n", "\r", "&nbsp;", "\u00a0", " b ", "\t", "\u2028", "\x0b", "\x1c", "\x85", "\u3000", "<br/>", "<b>c  d</b>", "&amp;", "\u200b", "\x1f", "e"]
+    import random
+
+    rng = random.Random(2)
+    texts = ["<p>a</p>\r\n<p>&nbsp;</p>b \r\n", "", None] + ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(200)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in d.select("t", text.strip_html(F.col("t")).alias("s")).collect():
+        lines = html.unescape(re.sub(r"<[^>]+>", " ", re.sub(r"(?i)<(?:/p|br\s*/?|/h[1-6]|/li|/tr|/div)>", "\n", r["t"] or ""))).splitlines()
+        assert r["s"] == "\n".join(x for x in (re.sub(r"[ \t]+", " ", line).strip() for line in lines) if x), repr(r["t"])
+
+
+def test_audit_of_many_results(spark):
+    rows = spark.range(500).select(F.lit("r").alias("request_id"), F.concat(F.lit("n"), F.lpad("id", 4, "0")).alias("node_id")).unionByName(spark.createDataFrame([("q", "x"), ("q", None)], "request_id string, node_id string"))
+    none = F.lit(None).cast("string")
+    out = {r["request_id"]: r for r in dumps.audit_rows(rows, none, none, "t", none, F.current_timestamp(), 100).collect()}
+    assert out["r"]["result_count"] == 500 and out["r"]["result_ids"] == [f"n{i:04}" for i in range(100)] and (out["q"]["result_count"], out["q"]["result_ids"]) == (2, ["x"])
+
+
 def test_contradictions(spark):
     n = nodes_of(spark, {"node_id": "a", "node_type": "t", "name": "a", "properties": {"owner": "alice", "tier": "1", "n": "1.0"}}, {"node_id": "b", "node_type": "t", "name": "b", "canonical_node_id": "a", "properties": {"owner": "bob", "tier": "1", "stale": "true", "n": "1"}})
     assert [r["payload"]["key"] for r in scans.scan_contradictions(n).collect()] == ["owner"]
 
 
+def planted_clusters(seed, clusters, each, dim=24, spread=0.06):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dim))
+    v = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), each, 0)
+    return v + rng.normal(size=v.shape) * spread
+
+
+def near_pairs(x, y, most):
+    """Index pairs within a cosine distance, by brute force."""
+    import numpy as np
+
+    x, y = (np.divide(m, n, out=np.zeros_like(m), where=n > 0) for m in (x, y) for n in [np.linalg.norm(m, axis=1, keepdims=True)])
+    return set(zip(*(k.tolist() for k in np.nonzero(1 - x @ y.T <= most + 1e-12))))
+
+
+def vector_rows(spark, v, prefix="n"):
+    return spark.createDataFrame([(f"{prefix}{i:05}", "tu"[i % 2], [float(x) for x in row]) for i, row in enumerate(v)], "node_id string, node_type string, embedding array<double>")
+
+
+@pytest.mark.parametrize("most", [0.0, 0.2, 0.6, 1.2])
+def test_vector_pairs_in_cells(spark, most):
+    import numpy as np
+
+    v = planted_clusters(3, 30, 8)
+    v[5], v[6], v[17] = 0, 0, v[18]
+    want = {(f"n{i:05}", f"n{j:05}") for i, j in near_pairs(v, v, most) if i < j}
+    rows = vector_rows(spark, v).unionByName(spark.createDataFrame([("none", "t", None)], "node_id string, node_type string, embedding array<double>"))
+    for block_rows in (16, 2048):
+        got = [(r["a"], r["b"]) for r in resolve.vector_pairs(rows, most, block_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    same = {(r["a"], r["b"]) for r in resolve.vector_pairs(rows, most, 16, same_type=True).collect()}
+    assert same == {(a, b) for a, b in want if int(a[1:]) % 2 == int(b[1:]) % 2}
+    w = planted_clusters(3, 30, 2, spread=0.02)
+    both = {(r["a"], r["b"]) for r in resolve.vector_pairs(rows, most, 16, asked=vector_rows(spark, w, "q")).collect()}
+    assert both == {(f"q{j:05}", f"n{i:05}") for i, j in near_pairs(v, w, most)}
+    assert resolve.vector_pairs(rows.limit(0), most).collect() == []
+
+
+def test_vectors_are_copied_to_near_cells_only(spark):
+    v = planted_clusters(11, 120, 25, dim=48, spread=0.03)
+    rows = vector_rows(spark, v)
+    copies = {most: resolve.in_cells(rows, most, 32).where("not home").count() / len(v) for most in (0.02, 0.2, 0.6, 1.0)}
+    assert copies[0.02] < 2 and copies[0.2] < 10 and copies[1.0] > 40, copies
+    # known rows are never copied when new ones are asked
+    asked = resolve.in_cells(rows, 0.2, 32, vector_rows(spark, v[:50], "q"))
+    assert asked.where("not home and node_id like 'n%'").count() == 0 and asked.where("home and node_id like 'q%'").count() == 0
+
+
+def test_known_names_never_meet_each_other(spark):
+    names = spark.createDataFrame([("t", f"billing service {i}") for i in range(40)], "node_type string, name string")
+    new = spark.createDataFrame([("t", "billing service 7"), ("t", "billing servces 3"), ("t", "other")], "node_type string, name string")
+    got = {(r["a"], r["b"]): r["similarity"] for r in resolve.name_pairs(new, 0.5, names).collect()}
+    every = resolve.name_pairs(new.unionByName(names), 0.5).collect()
+    asked = {r["name"] for r in new.collect()}
+    known = {r["name"] for r in names.collect()}
+    want = {(x, y): r["similarity"] for r in every for x, y in ((r["a"], r["b"]), (r["b"], r["a"])) if x in asked and y in known and x != y}
+    assert got == want and len(got) > 40
+
+
 def merge_graph(spark):
     n = nodes_of(spark, {"node_id": "w", "node_type": "t", "name": "w", "properties": {"status": "live"}}, {"node_id": "l", "node_type": "t", "name": "l", "properties": {"status": "old", "owner": "alice"}, "summary": "s"}, {"node_id": "o", "node_type": "t", "name": "o"}, {"node_id": "s", "node_type": "t", "name": "s"}, {"node_id": "x", "node_type": "u", "name": "x"})
     e = spark.createDataFrame([("w", "s", "R", 2.0, 0.5, None, {"k": "w"}), ("l", "s", "R", 3.0, 0.9, "d", {"k": "l", "j": "l"}), ("l", "w", "R", 1.0, 1.0, None, {}), ("o", "l", "R", 1.0, 1.0, None, {}), ("o", "s", "R", 1.0, 1.0, None, {})], schema.EDGES)
