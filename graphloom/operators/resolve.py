@@ -83,6 +83,26 @@ def upsert_edges(current: DataFrame, seen: DataFrame) -> DataFrame:
     )
 
 
+def record_edges(ledger: DataFrame | None, seen: DataFrame, batch_id: str) -> DataFrame:
+    """The ledger of what each batch has added to each edge, with this batch in place of an earlier delivery of it.
+
+    Batches may come again, and in any order: ``edges_of`` gives the same edges.
+    """
+    last = seen.groupBy(*EDGE_KEY).agg(F.max("seq").alias("last_seq"))
+    rows = fold_edges(seen).join(last, EDGE_KEY).withColumn("batch_id", F.lit(batch_id))
+    return rows if ledger is None else ledger.where(F.col("batch_id") != batch_id).unionByName(rows)
+
+
+def edges_of(ledger: DataFrame) -> DataFrame:
+    """Edges of all batches of a ledger: weights add up, confidence is the highest, evidence is of the batch that saw the
+    edge last, and so is each property of the last batch that has it; ties go to the greater batch id."""
+    order = F.struct("last_seq", "batch_id").alias("at")
+    rows = ledger.select(*EDGE_KEY, "weight", "confidence", "evidence_document_id", "properties", order)
+    folded = rows.groupBy(*EDGE_KEY).agg(F.sum("weight").alias("weight"), F.max("confidence").alias("confidence"), F.max_by("evidence_document_id", "at").alias("evidence_document_id"))
+    out = folded.join(fold_bags(rows, EDGE_KEY, "at"), EDGE_KEY, "left")
+    return out.withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
+
+
 def record_mentions(current: DataFrame, seen: DataFrame) -> DataFrame:
     """Current mentions and, first ones winning, new ones; contexts of at most 1,000 characters."""
     first = seen.groupBy("node_id", "document_id").agg(F.min_by("context", "seq").alias("context")).withColumn("context", F.substring("context", 1, 1000))

@@ -388,6 +388,20 @@ def resolve_edges(g: Lens) -> DataFrame:
     return resolve.resolve_edges(edges, ids).select("source_id", "target_id", "relationship")
 
 
+@query("""SELECT 'supplier:' || l_suppkey AS source_id, 'part:' || l_partkey AS target_id, count(*)::DOUBLE AS weight, max(l_quantity)::DOUBLE AS confidence,
+ arg_max('order:' || l_orderkey, l_orderkey * 10 + l_linenumber) AS evidence, arg_max(l_linenumber::VARCHAR, l_orderkey * 10 + l_linenumber) AS line FROM lineitem GROUP BY 1, 2""")
+def edge_ledger(g: Lens) -> DataFrame:
+    """Who supplies what, seen in three batches of orders; the first comes again after the last."""
+    seen = g.table("lineitem").select(
+        F.concat(F.lit("supplier:"), "l_suppkey").alias("source_id"), F.concat(F.lit("part:"), "l_partkey").alias("target_id"), F.lit("SUPPLIES").alias("relationship"), F.col("l_quantity").cast("double").alias("confidence"),
+        F.concat(F.lit("order:"), "l_orderkey").alias("evidence_document_id"), F.create_map(F.lit("line"), F.col("l_linenumber").cast("string")).alias("properties"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_orderkey") % 3).alias("batch"),
+    )
+    ledger = None
+    for batch in (0, 1, 2, 0):
+        ledger = written(resolve.record_edges(ledger, seen.where(F.col("batch") == batch).drop("batch"), f"batch {batch}"), "edge-ledger")
+    return resolve.edges_of(ledger).select("source_id", "target_id", "weight", "confidence", F.col("evidence_document_id").alias("evidence"), F.try_element_at("properties", F.lit("line")).alias("line"))
+
+
 @query("SELECT 'page:' || page_id AS document_id, length(html) AS n FROM pages")
 def extract_model(g: Lens) -> DataFrame:
     """A provider that reports the length of what it is shown as an entity's name."""
@@ -682,6 +696,17 @@ def apply_entity_merge(g: Lens) -> DataFrame:
     return m.edges.select("source_id", "target_id", "weight", "confidence", F.try_element_at("properties", F.lit("via")).alias("via"))
 
 
+@query(""", k AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey - s_suppkey % 4 IN (SELECT s_suppkey FROM supplier) THEN s_suppkey - s_suppkey % 4 WHEN s_suppkey % 4 = 3 THEN s_suppkey - 1 ELSE s_suppkey END AS root FROM supplier)
+ SELECT source_id, 'supplier:' || root AS target_id, sum(weight) AS weight, max(confidence) AS confidence FROM e_depends_on JOIN k ON target_id = 'supplier:' || s GROUP BY 1, 2""")
+def apply_entity_merge_groups(g: Lens) -> DataFrame:
+    """Suppliers by fours: 1 and 2 go into 0, after 3 went into 2; 3 into 1 comes too late."""
+    nodes, edges, mentions, _ = _merge_input(g)
+    number = lambda k: F.concat(F.lit("supplier:"), F.col("first") + k)
+    fours = g.table("supplier").select((F.col("s_suppkey") - F.col("s_suppkey") % 4).alias("first")).distinct()
+    asked = F.explode(F.array(*(F.struct(F.concat(F.lit(f"p{w}{x}:"), "first").alias("proposal_id"), number(w).alias("winner_id"), number(x).alias("loser_id"), F.lit(c).alias("confidence")) for w, x, c in ((0, 1, 0.9), (2, 3, 0.85), (0, 2, 0.8), (1, 3, 0.7)))))
+    return proposals.apply_entity_merge(nodes, edges, mentions, fours.select(asked.alias("m")).select("m.*")).edges.select("source_id", "target_id", "weight", "confidence")
+
+
 @query("SELECT source_id, target_id, weight, confidence FROM e_depends_on")
 def rollback_entity_merge(g: Lens) -> DataFrame:
     nodes, edges, mentions, merges = _merge_input(g)

@@ -150,6 +150,17 @@ def test_audit_of_many_results(spark):
     assert out["r"]["result_count"] == 500 and out["r"]["result_ids"] == [f"n{i:04}" for i in range(100)] and (out["q"]["result_count"], out["q"]["result_ids"]) == (2, ["x"])
 
 
+def test_edge_ledger_takes_batches_in_any_order_and_again(spark):
+    rows = [("a", "b", "R", 0.5, "d1", {"x": "1"}, 1), ("a", "b", "R", 0.7, "d2", {"y": "1"}, 2), ("a", "c", "R", 0.2, "d2", {}, 3)], [("a", "b", "R", 0.6, "d3", {"x": "2"}, 4), ("c", "b", "R", 0.1, "d3", {}, 5)]
+    one_, two = (spark.createDataFrame(r, "source_id string, target_id string, relationship string, confidence double, evidence_document_id string, properties map<string,string>, seq long") for r in rows)
+    want = {("a", "b"): (3.0, 0.7, "d3", {"x": "2", "y": "1"}), ("a", "c"): (1.0, 0.2, "d2", {}), ("c", "b"): (1.0, 0.1, "d3", {})}
+    for order in ("12", "21", "1121", "2212"):
+        ledger = None
+        for b in order:
+            ledger = resolve.record_edges(ledger, one_ if b == "1" else two, b)
+        assert {(r["source_id"], r["target_id"]): (r["weight"], r["confidence"], r["evidence_document_id"], r["properties"]) for r in resolve.edges_of(ledger).collect()} == want
+
+
 def test_contradictions(spark):
     n = nodes_of(spark, {"node_id": "a", "node_type": "t", "name": "a", "properties": {"owner": "alice", "tier": "1", "n": "1.0"}}, {"node_id": "b", "node_type": "t", "name": "b", "canonical_node_id": "a", "properties": {"owner": "bob", "tier": "1", "stale": "true", "n": "1"}})
     assert [r["payload"]["key"] for r in scans.scan_contradictions(n).collect()] == ["owner"]
