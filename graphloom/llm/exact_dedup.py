@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .hashing import give_back
 
 #: A digest is frequent if at least one row in so many has it: at most so many digests can be.
 HEAVY_SHARE = 512
@@ -40,6 +41,8 @@ def misra_gries(keys: Iterator[bytes], counters: int) -> dict[bytes, int]:
 def _summaries(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
     held = misra_gries((key for batch in batches for key in batch.column(0).to_pylist()), counters)
     yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["digest", "low"])
+    held.clear()
+    give_back()
 
 
 def heavy_digests(digests: DataFrame, share: int = HEAVY_SHARE) -> DataFrame:

@@ -7,6 +7,7 @@ No Python string is made.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -68,9 +69,12 @@ def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[
 
 
 def give_back() -> None:
-    """Return what Arrow's pool holds but doesn't use; a worker that waits for its next task then stays small."""
+    """Return what Arrow's pool and the C library hold but don't use; a worker that waits for its next task then stays
+    small."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
 
 
 class Words:

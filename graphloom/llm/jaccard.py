@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .components import components
-from .hashing import SPACE, Words, raw_text, row_blocks, shingle_sets
+from .hashing import SPACE, Words, give_back, raw_text, row_blocks, shingle_sets
 from .idmaps import MAP_BITS, id_map
 
 #: Shingles in a task's summary, and in the list that all tasks get (16 bytes each), at most.
@@ -88,6 +88,8 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 often = (many > 1) | (now > 2 + 4 * (seen // CELLS))
                 keys, counts = _summed(np.append(keys, own[often]), np.append(counts, many[often]))
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["shingle", "low"])
+        del cells, keys, counts
+        give_back()
 
     sums = docs.select("text").mapInArrow(summaries, "shingle long, low long").groupBy("shingle").agg(F.sum("low").alias("low"))
     got = sums.where("low > 3").orderBy(F.col("low").desc(), "shingle").limit(FREQUENT).toPandas()
@@ -137,6 +139,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     numbers[i, 2:4] = _two_longs(prefix.tobytes(), len(s))
                 columns = [batch.column(0).slice(a, len(sets)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), *map(pa.array, numbers.T.copy())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "prefix", "wide", *_DIGEST, *_GROUP, *_WORDS])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, size long, prefix array<long>, wide array<long>, " + ", ".join(f"{k} long" for k in (*_DIGEST, *_GROUP, *_WORDS))
@@ -173,6 +176,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             own = batch.filter(pa.array((held[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)))
             for a, sets in _sets(own.column(2), n):
                 yield pa.RecordBatch.from_arrays([own.column(0).slice(a, len(sets)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "members"])
+        give_back()
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("bit"), "text")
     return rows.mapInArrow(hashed, f"node {docs.schema['doc_id'].dataType.simpleString()}, members array<long>").dropDuplicates(["node"])

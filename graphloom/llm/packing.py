@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import small_slices
+from .hashing import give_back
 
 END_ID = 1
 #: Windows of one fill level, at most: with 2048 levels their ids take some 130 MB at the very worst.
@@ -180,5 +181,6 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 2048) -
             yield rows()
         windows.close()
         yield rows()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(packed, SCHEMA.format(docs.schema["doc_id"].dataType.simpleString()))
