@@ -44,11 +44,17 @@ def fold_nodes(seen: DataFrame) -> DataFrame:
     return _with_bags(folded, seen, NODE_KEY)
 
 
+def arrived_documents(incoming: DataFrame) -> DataFrame:
+    """The latest arrival, by ``seq``, of each document, with its content hash."""
+    fields = [c for c in incoming.columns if c not in (*DOC_KEY, "seq")]
+    latest = incoming.groupBy(*DOC_KEY).agg(F.max_by(F.struct(*fields), "seq").alias("n")).select(*DOC_KEY, "n.*")
+    return latest.withColumn("content_hash", text.content_hash(F.col("content")))
+
+
 def upsert_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """The new image of the document table. Of repeated arrivals the latest ``seq`` counts; a known document keeps its
     source_created_at and extracted_hash, all else is replaced."""
-    fields = [c for c in incoming.columns if c not in (*DOC_KEY, "seq")]
-    latest = incoming.groupBy(*DOC_KEY).agg(F.max_by(F.struct(*fields), "seq").alias("n")).select(*DOC_KEY, "n.*").withColumn("content_hash", text.content_hash(F.col("content"))).withColumn("_new", F.lit(True))
+    latest = arrived_documents(incoming).withColumn("_new", F.lit(True))
     n, o = latest.alias("n"), current.withColumn("_old", F.lit(True)).alias("o")
     both = o.join(n, DOC_KEY, "full_outer")
     cols = []

@@ -228,11 +228,7 @@ def _events(g: Lens) -> DataFrame:
 def stream_ingest_documents(g: Lens) -> DataFrame:
     e = _events(g).select(F.col("event_type").alias("source_system"), F.lit("event").alias("source_type"), F.col("user_id").cast("string").alias("external_id"), F.col("props").alias("content"), F.lit(None).cast("timestamp").alias("source_created_at"), F.col("event_id").alias("seq"))
 
-    def fold(batch: DataFrame, image: DataFrame | None) -> DataFrame:
-        none = g.spark.createDataFrame([], "source_system string, source_type string, external_id string, content string, source_created_at timestamp, content_hash string, extracted_hash string")
-        return resolve.upsert_documents(none if image is None else image, batch)
-
-    return replay.upsert_stream(e, fold).select("source_system", "external_id", "content")
+    return replay.upsert_stream(e, resolve.arrived_documents, resolve.DOC_KEY, ["source_created_at"]).select("source_system", "external_id", "content")
 
 
 @query("SELECT event_type, user_id, sha256(props) AS content_hash FROM events GROUP BY ALL")
@@ -258,14 +254,14 @@ def stream_rate_limit(g: Lens) -> DataFrame:
 @query("SELECT date_trunc('day', started_at) AS day, source_system, count(*) AS n_runs, count(*) FILTER (WHERE status = 'failed') AS n_failed FROM runs GROUP BY ALL")
 def stream_connector_health(g: Lens) -> DataFrame:
     failed = (F.col("value") < 5) | ((F.col("event_type") == "error") & (F.col("value") < 40))
-    e = _events(g).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), F.col("event_type").alias("source_system")).agg(F.count(F.lit(1)).alias("n_runs"), F.count_if(failed).alias("n_failed"))
-    return replay.drained(e.select(F.col("window.start").alias("day"), "source_system", "n_runs", "n_failed"), "complete")
+    e = replay.windows_drained(_events(g), "ts", lambda e: e.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), F.col("event_type").alias("source_system")).agg(F.count(F.lit(1)).alias("n_runs"), F.count_if(failed).alias("n_failed")))
+    return e.select(F.col("window.start").alias("day"), "source_system", "n_runs", "n_failed")
 
 
 @query(", s AS (SELECT unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS since, event_type FROM events) SELECT since, event_type, count(*) AS n FROM s GROUP BY ALL")
 def stream_digest_window(g: Lens) -> DataFrame:
-    e = _events(g).withWatermark("ts", "7 days").groupBy(F.window("ts", "7 days", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return replay.drained(e.select(F.col("window.start").alias("since"), "event_type", "n"), "complete")
+    e = replay.windows_drained(_events(g), "ts", lambda e: e.withWatermark("ts", "7 days").groupBy(F.window("ts", "7 days", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n")))
+    return e.select(F.col("window.start").alias("since"), "event_type", "n")
 
 
 @query("SELECT source_system, max(source_updated_at) AS cursor FROM event_docs GROUP BY 1")
@@ -276,11 +272,11 @@ def stream_incremental_cursor(g: Lens) -> DataFrame:
 
 @query(", o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k")
 def stream_sessions(g: Lens) -> DataFrame:
-    e = _events(g).withWatermark("ts", "1 day").groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return replay.drained(e.select("user_id", F.col("session_window.start").alias("started"), "n"), "complete")
+    e = replay.windows_drained(_events(g), "ts", lambda e: e.withWatermark("ts", "1 day").groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n")))
+    return e.select("user_id", F.col("session_window.start").alias("started"), "n")
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_audit_counts(g: Lens) -> DataFrame:
-    e = _events(g).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour"), "user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return replay.drained(e.select(F.col("window.start").alias("hour"), "user_id", "event_type", "n"), "complete")
+    e = replay.windows_drained(_events(g), "ts", lambda e: e.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour"), "user_id", "event_type").agg(F.count(F.lit(1)).alias("n")))
+    return e.select(F.col("window.start").alias("hour"), "user_id", "event_type", "n")

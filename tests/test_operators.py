@@ -450,3 +450,56 @@ def test_ranks_in_groups_of_any_size(spark):
     got = {(r["k"], r["i"]): r["rank"] for r in reads.wide_ranks(d, ["k"], [F.col("v").desc(), F.col("i")]).collect()}
     want = {(k, i): n for key in ("a", "b", None) for n, (k, _, i) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2])), 1)}
     assert got == want
+
+
+def ten_files(spark, folder):
+    """Forty hours of hits of three users, four hours in a file, files in order of time."""
+    import time
+
+    for k in range(10):
+        hits = spark.range(k * 240, k * 240 + 240).selectExpr("id", "cast(id % 3 as int) as user", "timestamp_seconds(1700000000 + id * 60) as ts").coalesce(1)
+        hits.write.mode("append").parquet(folder)
+        time.sleep(0.02)  # files are read in order of their time
+    return spark.read.parquet(folder)
+
+
+def test_windows_are_emitted_once_and_leave_the_state(spark, tmp_path):
+    rows = ten_files(spark, f"{tmp_path}/hits")
+    count = lambda df: df.groupBy(F.window("ts", "1 hour"), "user").agg(F.count(F.lit(1)).alias("n"))
+    told = []
+    got = replay.windows_drained(replay.replay(spark, f"{tmp_path}/hits", 1), "ts", lambda e: count(e.withWatermark("ts", "1 hour")), told)
+    assert sorted(map(str, got.collect())) == sorted(map(str, count(rows).collect()))
+    held = [s["numRowsTotal"] for p in told for s in p["stateOperators"]]
+    assert len(held) >= 10 and max(held) <= 3 * 6 and held[-1] == 1  # six open hours of three users; the end's own window
+    assert all(s["numRowsDroppedByWatermark"] == 0 for p in told for s in p["stateOperators"])
+
+
+def test_streams_without_files(spark, tmp_path):
+    spark.range(0).selectExpr("id", "timestamp_seconds(id) as ts", "cast(id as string) as content").write.parquet(f"{tmp_path}/none")
+    for path in (f"{tmp_path}/none", f"{tmp_path}/none/*.none"):
+        stream = spark.readStream.schema("id long, ts timestamp, content string").parquet(path)
+        windows = replay.windows_drained(stream, "ts", lambda e: e.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n")))
+        assert windows.collect() == [] and windows.columns == ["window", "n"]
+        image = replay.upsert_stream(stream, lambda b: b.groupBy("id").agg(F.max("content").alias("content"), F.min("ts").alias("ts")), ["id"], ["ts"])
+        assert image.collect() == [] and image.columns == ["id", "content", "ts"]
+
+
+def test_upserts_write_what_comes_not_the_image(spark, tmp_path):
+    import time
+
+    # a large first file, then twelve small ones that touch a few of its documents and bring a new one each
+    batches = [[(f"d{i}", f"first {i}", 0) for i in range(3000)]] + [[(f"d{k}", f"again {k}", k), ("d0", f"turn {k}", k), (f"e{k}", "new", k), (f"e{k}", "newer", k + 1)] for k in range(1, 13)]
+    want = {}
+    for rows in batches:
+        spark.createDataFrame(rows, "external_id string, content string, seq long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+        time.sleep(0.02)
+        want |= {name: content for name, content, _ in sorted(rows, key=lambda r: r[2])}
+    since = {name: [r[2] for rows in batches for r in rows if r[0] == name][0] for name in want}
+    stream = spark.readStream.schema("external_id string, content string, seq long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/docs")
+    stream = stream.select(F.lit("s").alias("source_system"), F.lit("t").alias("source_type"), "external_id", "content", F.timestamp_seconds(F.col("seq")).alias("source_created_at"), "seq")
+    sizes = []
+    image = replay.upsert_stream(stream, resolve.arrived_documents, resolve.DOC_KEY, ["source_created_at"], sizes=sizes)
+    got = {r["external_id"]: r for r in image.select("external_id", "content", "content_hash", F.unix_seconds("source_created_at").alias("at")).collect()}
+    assert {k: r["content"] for k, r in got.items()} == want
+    assert all(got[k]["at"] == (since[k] + 1 if k[0] == "e" else since[k]) for k in want)  # of a batch the latest arrival
+    assert len(sizes) == 13 and sorted(sizes)[-3] <= 30  # the image was written with its own batch and by one merge
