@@ -151,11 +151,14 @@ def win_distinct_on_shortest(g: Lens) -> DataFrame:
     return found.select("start_id", "node_id", "depth", text.render_path(F.col("names"), F.col("rels")).alias("path"))
 
 
-@query(_ADJ + "SELECT start_id, node_id AS target_id, depth, path FROM paths WHERE node_id IN ('customer:5', 'customer:11', 'customer:77', 'region:1') AND starts_with(start_id, 'supplier')")
+@query(_ADJ + """, pairs AS (SELECT DISTINCT 'supplier:' || l_suppkey AS start_id, 'customer:' || o_custkey AS target_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+ SELECT paths.start_id, target_id, depth, path FROM paths JOIN pairs ON pairs.start_id = paths.start_id AND target_id = node_id""")
 def find_path(g: Lens) -> DataFrame:
+    """From suppliers to the customers whom they have served, within two steps."""
     edges, nodes = _world(g)
-    targets = g.spark.createDataFrame([("customer:5",), ("customer:11",), ("customer:77",), ("region:1",)], "target_id string")
-    return graphs.find_path(edges, nodes, _starts(g).join(F.broadcast(targets)), 2)
+    served = g.table("lineitem").join(g.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pairs = served.select(F.concat(F.lit("supplier:"), "l_suppkey").alias("start_id"), F.concat(F.lit("customer:"), "o_custkey").alias("target_id"))
+    return graphs.find_path(edges, nodes, pairs, 2)
 
 
 _HOPS = """, adj AS (SELECT source_id AS near, target_id AS far FROM (SELECT * FROM e_part_of UNION ALL SELECT * FROM e_member_of) UNION SELECT target_id, source_id FROM (SELECT * FROM e_part_of UNION ALL SELECT * FROM e_member_of)),

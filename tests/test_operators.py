@@ -103,6 +103,23 @@ def test_paths(spark):
     assert [(r["target_id"], r["depth"], r["path"]) for r in got] == [("co", 2, "alice -[AUTHORED]-> pr-42 -[IMPLEMENTS]-> checkout")]
 
 
+def test_paths_from_both_ends_are_the_walk_s(spark):
+    import random
+
+    rng = random.Random(4)
+    ids = [f"n{i}" for i in range(40)]
+    n = nodes_of(spark, *({"node_id": i, "node_type": "t", "name": f"{rng.choice('xyz')}"} for i in ids))
+    links = {(*rng.sample(ids[:36], 2), rng.choice("RST")) for _ in range(45)} | {("n0", f"n{i}", "R") for i in range(20, 34)}
+    e = spark.createDataFrame(sorted(links), "source_id string, target_id string, relationship string")
+    pairs = spark.createDataFrame([(a, b) for a in ids[::3] for b in ids] + [("n1", "n2"), ("n1", "gone"), ("gone", "gone"), (None, "n1")], "start_id string, target_id string")
+    for visible, depth in ((None, 4), (n.where("node_id not in ('n0', 'n3', 'n5', 'n22')").select("node_id"), 3), (None, 1)):
+        walked = graphs.first_arrivals(e, n, pairs.select("start_id").distinct(), depth, visible)
+        want = walked.join(pairs.distinct().withColumnRenamed("target_id", "node_id"), ["start_id", "node_id"]).select("start_id", F.col("node_id").alias("target_id"), "depth", text.render_path(F.col("names"), F.col("rels")).alias("path"))
+        got = sorted(map(tuple, graphs.find_path(e, n, pairs, depth, visible).collect()))
+        assert got == sorted(map(tuple, want.collect())) and {r[2] for r in got} == set(range(depth + 1))
+    assert graphs.find_path(e, n, pairs.limit(0), 4).count() == 0
+
+
 def test_canonical_cycle_ends(spark):
     n = nodes_of(spark, {"node_id": "a", "node_type": "t", "name": "a", "canonical_node_id": "b"}, {"node_id": "b", "node_type": "t", "name": "b", "canonical_node_id": "a"}, {"node_id": "c", "node_type": "t", "name": "c", "canonical_node_id": "d"}, {"node_id": "d", "node_type": "t", "name": "d"})
     assert {r["node_id"]: r["root"] for r in reads.resolve_canonical(n).collect()} == {"a": "a", "b": "a", "c": "d", "d": "d"}
