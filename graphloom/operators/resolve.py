@@ -141,11 +141,11 @@ def name_pairs(names: DataFrame, threshold: float, known: DataFrame | None = Non
 PIVOTS, PICKED = 256, 8
 
 
-def _pivots(vectors: DataFrame, count: int) -> np.ndarray:
+def pivots(vectors: DataFrame, count: int) -> np.ndarray:
     """Unit vectors far from each other, each in turn the one farthest from those before it, among a bounded number
     picked by hash."""
     picked = vectors.orderBy(F.xxhash64("node_id"), "node_id").limit(PICKED * count).select(F.col("embedding").cast("array<double>")).collect()
-    v = _units([r[0] for r in picked]) if picked else np.zeros((0, 1))
+    v = units([r[0] for r in picked]) if picked else np.zeros((0, 1))
     v = v[v.any(1)]
     if not len(v):
         return np.ones((1, 1))
@@ -168,7 +168,7 @@ def in_cells(vectors: DataFrame, most: float, block_rows: int, asked: DataFrame
     """
     rows = vectors.where("embedding is not null").select("node_id", "node_type", "embedding", F.lit(True).alias("known"))
     count = max(1, min(PIVOTS, math.ceil(rows.count() / block_rows)))
-    shared = vectors.sparkSession.sparkContext.broadcast(_pivots(rows, count) if count > 1 else np.ones((1, 1)))  # one cell needs no pivot
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots(rows, count) if count > 1 else np.ones((1, 1)))  # one cell needs no pivot
     if asked is not None:
         rows = rows.unionByName(asked.where("embedding is not null").select("node_id", "node_type", "embedding", F.lit(False).alias("known")))
     bound, alone = math.sqrt(2 * most) + 1e-9 if most < 1 else math.inf, asked is None
@@ -181,7 +181,7 @@ def in_cells(vectors: DataFrame, most: float, block_rows: int, asked: DataFrame
 
     def at_home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in filter(len, frames):
-            v = _units(frame["v"])
+            v = units(frame["v"])
             far = distances(v)
             yield frame.assign(v=list(v), own=far.argmin(1), far=far.min(1))
 
@@ -212,7 +212,7 @@ def in_cells(vectors: DataFrame, most: float, block_rows: int, asked: DataFrame
     return homes.where("known").withColumns({"cell": F.col("own"), "home": F.lit(True)}).unionByName(copies).drop("known", "far")
 
 
-def _units(vectors: list) -> np.ndarray:
+def units(vectors: list) -> np.ndarray:
     m = np.array([np.asarray(v, float) for v in vectors], float).reshape(len(vectors), -1)
     norm = np.sqrt((m * m).sum(1, keepdims=True))
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)

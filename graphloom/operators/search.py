@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,38 +13,124 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores, stems, text
-from . import reads
+from ..session import written
+from . import reads, resolve
 
 
-def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_block: int = 8192, query_block: int = 1024) -> DataFrame:
-    """request_id, rank, node_id, similarity: the k nearest vectors of each query (request_id, embedding); exact.
+class VectorIndex(NamedTuple):
+    """Vectors in the cells of their nearest pivots."""
+
+    #: cell, node_id, v (of length 1): all vectors; those of zeros in cell -1.
+    rows: DataFrame
+    #: At most PIVOTS vectors.
+    pivots: np.ndarray
+    #: cell, n, near, far: vectors in a cell, and the least and greatest of their distances from its pivot.
+    cells: pd.DataFrame
+
+
+def _apart(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    if len(pivots) == 1:  # one cell needs no pivot
+        return np.zeros((len(v), 1))
+    return np.sqrt(np.maximum(0, (v * v).sum(1)[:, None] + 1 - 2 * v @ pivots.T))
+
+
+def index_vectors(vectors: DataFrame, cell_rows: int = 8192) -> VectorIndex:
+    """An index of all vectors (node_id, embedding), written once for any number of searches. Pivots are picked from a
+    bounded sample, one for each ``cell_rows`` vectors up to resolve.PIVOTS; they decide the cost alone."""
+    rows = vectors.where("embedding is not null").select("node_id", "embedding")
+    count = max(1, min(resolve.PIVOTS, math.ceil(rows.count() / cell_rows)))
+    pivots = resolve.pivots(rows, count) if count > 1 else np.ones((1, 1))
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+
+    def at_home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in filter(len, frames):
+            v = resolve.units(frame["v"])
+            far = _apart(v, shared.value)
+            yield pd.DataFrame({"cell": np.where(v.any(1), far.argmin(1), -1), "node_id": frame["node_id"], "v": list(v), "far": far.min(1)})
+
+    homes = rows.select("node_id", F.col("embedding").cast("array<double>").alias("v")).mapInPandas(at_home, "cell long, node_id string, v array<double>, far double")
+    homes = written(homes, "vector-index")
+    cells = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).orderBy("cell").toPandas()
+    return VectorIndex(homes.drop("far"), pivots, cells)
 
-    Blocks of vectors meet blocks of queries; every meeting is one task's work of bounded size and leaves k rows a
-    query. Similarities are rounded to 6 places, equal ones are in order of node_id. Vectors of zeros are as near as
-    orthogonal ones.
-    """
-    v = vectors.where("embedding is not null").select("node_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = queries.where("embedding is not null").select("request_id", F.col("embedding").cast("array<double>").alias("v"))
-    rows, columns = max(1, math.ceil(v.count() / vector_block)), max(1, math.ceil(q.count() / query_block))
-    v = v.withColumn("i", F.pmod(F.xxhash64("node_id"), F.lit(rows)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    q = q.withColumn("j", F.pmod(F.xxhash64("request_id"), F.lit(columns)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
 
-    def unit(column: pd.Series) -> np.ndarray:
-        m = np.array(column.tolist(), float).reshape(len(column), -1)
-        return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+def probes(index: VectorIndex, queries: DataFrame, k: int) -> DataFrame:
+    """request_id, v, cell: for each query (request_id, embedding) the cells it has to look into.
+
+    Without ``worst`` the most promising ones that together hold k vectors. With ``worst``, the k-th best similarity
+    found in these, all others that may hold one as good: by the triangle inequality nothing in a cell is nearer to the
+    query than the query's distance from the pivot is outside of the cell's least and greatest ones.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast((index.pivots, index.cells))
+    later = "worst" in queries.columns
+
+    def reached(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, cells = shared.value
+        cell, n = cells["cell"].to_numpy(), cells["n"].to_numpy()
+        for frame in filter(len, frames):
+            v = resolve.units(frame["v"])
+            away = _apart(v, pivots)[:, np.maximum(cell, 0)]
+            least = np.maximum(0, np.maximum(away - cells["far"].to_numpy(), cells["near"].to_numpy() - away))
+            most = 1 - least**2 / 2
+            most[:, cell == -1] = 0
+            most[~v.any(1)] = 0
+            order = np.lexsort((away, -most), axis=1)
+            before = np.cumsum(n[order], axis=1) - n[order]
+            look = np.zeros(most.shape, bool)
+            np.put_along_axis(look, order, before < k, axis=1)
+            if later:  # similarities are rounded to 6 places
+                look = ~look & (most >= frame["worst"].to_numpy()[:, None] - 2e-6)
+            at, to = np.nonzero(look)
+            yield frame[["request_id"]].assign(v=list(v)).iloc[at].assign(cell=cell[to])
+
+    rows = queries.where("embedding is not null").select(F.col("request_id").cast("string"), F.col("embedding").cast("array<double>").alias("v"), *(["worst"] if later else []))
+    return rows.mapInPandas(reached, "request_id string, v array<double>, cell long")
+
+
+def _best_in_cells(index: VectorIndex, asked: DataFrame, k: int, vector_block: int, query_block: int) -> DataFrame:
+    """The k best of each query in each meeting of a block of a cell's vectors and a block of its queries."""
+    spark = asked.sparkSession
+    held = spark.createDataFrame([(int(c), math.ceil(n / vector_block)) for c, n in zip(index.cells["cell"], index.cells["n"])], "cell long, rows long")
+    sizes = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("columns")).join(held, "cell")  # a row for each cell
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    v = index.rows.join(F.broadcast(sizes), "cell").select("cell", "node_id", "v", block("node_id", "rows").alias("i"), every("columns").alias("j"))
+    q = asked.join(F.broadcast(sizes), "cell").select("cell", "request_id", "v", block("request_id", "columns").alias("j"), every("rows").alias("i"))
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"request_id": [], "node_id": [], "similarity": []}).astype({"request_id": str, "node_id": str, "similarity": float})
         left = left.sort_values("node_id", ignore_index=True)
-        s = np.round(unit(right["v"]) @ unit(left["v"]).T, 6)
+        x, y = (np.array(side["v"].tolist(), float).reshape(len(side), -1) for side in (left, right))
+        s = np.round(y @ x.T, 6)
         # rows are in order of node_id, so a stable sort settles ties
         best = np.argsort(-s, axis=1, kind="stable")[:, :k]
         found = np.repeat(np.arange(len(right)), best.shape[1])
         return pd.DataFrame({"request_id": right["request_id"].to_numpy()[found], "node_id": left["node_id"].to_numpy()[best.ravel()], "similarity": s[found, best.ravel()]})
 
-    found = v.groupBy("i", "j").cogroup(q.groupBy("i", "j")).applyInPandas(near, "request_id string, node_id string, similarity double")
-    return reads.ranked(found, ["request_id"], [F.col("similarity").desc(), F.col("node_id")], k).select("request_id", "rank", "node_id", "similarity")
+    return v.groupBy("cell", "i", "j").cogroup(q.groupBy("cell", "i", "j")).applyInPandas(near, "request_id string, node_id string, similarity double")
+
+
+def nearest(index: VectorIndex, queries: DataFrame, k: int = 10, vector_block: int = 8192, query_block: int = 1024) -> DataFrame:
+    """request_id, rank, node_id, similarity: the k nearest vectors of each query (request_id, embedding); exact.
+
+    A query first looks into the cells that promise most; the k-th best similarity there rules most others out, and it
+    looks into what is left. Vectors of cells that nobody looks into don't move. Similarities are rounded to 6 places,
+    equal ones are in order of node_id. Vectors of zeros are as near as orthogonal ones.
+    """
+    order = [F.col("similarity").desc(), F.col("node_id")]
+    asked = written(probes(index, queries, k), "probes")
+    first = written(reads.ranked(_best_in_cells(index, asked, k, vector_block, query_block), ["request_id"], order, k), "first-found")
+    worst = first.where(F.col("rank") == k).select("request_id", F.col("similarity").alias("worst"))
+    left = queries.select(F.col("request_id").cast("string"), "embedding").join(worst, "request_id", "left").fillna(-2.0, ["worst"])
+    further = written(probes(index, left, k), "probes")
+    found = first.select("request_id", "node_id", "similarity").unionByName(_best_in_cells(index, further, k, vector_block, query_block))
+    return reads.ranked(found, ["request_id"], order, k).select("request_id", "rank", "node_id", "similarity")
+
+
+def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_block: int = 8192, query_block: int = 1024) -> DataFrame:
+    """``nearest`` by an index made for this search alone."""
+    return nearest(index_vectors(vectors, vector_block), queries, k, vector_block, query_block)
 
 
 def tokens(body: Column) -> Column:

@@ -520,3 +520,40 @@ def test_upserts_write_what_comes_not_the_image(spark, tmp_path):
     assert {k: r["content"] for k, r in got.items()} == want
     assert all(got[k]["at"] == (since[k] + 1 if k[0] == "e" else since[k]) for k in want)  # of a batch the latest arrival
     assert len(sizes) == 13 and sorted(sizes)[-3] <= 30  # the image was written with its own batch and by one merge
+
+
+def test_nearest_by_cells_is_exact_and_reads_few(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    hubs = rng.normal(size=(60, 16))
+    v = np.repeat(hubs, 30, axis=0) + rng.normal(size=(1800, 16)) * 0.08
+    v[7] = v[8] = v[9]  # ties
+    v[20:24] = 0
+    rows = [(f"v{i:04d}", [float(x) for x in r]) for i, r in enumerate(v)] + [("none", None)]
+    vectors = spark.createDataFrame(rows, "node_id string, embedding array<double>")
+    asked = {f"q{i}": v[i] for i in range(0, 1800, 20)} | {"far": -v.sum(0)}
+    queries = spark.createDataFrame([(n, [float(x) for x in q]) for n, q in asked.items()] + [("nothing", None)], "request_id string, embedding array<double>")
+    units = v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
+    for k, cell_rows in ((5, 30), (40, 100), (2000, 600), (3, 5000)):
+        index = search.index_vectors(vectors, cell_rows)
+        assert index.rows.count() == 1800 and index.cells["n"].sum() == 1800
+        got = {}
+        for r in search.nearest(index, queries, k, 64, 16).collect():
+            got.setdefault(r["request_id"], []).append((r["rank"], r["node_id"], r["similarity"]))
+        assert set(got) == set(asked)
+        for name, q in asked.items():
+            s = np.round(units @ (q / max(np.sqrt(q @ q), 1e-300)), 6)
+            best = np.argsort(-s, kind="stable")[:k]
+            mine = sorted(got[name])
+            assert [m[0] for m in mine] == list(range(1, len(best) + 1))
+            assert np.abs(np.array([m[2] for m in mine]) - s[best]).max() <= 1.5e-6
+            if k == 3:
+                assert [m[1] for m in mine] == [f"v{i:04d}" for i in best]
+    index = search.index_vectors(vectors, 30)
+    near = queries.where("request_id not in ('far', 'q20')")  # q20 is a vector of zeros, as near to all
+    first = search.probes(index, near, 5).count()
+    worst = search.nearest(index, near, 5).where("rank = 5").select("request_id", F.col("similarity").alias("worst"))
+    further = search.probes(index, near.join(worst, "request_id"), 5).count()
+    assert (first + further) / worst.count() <= 8  # of some sixty cells
+    assert search.semantic_search(vectors.limit(0), queries, 3).count() == 0 == search.nearest(index, queries.limit(0), 3).count()
