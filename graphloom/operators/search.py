@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -133,9 +133,13 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_
     return nearest(index_vectors(vectors, vector_block), queries, k, vector_block, query_block)
 
 
+def _words(body: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(body, F.lit(""))), text.NOT_ALNUM), lambda w: (w != "") & ~w.isin(stems.STOP_WORDS))
+
+
 def tokens(body: Column) -> Column:
     """Stems of the lower-case words that are no stop words."""
-    return stems.stemmed(F.filter(F.split(F.lower(F.coalesce(body, F.lit(""))), text.NOT_ALNUM), lambda w: (w != "") & ~w.isin(stems.STOP_WORDS)))
+    return stems.stemmed(_words(body))
 
 
 def parse_query(query: str) -> list[list[tuple[bool, list[str]]]]:
@@ -155,6 +159,22 @@ def parse_query(query: str) -> list[list[tuple[bool, list[str]]]]:
     return [[p for p in alternative if p[1]] for alternative in out if any(p[1] for p in alternative)]
 
 
+def _best_nodes(rows: DataFrame, plan: list, has: Callable[[list[str]], Column], occurrences: Callable[[str], Column], length: Column, k: int) -> DataFrame:
+    """The k best of the rows that a parsed query matches; only these move."""
+    match, wanted = F.lit(False), sorted({w for alternative in plan for yes, words in alternative if yes for w in words})
+    for alternative in plan:
+        every = F.lit(True)
+        for yes, words in alternative:
+            every &= has(words) if yes else ~has(words)
+        match |= every
+    score = F.lit(0.0)
+    for n in map(occurrences, wanted):
+        score += F.when(n > 0, 1 + F.log(n.cast("double"))).otherwise(0.0)
+    found = rows.where(match).select("node_id", "name", F.round(score / (1 + F.log(1.0 + length)), 6).alias("score"))
+    top = found.orderBy(F.col("score").desc(), "name", "node_id").limit(k)
+    return reads.ranked(top.withColumn("_q", F.lit(1)), ["_q"], [F.col("score").desc(), F.col("name"), F.col("node_id")], k).select("rank", "node_id", "name", "score")
+
+
 def keyword_search(nodes: DataFrame, query: str, k: int = 10, body: Column | None = None) -> DataFrame:
     """rank, node_id, name, score of nodes whose words match.
 
@@ -173,19 +193,52 @@ def keyword_search(nodes: DataFrame, query: str, k: int = 10, body: Column | Non
     def occurrences(word: str) -> Column:
         return F.size(F.filter("t", lambda x: x == word))
 
+    return _best_nodes(rows, parse_query(query), has, occurrences, F.size("t"), k)
+
+
+class WordIndex(NamedTuple):
+    """Nodes by their words."""
+
+    #: word (a stem), node_id, positions; in order of words, so that a search reads its own words' part.
+    postings: DataFrame
+    #: node_id, name, len (words).
+    nodes: DataFrame
+
+
+def index_words(nodes: DataFrame) -> WordIndex:
+    """An index of the words of nodes (node_id, name, body), written once for any number of searches. Each word of the
+    vocabulary is stemmed once; a node's places of a word are put together before they meet its stem."""
+    raw = nodes.select("node_id", "name", _words(F.col("body")).alias("t"))
+    own = written(raw.select("node_id", "name", F.size("t").alias("len")), "indexed-nodes")
+    places = raw.select("node_id", F.posexplode("t").alias("at", "raw")).groupBy("node_id", "raw").agg(F.collect_list("at").alias("at"))
+    places = written(places, "places")
+    stem = written(places.select("raw").distinct().select("raw", F.get(stems.stemmed(F.array("raw")), 0).alias("word")), "vocabulary")
+    held = places.join(stem, "raw").groupBy("word", "node_id").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
+    return WordIndex(written(held.repartitionByRange("word", "node_id").sortWithinPartitions("word", "node_id"), "postings"), own)
+
+
+def search_words(index: WordIndex, query: str, k: int = 10) -> DataFrame:
+    """The rows of ``keyword_search`` out of an index: only the query's words are read, and meet by node. Nodes without
+    any of them are read only if an alternative asks for nothing but absence."""
     plan = parse_query(query)
-    match, wanted = F.lit(False), sorted({w for alternative in plan for yes, words in alternative if yes for w in words})
-    for alternative in plan:
-        every = F.lit(True)
-        for yes, words in alternative:
-            every &= has(words) if yes else ~has(words)
-        match |= every
-    score = F.lit(0.0)
-    for n in map(occurrences, wanted):
-        score += F.when(n > 0, 1 + F.log(n.cast("double"))).otherwise(0.0)
-    found = rows.where(match).select("node_id", "name", F.round(score / (1 + F.log(1.0 + F.size("t"))), 6).alias("score"))
-    top = found.orderBy(F.col("score").desc(), "name", "node_id").limit(k)
-    return reads.ranked(top.withColumn("_q", F.lit(1)), ["_q"], [F.col("score").desc(), F.col("name"), F.col("node_id")], k).select("rank", "node_id", "name", "score")
+    words = sorted({w for alternative in plan for _, words in alternative for w in words})
+    met = index.postings.where(F.col("word").isin(words)).groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("at"))
+    absent = any(not any(yes for yes, _ in alternative) for alternative in plan)
+    rows = index.nodes.join(met, "node_id", "left" if absent else "inner")
+
+    def at(word: str) -> Column:
+        return F.coalesce(F.try_element_at("at", F.lit(word)), F.array().cast("array<int>"))
+
+    def has(words: list[str]) -> Column:
+        def follow(p: Column) -> Column:
+            every = F.lit(True)
+            for i, word in enumerate(words[1:], 1):
+                every &= F.array_contains(at(word), p + i)
+            return every
+
+        return F.exists(at(words[0]), follow)
+
+    return _best_nodes(rows, plan, has, lambda w: F.size(at(w)), F.col("len"), k)
 
 
 def keyword_batch(nodes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -68,7 +68,8 @@ def keyword_search(g: Lens) -> DataFrame:
 
 @query(_FOUND + "SELECT rank, node_id, score FROM kw WHERE rank <= 50")
 def topk_keyword(g: Lens) -> DataFrame:
-    return search.keyword_search(g.parts, _KEYWORD_QUERY, 50, _part_body()).select("rank", "node_id", "score")
+    index = search.index_words(g.parts.select("node_id", "name", _part_body().alias("body")))
+    return search.search_words(index, _KEYWORD_QUERY, 50).select("rank", "node_id", "score")
 
 
 def _legs(g: Lens) -> tuple[DataFrame, DataFrame]:

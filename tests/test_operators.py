@@ -557,3 +557,17 @@ def test_nearest_by_cells_is_exact_and_reads_few(spark):
     further = search.probes(index, near.join(worst, "request_id"), 5).count()
     assert (first + further) / worst.count() <= 8  # of some sixty cells
     assert search.semantic_search(vectors.limit(0), queries, 3).count() == 0 == search.nearest(index, queries.limit(0), 3).count()
+
+
+def test_searches_of_the_word_index_are_those_of_the_nodes(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(f"n{i}", rng.choice("abc"), " ".join(rng.choice("deploy deployed services Servant the copper coppers skies sky, news".split()) for _ in range(rng.randint(0, 9)))) for i in range(120)]
+    n = spark.createDataFrame([*rows, ("empty", None, None), ("stops", "a", "the of")], "node_id string, name string, body string")
+    index = search.index_words(n)
+    vocabulary = [r["word"] for r in index.postings.select("word").distinct().collect()]
+    assert sorted(vocabulary) == sorted({"deploy", "servic", "servant", "copper", "sky", "news"} | set(vocabulary)) and len(vocabulary) <= 7
+    for query in ("deploying services", '"copper sky" OR news -deploy', '-"deploy service" copper', "-copper -news", "unheard", "the", "", '"sky sky" OR "copper deploy copper"'):
+        want = search.keyword_search(n.withColumn("summary", F.lit(None).cast("string")), query, 15, F.col("body")).collect()
+        assert search.search_words(index, query, 15).collect() == want, query
