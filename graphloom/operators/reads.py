@@ -9,10 +9,11 @@ from ..functions import scores
 from ..session import written
 
 
-def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "both", most: int | None = None, of: DataFrame | None = None) -> DataFrame:
+def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "both", most: int | None = None, of: DataFrame | None = None, canonical_only: bool = False) -> DataFrame:
     """One hop: node_id, direction, relationship, other_id, name, node_type, confidence, weight.
 
-    ``of`` (node_id) restricts the starts; ``most`` keeps so many by relationship and id for each node and direction.
+    ``of`` (node_id) restricts the starts; ``most`` keeps so many by relationship and id for each node and direction. With
+    ``canonical_only`` neighbours that are aliases of others are left out, before that.
     """
     legs = []
     for way, near, far in (("out", "source_id", "target_id"), ("in", "target_id", "source_id")):
@@ -20,6 +21,9 @@ def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "both", most:
             leg = edges.select(F.col(near).alias("node_id"), F.lit(way).alias("direction"), "relationship", F.col(far).alias("other_id"), "confidence", "weight")
             legs.append(leg if of is None else leg.join(of, "node_id", "left_semi"))
     both = legs[0] if len(legs) == 1 else legs[0].unionByName(legs[1])
+    if canonical_only:
+        nodes = nodes.where("canonical_node_id is null")
+        both = both.join(nodes.select(F.col("node_id").alias("other_id")), "other_id", "left_semi")
     if most is not None:
         order = Window.partitionBy("node_id", "direction").orderBy("relationship", "other_id")
         both = both.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
@@ -27,8 +31,12 @@ def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "both", most:
     return both.join(names, "other_id").select("node_id", "direction", "relationship", "other_id", "name", "node_type", "confidence", "weight")
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """node_id, n_out, n_in: ends are counted before they meet."""
+def degrees(edges: DataFrame, visible: DataFrame | None = None) -> DataFrame:
+    """node_id, n_out, n_in: ends are counted before they meet. With ``visible`` (node_id) only edges count whose ends
+    are both visible."""
+    if visible is not None:
+        for end in ("source_id", "target_id"):
+            edges = edges.join(visible.select(F.col("node_id").alias(end)), end, "left_semi")
     out = edges.select(F.col("source_id").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i"))
     both = out.unionByName(edges.select(F.col("target_id").alias("node_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return both.groupBy("node_id").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
@@ -38,11 +46,11 @@ def node_sources(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     return mentions.select("node_id", "document_id").join(docs, "document_id")
 
 
-def node_details(nodes: DataFrame, edges: DataFrame, mentions: DataFrame, docs: DataFrame) -> DataFrame:
-    """Attributes, degree and number of visible sources of each node."""
+def node_details(nodes: DataFrame, edges: DataFrame, mentions: DataFrame, docs: DataFrame, visible: DataFrame | None = None) -> DataFrame:
+    """Attributes, degree and number of visible sources of each node. Degrees are scoped to ``visible`` nodes, if given."""
     sources = mentions.join(docs.select("document_id", "source_system"), "document_id").groupBy("node_id").agg(F.count(F.lit(1)).alias("n_sources"), F.array_sort(F.collect_set("source_system")).alias("systems"))
     zero = F.lit(0).cast("long")
-    found = nodes.select("node_id", "node_type", "name").join(degrees(edges), "node_id", "left").join(sources, "node_id", "left")
+    found = nodes.select("node_id", "node_type", "name").join(degrees(edges, visible), "node_id", "left").join(sources, "node_id", "left")
     return found.select("node_id", "node_type", "name", *(F.coalesce(c, zero).alias(c) for c in ("n_out", "n_in", "n_sources")), F.coalesce("systems", F.array().cast("array<string>")).alias("systems"))
 
 

@@ -571,3 +571,20 @@ def test_searches_of_the_word_index_are_those_of_the_nodes(spark):
     for query in ("deploying services", '"copper sky" OR news -deploy', '-"deploy service" copper', "-copper -news", "unheard", "the", "", '"sky sky" OR "copper deploy copper"'):
         want = search.keyword_search(n.withColumn("summary", F.lit(None).cast("string")), query, 15, F.col("body")).collect()
         assert search.search_words(index, query, 15).collect() == want, query
+
+
+def test_aliases_and_hidden_nodes_can_be_left_out(spark):
+    n = nodes_of(spark, *({"node_id": i, "node_type": "t", "name": i, "canonical_node_id": {"b": "z"}.get(i)} for i in "abcdz"))
+    e = spark.createDataFrame([("a", "b", "R", 1.0, 1.0), ("b", "c", "R", 1.0, 1.0), ("a", "d", "R", 1.0, 1.0), ("d", "z", "R", 1.0, 1.0), ("z", "c", "R", 1.0, 1.0)], "source_id string, target_id string, relationship string, confidence double, weight double")
+    a = spark.createDataFrame([("a",)], "node_id string")
+    near = lambda **how: [r["other_id"] for r in reads.neighbors(e, n, "out", 1, a, **how).collect()]
+    assert near() == ["b"] and near(canonical_only=True) == ["d"]
+    asked = spark.createDataFrame([("a", "c"), ("a", "b")], "start_id string, target_id string")
+    assert {(r["target_id"], r["depth"]) for r in graphs.find_path(e, n, asked, 4).collect()} == {("c", 2), ("b", 1)}
+    assert {(r["target_id"], r["depth"]) for r in graphs.find_path(e, n, asked, 4, canonical_only=True).collect()} == {("c", 3)}
+    start = a.toDF("start_id")
+    found = graphs.traverse_to_type(e, n, start, "t", 4, 9, canonical_only=True)
+    assert [(r["node_id"], r["depth"]) for r in found.orderBy("depth", "node_id").collect()] == [("d", 1), ("z", 2), ("c", 3)]
+    seen = spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")
+    assert {tuple(r) for r in reads.degrees(e, seen).collect()} == {("a", 1, 0), ("b", 1, 1), ("c", 0, 1)}
+    assert {tuple(r) for r in reads.degrees(e).where("node_id = 'a'").collect()} == {("a", 2, 0)}
