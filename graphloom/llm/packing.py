@@ -5,11 +5,14 @@ whose change keeps the sum of the squared counts smallest; longer documents firs
 holds at most AT_LEVEL windows, always: a piece that would make one more fills what is left of the fullest window
 instead, and its rest is placed in turn. So memory is bounded by the levels, whatever the texts.
 
-At a partition's end the emptiest window is taken apart, again and again: its pieces close the fullest windows, cut to
-what these have left. So windows stay as they were placed but for the piece that closes them. The pieces of the last
-one are cut at powers of two, which need no padding.
-
-Every partition packs on its own, so no key gathers rows, and a lost task packs the same rows again. Defined results:
+Every partition packs on its own, so no key gathers rows, and a lost task packs the same rows again. What windows a
+partition leaves open goes on: the pieces of all partitions' open windows are placed once more by the same rule, in as
+few tasks as there are ROUND_IDS ids among them. So squares fill most windows even where partitions are small. Only at
+the end of that round windows are closed by cutting: the emptiest one is taken apart, again and again, and its pieces
+close the fullest ones, cut to what these have left. The pieces of the last one are cut at powers of two, which need no
+padding.
+
+Defined results:
 null and empty texts are the end id alone; added tokens of the vocabulary's JSON file have their own ids wherever a
 text holds them, as in the tokenizers library; documents of any length are cut; repeated rows are packed as documents of
 their own; an empty table gives no sequences.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import math
 import os
 import zlib
 from array import array
@@ -30,14 +34,18 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..session import written
 from .bpe import small_slices
 from .hashing import give_back
 
 END_ID = 1
 #: Windows of one fill level, at most: with 2048 levels their ids take some 130 MB at the very worst.
 AT_LEVEL = 16
-SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Ids of open windows for each task of the second round; it bounds the number of windows closed by cutting.
+ROUND_IDS = 1 << 24
+SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, placed boolean"
 
 #: row, start, ids, doc_tokens
 Piece = tuple[int, int, np.ndarray, int]
@@ -57,9 +65,9 @@ class SquareSums:
         for k in range(whole):
             self.full.append([(doc, k * self.size, ids[k * self.size : (k + 1) * self.size], total)])
         if total % self.size:
-            self._place((doc, whole * self.size, ids[whole * self.size :], total))
+            self.place((doc, whole * self.size, ids[whole * self.size :], total))
 
-    def _place(self, piece: Piece) -> None:
+    def place(self, piece: Piece) -> None:
         c, never = self.counts, np.int64(1) << 40
         rest: Piece | None = piece
         while rest:
@@ -99,6 +107,13 @@ class SquareSums:
         self._put(level + room, window)
         return (doc, start + room, ids[room:], total) if room < len(ids) else None
 
+    def leave(self) -> list[Piece]:
+        """The pieces of all open windows, which are open no more."""
+        out = [piece for level in self.open for window in level for piece in window]
+        self.counts[:] = 0
+        self.open = [[] for _ in self.open]
+        return out
+
     def close(self) -> None:
         """Close all windows, the emptiest ones' pieces going into the fullest ones."""
         left: list[Piece] = []
@@ -146,29 +161,35 @@ def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens(path))
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 2048) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def _rows(windows: list[list[Piece]], first: int, placed: bool, kind: pa.DataType) -> pa.RecordBatch:
+    """Pieces of finished windows, numbered from ``first`` on; empty ``ids``, as nothing more is done with them."""
+    out: list[tuple] = []
+    for k, window in enumerate(windows):
+        offset = 0
+        for doc, start, ids, total in window:
+            out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, first + k, offset, placed, None))
+            offset += len(ids)
+    return _batch(out, kind)
+
+
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    types = [kind, *[pa.int64()] * 6, pa.bool_(), pa.binary()]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "placed", "ids"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, types)], names)
+
+
+def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 2048, round_ids: int = ROUND_IDS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, placed (false where the
+    sequence was closed by cutting).
 
-    ``path`` holds the ranks of the byte-level vocabulary; a document ends with END_ID.
+    ``path`` holds the ranks of the byte-level vocabulary; a document ends with END_ID. The first round's pieces are
+    written, with the ids of those alone that the second round places again, so texts are encoded once.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         added = sorted(own.special_tokens_set)
         windows, next_id = SquareSums(size), TaskContext.get().partitionId() << 40
-
-        def rows() -> pa.RecordBatch:
-            nonlocal next_id
-            out: list[tuple] = []
-            for window in windows.drain():
-                offset = 0
-                for doc, start, ids, total in window:
-                    out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, next_id, offset))
-                    offset += len(ids)
-                next_id += 1
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, [kind, *[pa.int64()] * 6])]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
         kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field(0).type
@@ -178,9 +199,31 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 2048) -
                     ids = own.encode(text, allowed_special="all") if any(t in text for t in added) else own.encode_ordinary(text)
                     ids.append(END_ID)
                     windows.add(next(keys), np.frombuffer(array("I", ids), np.uint32).astype("<u4", copy=False))
-            yield rows()
+            full = windows.drain()
+            yield _rows(full, next_id, True, kind)
+            next_id += len(full)
+        left = windows.leave()
+        for k in range(0, len(left), 1024):
+            yield _batch([(doc, start, len(ids), None, total, None, None, None, ids.tobytes()) for doc, start, ids, total in left[k : k + 1024]], kind)
+        give_back()
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # numbers of this round lie above those of the first
+        windows, next_id = SquareSums(size), (1 << 62) + (TaskContext.get().partitionId() << 40)
+        kind = pa.int64()
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for doc, start, total, ids in zip(*(column.to_pylist() for column in batch.columns)):
+                windows.place((doc, start, np.frombuffer(ids, "<u4"), total))
+            full = windows.drain()
+            yield _rows(full, next_id, True, kind).drop_columns("ids")
+            next_id += len(full)
         windows.close()
-        yield rows()
+        yield _rows(windows.drain(), next_id, False, kind).drop_columns("ids")
         give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(packed, SCHEMA.format(docs.schema["doc_id"].dataType.simpleString()))
+    schema = SCHEMA.format(docs.schema["doc_id"].dataType.simpleString())
+    pieces = written(docs.select("doc_id", "text").mapInArrow(packed, schema + ", ids binary"), "pieces")
+    left = pieces.where("sequence_id is null").select("doc_id", "start", "doc_tokens", "ids")
+    tasks = math.ceil((pieces.where("sequence_id is null").agg(F.sum("length")).first()[0] or 1) / round_ids)
+    return pieces.where("sequence_id is not null").drop("ids").unionByName(left.coalesce(tasks).mapInArrow(again, schema))

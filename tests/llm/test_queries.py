@@ -199,6 +199,12 @@ def test_most_shared_windows_are_placed_by_squares():
         assert start == at[doc] == ids[0] and total == lengths[doc]
         at[doc] += len(ids)
     assert at == lengths
+    # windows that are left open give up all their pieces
+    w = packing.SquareSums(64)
+    for k in range(9):
+        w.add(k, np.zeros(30 + k, np.uint32))
+    left = w.leave()
+    assert sorted(p[0] for p in left + [p for window in w.full for p in window]) == list(range(9)) and not w.counts.any() and not w.leave()
     # levels are bounded even if no two pieces fit together
     w = packing.SquareSums(64)
     for k in range(3000):
@@ -208,6 +214,32 @@ def test_most_shared_windows_are_placed_by_squares():
     assert sum(len(p[2]) for window in w.full for p in window) == 3000 * 40
 
 
+def test_small_partitions_fill_most_windows_by_squares(spark):
+    rng = random.Random(2)
+    texts = [(k, " ".join(rng.choices(["sun", "moon", "river", "42", "stone\n"], k=int(rng.lognormvariate(5.5, 1)) + 1))) for k in range(4000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(64)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for round_ids, most_cut in ((packing.ROUND_IDS, 0.3), (1 << 18, 0.7)):
+        rows = packing.pack_documents(docs, path, public_tokenizers.PATTERN, round_ids=round_ids).collect()
+        windows, own = defaultdict(list), defaultdict(list)
+        for r in rows:
+            windows[r["sequence_id"]].append(r)
+            own[r["doc_id"]].append(r)
+        for window in windows.values():
+            window.sort(key=lambda r: r["offset"])
+            assert [r["offset"] for r in window] == [sum(r["length"] for r in window[:k]) for k in range(len(window))] and len({r["placed"] for r in window}) == 1
+        for pieces in own.values():
+            pieces.sort(key=lambda r: r["start"])
+            assert [r["start"] for r in pieces] == [sum(r["length"] for r in pieces[:k]) for k in range(len(pieces))] and sum(r["length"] for r in pieces) == pieces[0]["doc_tokens"]
+        assert len(own) == 4000
+        shared = [window for window in windows.values() if len(window) > 1]
+        cut = sum(not window[0]["placed"] for window in shared)
+        assert cut < most_cut * len(shared), (cut, len(shared))
+        # only sequences closed at the end may be short, and those are powers of two
+        sizes = [sum(r["length"] for r in window) for window in windows.values()]
+        assert all(n & (n - 1) == 0 for n in sizes)
+
+
 # --- 6
 
 
