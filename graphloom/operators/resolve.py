@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -268,6 +269,12 @@ def match_derived(existing: DataFrame, incoming: DataFrame, threshold: float = 0
     if "embedding" not in existing.columns or "embedding" not in incoming.columns:
         found = found.join(by_name.withColumnRenamed("name", "other"), ["node_type", "other"]).withColumn("similarity", score)
         return found.groupBy("node_type", "name").agg(F.min_by("to", F.struct(-F.col("similarity"), "to")).alias("matched_id"))
+    return _ways(known, incoming, found, near).groupBy("node_type", "name").agg(F.min_by("to", "order").alias("matched_id"))
+
+
+def _ways(known: DataFrame, incoming: DataFrame, found: DataFrame, near: float) -> DataFrame:
+    """node_type, name, to, node_id, order: known nodes that a new name may go to, by the names ``found`` (node_type,
+    name, other) or by vector, and how they rank."""
     asked = incoming.where("embedding is not null").groupBy("node_type", "name").agg(F.min_by("embedding", "seq").alias("v"))
     own = known.select("node_type", F.col("name").alias("other"), "to", "node_id", F.col("embedding").alias("w"))
     found = found.join(own, ["node_type", "other"])
@@ -275,19 +282,74 @@ def match_derived(existing: DataFrame, incoming: DataFrame, threshold: float = 0
     close = vector_pairs(known, near, same_type=True, asked=asked.select(key.alias("node_id"), "node_type", F.col("v").alias("embedding")))
     close = close.join(asked.withColumn("a", key), "a").join(own.withColumnRenamed("node_id", "b").drop("node_type"), "b").select("node_type", "other", "name", "to", F.col("b").alias("node_id"), "w")
     found = found.unionByName(close).distinct().join(asked, ["node_type", "name"], "left")
+    score = text.trigram_similarity(F.col("name"), F.col("other"))
     found = found.withColumn("distance", F.round(scores.cosine_distance(F.col("v"), F.col("w")), 12)).withColumn("similarity", F.round(score, 12))
     order = F.struct(F.col("distance").isNull(), "distance", -F.col("similarity"), "to")
-    return found.groupBy("node_type", "name").agg(F.min_by("to", order).alias("matched_id"))
+    return found.select("node_type", "name", "to", "node_id", order.alias("order"))
 
 
-def resolve_derived(existing: DataFrame, incoming: DataFrame, threshold: float = 0.55, near: float = 0.15) -> DataFrame:
-    """node_type, name, node_id, change for new names of derived nodes.
+def _one_after_another(existing: DataFrame, incoming: DataFrame, threshold: float, near: float) -> DataFrame:
+    """node_type, name, node_id, change as if names came one by one, by ``seq``, each to the best of the known nodes and
+    of those that names before it have made; it makes a node if there is none.
+
+    A name makes a node if it has no known one to go to and no earlier name near it has made one. Rounds settle all
+    names whose nearer ones are settled, so their number is that of the longest chain of names that wait for each
+    other, and not that of names. Later occurrences of a name go where its first has gone; what a name adds to a node
+    (a vector) is seen by the next batch.
+    """
+    vector = incoming["embedding"] if "embedding" in incoming.columns else F.lit(None)
+    new = incoming.select("node_type", "name", vector.cast("array<double>").alias("embedding"), "seq")
+    new = new.groupBy("node_type", "name").agg(F.min("seq").alias("seq"), F.min_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("seq"))).alias("embedding"))
+    new = written(new.withColumn("node_id", F.sha2(F.concat_ws("|", "node_type", "name"), 256)), "new-names")
+    vector = existing["embedding"] if "embedding" in existing.columns else F.lit(None)
+    known = existing.where("external_id is null").select("node_id", "node_type", "name", vector.cast("array<double>").alias("embedding"), F.coalesce("canonical_node_id", "node_id").alias("to"), F.lit(True).alias("old"))
+    # made nodes are told from known ones of the same id
+    made = new.select(F.concat(F.lit("new\x1f"), "node_id").alias("node_id"), "node_type", "name", "embedding", F.col("node_id").alias("to"), F.lit(False).alias("old"))
+    held = known.unionByName(made)
+    sides = held.select("node_type", "name").distinct()
+    asked = new.select("node_type", "name")
+    found = asked.join(known.select("node_type", "name").distinct(), ["node_type", "name"], "left_semi").withColumn("other", F.col("name"))
+    found = found.unionByName(name_pairs(asked, threshold, sides).select("node_type", F.col("a").alias("name"), F.col("b").alias("other")))
+    ways = _ways(held, new, found, near).join(new.select("node_type", "name", "seq", F.col("node_id").alias("own")), ["node_type", "name"])
+    at = new.select(F.concat(F.lit("new\x1f"), "node_id").alias("node_id"), F.struct("seq", "node_id").alias("made_at"))
+    ways = ways.join(at, "node_id", "left").where(F.col("made_at").isNull() | (F.col("made_at") < F.struct("seq", F.col("own").alias("node_id"))))
+    ways = written(ways.select("node_type", "name", "own", "to", "order", F.col("made_at").isNull().alias("old")), "ways")
+
+    settled = ways.where("old").select("own").distinct()
+    waits = written(ways.where("not old").select("own", "to").join(settled, "own", "left_anti"), "waits")
+    open_ = new.select(F.col("node_id").alias("own")).join(settled, "own", "left_anti")
+    heads: list[DataFrame] = []
+    merged = written(settled, "merged")
+    while True:
+        waits = written(waits.join(merged.withColumnRenamed("own", "to"), "to", "left_anti"), "waits")
+        now = written(open_.join(waits.select("own"), "own", "left_anti"), "heads")
+        heads.append(now)
+        merged = written(waits.join(now.withColumnRenamed("own", "to"), "to", "left_semi").select("own").distinct(), "merged")
+        open_ = written(open_.join(now, "own", "left_anti").join(merged, "own", "left_anti"), "open")
+        if open_.isEmpty():
+            break
+        waits = waits.join(merged, "own", "left_anti")
+    all_heads = reduce(DataFrame.unionByName, heads)
+    best = ways.join(all_heads.withColumnRenamed("own", "to").withColumn("head", F.lit(True)), "to", "left").where("old or head").join(all_heads, "own", "left_anti")
+    best = best.groupBy("node_type", "name").agg(F.min_by(F.struct("to", "old"), F.struct("order", ~F.col("old"))).alias("b"))
+    gone = best.select("node_type", "name", F.col("b.to").alias("node_id"), F.when(F.col("b.old"), "enriched").otherwise("merged").alias("change"))
+    return gone.unionByName(new.join(all_heads.withColumnRenamed("own", "node_id"), "node_id", "left_semi").select("node_type", "name", "node_id", F.lit("created").alias("change")))
+
+
+def resolve_derived(existing: DataFrame, incoming: DataFrame, threshold: float = 0.55, near: float = 0.15, strategy: str = "components") -> DataFrame:
+    """node_type, name, node_id, change for new names of derived nodes. ``strategy="sequential"`` gives what names give
+    that come one after another, in rounds over all of them: chains don't merge, and a name goes to the best node there
+    is at its turn, known or made before it. The default:
 
     First against known nodes; what is left is joined among itself into components by similarity of names or vectors,
     each represented by its first arrival (smallest ``seq``). Chains of similar names so become one node.
     """
     from .graphs import components
 
+    if strategy not in ("components", "sequential"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    if strategy == "sequential":
+        return _one_after_another(existing, incoming, threshold, near)
     matched = match_derived(existing, incoming, threshold, near)
     left = incoming.join(matched, ["node_type", "name"], "left_anti")
     key = lambda t, n: F.concat_ws("\x1f", t, n)

@@ -139,6 +139,19 @@ def traverse_to_type(g: Lens) -> DataFrame:
     return graphs.traverse_to_type(edges, nodes, _starts(g), "customer", 2, 10)
 
 
+@query(""", e AS (SELECT * FROM e_depends_on WHERE confidence >= 1 UNION ALL SELECT * FROM e_member_of WHERE source_id LIKE 'supplier:%'),
+ adj AS (SELECT source_id AS near, target_id AS far, '>' || relationship AS step FROM e UNION SELECT target_id, source_id, '<' || relationship FROM e),
+ names AS (SELECT node_id, name FROM n_part UNION ALL SELECT node_id, name FROM n_nation UNION ALL SELECT node_id, name FROM n_supplier),
+ w1 AS (SELECT s.node_id AS start_id, far AS node_id, 1 AS depth, [step] AS rels, [s.name, n.name] AS names FROM n_supplier s JOIN adj ON near = s.node_id JOIN names n ON n.node_id = far),
+ w2 AS (SELECT start_id, far AS node_id, 2 AS depth, list_append(rels, step) AS rels, list_append(names, n.name) AS names FROM w1 JOIN adj ON near = w1.node_id JOIN names n ON n.node_id = far WHERE far <> start_id)
+ SELECT start_id, node_id, depth, names[1] || list_aggregate(list_transform(range(1, len(rels) + 1), lambda i: CASE WHEN rels[i][1:1] = '>' THEN ' -[' || rels[i][2:] || ']-> ' ELSE ' <-[' || rels[i][2:] || ']- ' END || names[i + 1]), 'string_agg', '') AS path FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2)""")
+def all_paths(g: Lens) -> DataFrame:
+    """Every simple path of two steps from suppliers, over untaxed deliveries and nations."""
+    edges = g.edges("DEPENDS_ON").where("confidence >= 1").unionByName(g.edges("MEMBER_OF").where("source_id like 'supplier:%'"))
+    found = graphs.simple_paths(edges, g.nodes("part", "nation", "supplier"), _starts(g), 2, most_rows=1 << 40).where("depth > 0")
+    return found.select("start_id", "node_id", "depth", text.render_path(F.col("names"), F.col("rels")).alias("path"))
+
+
 @query(_ADJ + "SELECT start_id, node_id, depth FROM paths ORDER BY depth, start_id, node_id LIMIT 15")
 def topk_paths(g: Lens) -> DataFrame:
     edges, nodes = _world(g)
@@ -520,6 +533,25 @@ def resolve_derived(g: Lens) -> DataFrame:
     return resolve.resolve_derived(known, fresh, 0.45).select("name", "node_id", "change")
 
 
+@query(_PART_TRI + """, known AS (SELECT name FROM dn WHERE length(name) % 7 = 0), fresh AS (SELECT p_name AS name, min(p_partkey) AS seq FROM part WHERE length(p_name) % 7 <> 0 GROUP BY 1),
+ ways AS (SELECT a AS name, b AS other, similarity FROM np WHERE similarity >= 0.45 UNION ALL SELECT b, a, similarity FROM np WHERE similarity >= 0.45),
+ old AS (SELECT f.name, 'known:' || k.name AS node_id, similarity FROM fresh f JOIN ways USING (name) JOIN known k ON k.name = other),
+ turn AS (SELECT name, seq, row_number() OVER (ORDER BY seq) AS k, name IN (SELECT name FROM old) AS met, coalesce((SELECT list(w.other) FROM ways w JOIN fresh o ON o.name = w.other WHERE w.name = f.name AND o.seq < f.seq), []) AS before FROM fresh f),
+ walk AS (WITH RECURSIVE go(k, heads) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT t.k, CASE WHEN t.met OR list_has_any(go.heads, t.before) THEN go.heads ELSE list_append(go.heads, t.name) END FROM go JOIN turn t ON t.k = go.k + 1) SELECT heads FROM go ORDER BY k DESC LIMIT 1),
+ head AS (SELECT unnest(heads) AS name FROM walk),
+ best AS (SELECT name, arg_min({'to': node_id, 'change': change}, (-round(similarity, 12), node_id)) AS b FROM (
+  SELECT name, node_id, 'enriched' AS change, similarity FROM old UNION ALL
+  SELECT w.name, sha256('part|' || w.other), 'merged', similarity FROM ways w JOIN fresh f ON f.name = w.name JOIN head h ON h.name = w.other JOIN fresh o ON o.name = w.other AND o.seq < f.seq WHERE w.name NOT IN (SELECT name FROM head)) GROUP BY 1)
+ SELECT name, b.to AS node_id, b.change AS change FROM best UNION ALL SELECT name, sha256('part|' || name), 'created' FROM head""")
+def resolve_sequential(g: Lens) -> DataFrame:
+    """Part names as they come by key, each to the best node of its turn."""
+    names = g.table("part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("seq"))
+    none = F.lit(None).cast("string")
+    known = names.where("length(name) % 7 = 0").select(F.concat(F.lit("known:"), "name").alias("node_id"), F.lit("part").alias("node_type"), "name", none.alias("external_id"), none.alias("canonical_node_id"))
+    fresh = names.where("length(name) % 7 <> 0").select(F.lit("part").alias("node_type"), "name", "seq")
+    return resolve.resolve_derived(known, fresh, 0.45, strategy="sequential").select("name", "node_id", "change")
+
+
 @query(""", nm AS (SELECT 'vec ' || vec_id AS name, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
  gr AS (SELECT name, vec_id, v, list_distinct(flatten(list_transform(regexp_split_to_array(name, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i::INT, 3))))) AS g FROM nm),
  cand AS (SELECT x.name, 'vec:' || y.vec_id AS node_id, round(1 - list_cosine_similarity(x.v, y.v), 12) AS d, round(len(list_intersect(x.g, y.g))::DOUBLE / len(list_distinct(list_concat(x.g, y.g))), 12) AS s FROM gr x JOIN gr y ON x.vec_id % 2 = 1 AND y.vec_id % 2 = 0)

@@ -1,5 +1,7 @@
 """Expectations on small literal tables, and properties: rollback undoes, a second scan finds nothing new."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -120,6 +122,30 @@ def test_paths_from_both_ends_are_the_walk_s(spark):
     assert graphs.find_path(e, n, pairs.limit(0), 4).count() == 0
 
 
+def test_all_simple_paths_or_none(spark):
+    import random
+
+    rng = random.Random(9)
+    ids = [f"n{i}" for i in range(12)]
+    n = nodes_of(spark, *({"node_id": i, "node_type": "tu"[k % 2], "name": i.upper()} for k, i in enumerate(ids)))
+    links = {(rng.choice(ids), rng.choice(ids), rng.choice("RS")) for _ in range(26)} | {("n0", "n0", "R")}
+    e = spark.createDataFrame(sorted(links), "source_id string, target_id string, relationship string")
+    starts = spark.createDataFrame([("n0",), ("n5",), ("n5",), ("gone",), (None,)], "start_id string")
+    steps = {(a, b, ">" + r) for a, b, r in links} | {(b, a, "<" + r) for a, b, r in links}
+    for seen in (set(ids), set(ids) - {"n1", "n5", "n7"}):
+        want, front = [], [([s], []) for s in ("n0", "n5")]
+        for _ in range(3):
+            front = [([*p, b], [*rels, r]) for p, rels in front for a, b, r in steps if a == p[-1] and b not in p and b in seen]
+            want += front
+        visible = n.where(F.col("node_id").isin(*seen)).select("node_id")
+        got = graphs.simple_paths(e, n, starts, 3, visible, most_rows=100_000).where("depth > 0").collect()
+        assert sorted((r["names"], r["rels"]) for r in got) == sorted(([i.upper() for i in p], rels) for p, rels in want)
+        to = graphs.traverse_to_type(e, n, starts, "u", 3, 100_000, visible, all_paths=True).collect()
+        assert len(to) == sum(int(p[-1][1:]) % 2 for p, _ in want)
+    with pytest.raises(graphs.TooManyPaths):
+        graphs.simple_paths(e, n, starts, 3, most_rows=10)
+
+
 def test_canonical_cycle_ends(spark):
     n = nodes_of(spark, {"node_id": "a", "node_type": "t", "name": "a", "canonical_node_id": "b"}, {"node_id": "b", "node_type": "t", "name": "b", "canonical_node_id": "a"}, {"node_id": "c", "node_type": "t", "name": "c", "canonical_node_id": "d"}, {"node_id": "d", "node_type": "t", "name": "d"})
     assert {r["node_id"]: r["root"] for r in reads.resolve_canonical(n).collect()} == {"a": "a", "b": "a", "c": "d", "d": "d"}
@@ -445,6 +471,53 @@ def test_derived_names_and_vectors(spark):
     assert got["t", "other"][1] == "created" and got["t", "thing"] == (got["t", "other"][0], "merged") and got["u", "billing"][1] == "created"
 
 
+def test_names_resolved_one_after_another(spark):
+    import random
+
+    import numpy as np
+
+    def grams(name):
+        return {f"  {w} "[i : i + 3] for w in name.split() for i in range(len(w) + 1)}
+
+    rng, words = random.Random(12), ["alpha", "alphas", "beta", "betas", "gamma", "delta"]
+    name = lambda: " ".join(rng.choices(words, k=rng.choice((1, 2, 2, 3))))
+    vector = lambda: rng.choice((None, [round(rng.gauss(0, 1), 3) for _ in range(3)]))
+    old = [(f"k{i}", rng.choice("tu"), name(), vector(), rng.choice((None, None, "x")), rng.choice((None, None, f"c{i}"))) for i in range(8)]
+    new = [(rng.choice("tu"), name(), vector(), i) for i in range(60)]
+    schema = "node_id string, node_type string, name string, embedding array<double>, external_id string, canonical_node_id string"
+    known, incoming = spark.createDataFrame(old, schema), spark.createDataFrame(new, "node_type string, name string, embedding array<double>, seq int")
+
+    def brute(use_vectors):
+        held = [(k, t, m, v if use_vectors else None, c or k, True) for k, t, m, v, x, c in old if x is None]
+        first, out = {}, {}
+        for t, m, v, _ in new:
+            first.setdefault((t, m), None)
+            if first[t, m] is None and use_vectors:
+                first[t, m] = v
+        for (t, m), v in first.items():
+            options = []
+            for _, kind, other, w, to, known_one in held:
+                far = None if v is None or w is None else round(1 - float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 12)
+                like = round(len(grams(m) & grams(other)) / len(grams(m) | grams(other)), 12)
+                if kind == t and (like >= 0.55 or (far is not None and far <= 0.15)):
+                    options.append((far is None, far or 0, -like, to, not known_one))
+            if options:
+                out[t, m] = (min(options)[3], "merged" if min(options)[4] else "enriched")
+            else:
+                made = hashlib.sha256(f"{t}|{m}".encode()).hexdigest()
+                out[t, m] = (made, "created")
+                held.append((made, t, m, v, made, False))
+        return out
+
+    for use in (True, False):
+        a, b = (known, incoming) if use else (known.drop("embedding"), incoming.drop("embedding"))
+        got = {(r["node_type"], r["name"]): (r["node_id"], r["change"]) for r in resolve.resolve_derived(a, b, strategy="sequential").collect()}
+        assert got == brute(use) and {c for _, c in got.values()} == {"created", "merged", "enriched"}
+    assert resolve.resolve_derived(known, incoming.limit(0), strategy="sequential").count() == 0
+    with pytest.raises(ValueError):
+        resolve.resolve_derived(known, incoming, strategy="other")
+
+
 def test_same_names_of_one_source_never_meet(spark):
     rows = [{"node_id": f"{s}{i}", "node_type": "t", "name": "same", "source_system": s, "external_id": str(i)} for s in ("a", "b") for i in range(3)]
     rows += [{"node_id": f"n{i}", "node_type": "t", "name": "same"} for i in range(2)]
