@@ -2,7 +2,8 @@
 
 Misra-Gries summaries of every partition are added up and name the digests that may hold more than one row in
 ``HEAVY_SHARE``. Their counts are then verified over all rows; the verified winners, a bounded set, are broadcast
-and settle their rows map-side. All other digests, none of which can be large, meet in an ordinary shuffle.
+and settle their rows map-side. All other digests meet in an ordinary shuffle: their groups are aggregated and joined
+to their rows.
 
 Defined results: null text counts as empty; texts are equal when identical; of equal texts the largest doc_id stays
 (null doc_id counts as smallest); rows that repeat both text and doc_id of the winner tie, all are marked kept in
@@ -68,8 +69,9 @@ def copy_groups(docs: DataFrame, share: int = HEAVY_SHARE) -> DataFrame:
     digests = written(_digested(docs.select("doc_id", "text")).drop("text"), "digests")
     heavy = written(heavy_digests(digests, share), "heavy")
     light = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-    same = Window.partitionBy("digest")
-    light = light.select("doc_id", "digest", F.max("doc_id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size"))
+    # joined and not a window, whose groups no task could share
+    groups = light.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    light = light.join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size")
     both = digests.join(F.broadcast(heavy), "digest").select(light.columns).unionByName(light)
     return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
