@@ -503,3 +503,21 @@ def test_pipeline_stages(spark):
     assert all(i == c for i, (_, c) in want.items())
     packed = corpus_pipeline.STAGES[-1][1](spark, at, SF)
     assert packed.select("doc_id").distinct().count() == at.count()
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(31)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    long = " ".join(words)
+    texts = {1: long, 2: long, 3: long[:-1] + "#", 4: "short text of six words only", 5: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in exact_dedup.copy_groups(docs).collect()}
+    assert {k: r["keep_id"] for k, r in got.items()} == {1: 2, 2: 2, 3: 3, 4: 4, 5: 5} and all(r["text_sha256"] == hashlib.sha256(texts[k].encode()).hexdigest() for k, r in got.items())
+    pieces = packing.pack_documents(docs, RANKS, PATTERN).collect()
+    lengths = {k: len(packing.tokenizer(RANKS, PATTERN).encode_ordinary(t)) + 1 for k, t in texts.items()}
+    assert {k: sum(r["length"] for r in pieces if r["doc_id"] == k) for k in texts} == lengths
+    shingles = {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
+    linked = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(docs).collect()}
+    assert linked[1] == linked[2] == (len(shingles), 1) and linked[3][1] == 1 and linked[4] == (2, 4) and linked[5] == (0, 5)
+    counted = {r["doc_id"]: r for r in rules.judged(docs, []).collect()}
+    assert (counted[1]["n_words"], counted[1]["word_chars"]) == (200_000, sum(map(len, words))) and counted[3]["n_symbols"] == 1
