@@ -119,7 +119,7 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, secrets.KINDS))
     named = F.filter("spans", lambda s: s["kind"] < 3)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS)]
+    counts = [F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(named), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 

@@ -163,6 +163,16 @@ def test_op12_whole_table(spark):
     assert not texts
 
 
+def test_op12_counts_each_kind(spark, tmp_path):
+    one = ["token=abcdef", "AKIA" + "Q" * 16, "f" * 24, "k9Xv2Lq8Zr4Tn7Wb3Mc5"]
+    rows = [(i, " ; ".join(x for k, x in enumerate(one) for _ in range(i >> 2 * k & 3))) for i in range(256)] + [(256, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = __spark_entry__.queries()["op12_secret_scan"](spark, str(tmp_path)).collect()
+    assert len(got) == 257
+    for r in got:
+        assert [r["n_assign"], r["n_access"], r["n_hex"], r["n_entropy"]] == [r["doc_id"] % 256 >> 2 * k & 3 for k in range(4)]
+
+
 # --- 13
 
 
