@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType
+from pyspark.sql.types import DoubleType
 
 from .hashing import NOT_WORD, Words, give_back, raw_text, row_blocks
 
@@ -29,6 +29,9 @@ BITS = 22
 SAMPLE_ROWS = 12_000
 THRESHOLD = 0.3
 STEM_BYTES = 4
+#: Slots of a text that travel in one row, at most: Spark fills Arrow batches by rows, 10,000 unless told otherwise, so
+#: those of the task that learns take some 10 MB, however long the texts are.
+PIECE = 256
 
 
 def held_out(doc_id: Column) -> Column:
@@ -77,36 +80,46 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
-def _slot_sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The distinct slots of each text."""
+def _slot_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct slots of each text (key, label, text), in pieces; a text without any has an empty one."""
     for batch in batches:
-        data, offsets = raw_text(batch)
-        parts = []
+        data, offsets = raw_text(batch.column(2))
         for a, b in row_blocks(offsets):
             slots, row = _features(data, offsets[a : b + 1])
             own = np.unique(row * np.int64(1 << BITS) + slots)
-            cut = np.searchsorted(own >> BITS, np.arange(b - a + 1)).astype(np.int32)
-            parts.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((own & ((1 << BITS) - 1)).astype(np.int32))))
-        yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            cut = np.searchsorted(own >> BITS, np.arange(b - a + 1))
+            many = np.maximum(-(-np.diff(cut) // PIECE), 1)
+            text = np.repeat(np.arange(b - a), many)
+            piece = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+            starts = np.append(cut[text] + piece * PIECE, cut[-1]).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(starts), pa.array((own & ((1 << BITS) - 1)).astype(np.int32)))
+            key, label = (batch.column(k).take(pa.array(a + text)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([key, label, pa.array(piece, pa.int32()), sets], ["key", "label", "piece", "slots"])
+    batch = data = slots = row = own = sets = key = label = None
     give_back()
 
 
 def _trained(batches: Iterator[pa.RecordBatch], epochs: int) -> Iterator[pa.RecordBatch]:
     """Weights of a bounded sample, learned in an order that hashes of ids fix."""
-    rows: list[tuple[int, np.ndarray, int]] = []
+    held: list[np.ndarray] = []
+    heads = [np.empty((0, 6), np.int64)]
     for batch in batches:
-        cut, slots = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
-        rows += [(key, slots[cut[i] : cut[i + 1]], label) for i, (key, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))]
-    rows.sort(key=lambda x: x[0])
+        key, label, piece, sets = batch.columns
+        cut = sets.offsets.to_numpy().astype(np.int64)
+        heads.append(np.column_stack([key, piece, label, np.full(len(key), len(held)), cut[:-1], cut[1:]]))
+        held.append(sets.values.to_numpy())
+    rows = np.concatenate(heads)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    texts = np.split(rows, np.flatnonzero(rows[:, 1] == 0))[1:]
     model = Ftrl()
     for _ in range(epochs):
-        for _, slots, label in rows:
-            model.learn(slots.astype(np.int64), label)
-    rows.clear()
+        for text in texts:
+            model.learn(np.concatenate([held[k][a:b] for k, a, b in text[:, 3:].tolist()]).astype(np.int64), int(text[0, 2]))
+    held.clear()
+    batch = sets = None
     at = np.flatnonzero(np.abs(model.z) > model.l1)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(model.weights(at), pa.float64())], ["slot", "weight"])
-    batch = model = None
+    model = None
     give_back()
 
 
@@ -123,7 +136,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, epochs: int = 3, sample: in
         return np.empty(0, np.int64), np.empty(0), share
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    sets = rows.select(F.xxhash64("doc_id", "text").alias("key"), F.col("_label").alias("label"), _slot_sets("text").alias("slots"))
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), F.col("_label").alias("label"), "text")
+    sets = keyed.mapInArrow(_slot_sets, "key long, label int, piece int, slots array<int>")
     got = sets.repartition(1).mapInArrow(lambda it: _trained(it, epochs), "slot long, weight double").toPandas()
     return got["slot"].to_numpy(), got["weight"].to_numpy(), share
 

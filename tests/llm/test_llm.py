@@ -109,6 +109,28 @@ def test_toxicity_scores_alike_at_any_size(spark):
     assert abs(few - many) < 0.04, (few, many)
 
 
+def test_toxicity_sets_travel_in_small_pieces():
+    rng = random.Random(8)
+    texts = [None, "", "one", *(" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) for n in (3, 50, 2000, 90_000, 40, 3000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([i % 2 for i in range(len(texts))], pa.int32()), pa.array(texts)], ["key", "label", "text"])
+    got = [r for part in toxicity._slot_sets(iter([batch])) for r in part.to_pylist()]
+    assert max(len(r["slots"]) for r in got) <= toxicity.PIECE < len(got)
+    for i, text in enumerate(texts):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        own = [r for r in got if r["key"] == i]
+        assert [r["piece"] for r in own] == list(range(len(own))) and {r["label"] for r in own} == {i % 2}
+        assert [x for r in own for x in r["slots"]] == np.unique(toxicity._features(data, np.array([0, len(data)]))[0]).tolist()
+    # pieces may meet in any order and in any batches
+    kind = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("piece", pa.int32()), ("slots", pa.list_(pa.int32()))])
+    learned = []
+    for size in (len(got), 7):
+        batches = [pa.RecordBatch.from_pylist(got[k : k + size], kind) for k in range(0, len(got), size)]
+        learned.append(next(toxicity._trained(iter(batches), 2)).to_pydict())
+        rng.shuffle(got)
+    assert learned[0] == learned[1] and learned[0]["slot"]
+    assert next(toxicity._trained(iter([]), 2)).num_rows == 0
+
+
 def test_toxicity_without_labels(docs, none):
     marks = none.select("doc_id", F.lit(1).alias("toxic"))
     model = toxicity.fit_toxicity(docs, marks)
