@@ -108,11 +108,12 @@ def linear_issues(df: DataFrame) -> DataFrame:
     return _doc(p, "linear_issue", F.col("p.identifier"), F.col("p.title"), with_comments(body, said), url=F.col("p.url"), author=F.col("p.creator.name"), source_created_at=scores.iso_ts(F.col("p.createdAt")), source_updated_at=scores.iso_ts(F.col("p.updatedAt")), resource_key=F.col("p.team.key"))
 
 
-def confluence_pages(df: DataFrame, base: str) -> DataFrame:
+def confluence_pages(df: DataFrame, base: str, closed_only: bool = False) -> DataFrame:
+    """Storage bodies as text, with comments; ``closed_only`` as in ``strip_html``."""
     p = df.withColumn("p", F.from_json("payload", "id string, title string, space string, body string, webui string, created string, updated string, comments array<struct<who:string, said:string>>"))
-    stripped = text.strip_html_each(F.transform("p.comments", lambda c: c["said"]))
+    stripped = text.strip_html_each(F.transform("p.comments", lambda c: c["said"]), closed_only)
     said = F.zip_with("p.comments", stripped, lambda c, s: F.struct(c["who"].alias("who"), s.alias("said")))
-    return _doc(p, "confluence_page", F.col("p.id"), F.col("p.title"), with_comments(text.strip_html(F.col("p.body")), said), url=F.concat(F.lit(base), "p.webui"), source_created_at=scores.iso_ts(F.col("p.created")), source_updated_at=scores.iso_ts(F.col("p.updated")), resource_key=F.col("p.space"))
+    return _doc(p, "confluence_page", F.col("p.id"), F.col("p.title"), with_comments(text.strip_html(F.col("p.body"), closed_only), said), url=F.concat(F.lit(base), "p.webui"), source_created_at=scores.iso_ts(F.col("p.created")), source_updated_at=scores.iso_ts(F.col("p.updated")), resource_key=F.col("p.space"))
 
 
 def notion_pages(pages: DataFrame, blocks: DataFrame, depth: int = 4) -> DataFrame:

@@ -48,3 +48,8 @@ ENTITIES = pages((1, "<p>a &amp b &amp; c</p>"), (2, "x &lt y &amp;lt; &copy z &
 def test_open_entities_stay_in_pages(spark, tmp_path):
     ours, theirs = same_rows(spark, tmp_path, "fn_strip_html", pages=ENTITIES)
     assert "a &amp b & c" in theirs[0] and ours == theirs
+
+
+def test_open_entities_stay_in_wiki_pages(spark, tmp_path):
+    ours, theirs = same_rows(spark, tmp_path, "src_confluence_page", pages=ENTITIES.slice(0, 5))
+    assert len(ours) == 5 and ours == theirs
