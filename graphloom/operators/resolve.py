@@ -219,14 +219,14 @@ def units(vectors: list) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def vector_pairs(vectors: DataFrame, most: float, block_rows: int = 2048, same_type: bool = False, asked: DataFrame | None = None) -> DataFrame:
+def vector_pairs(vectors: DataFrame, most: float, block_rows: int = 2048, same_type: bool = False, asked: DataFrame | None = None, places: int = 12) -> DataFrame:
     """(a, b, distance) with a < b of all vectors within a cosine distance; with ``asked``, of one of its rows (a) and
-    one of ``vectors`` (b). Exact.
+    one of ``vectors`` (b). Exact; distances are rounded to ``places`` before they are compared.
 
     Vectors meet in the cells of ``in_cells``. A cell's rows at home and its copies are dealt to blocks, block against
     block, so a cell of any size is many groups of two blocks each.
     """
-    rows = written(in_cells(vectors, most, block_rows, asked), "cells")
+    rows = written(in_cells(vectors, most + 10.0**-places, block_rows, asked), "cells")
     sizes = rows.groupBy("cell").agg(*(F.ceil(F.count(F.when(F.col("home") == at, 1)) / block_rows).alias(c) for c, at in (("homes", True), ("copies", False))))
     rows = rows.join(F.broadcast(sizes), "cell").where("homes > 0 and copies > 0")  # a row for each of at most PIVOTS cells
     block = lambda n: F.pmod(F.xxhash64("node_id"), F.col(n))
@@ -238,8 +238,8 @@ def vector_pairs(vectors: DataFrame, most: float, block_rows: int = 2048, same_t
         m = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
         home, own, ids, kinds = pdf["home"].to_numpy(bool), pdf["own"].to_numpy(), pdf["node_id"].to_numpy(), pdf["node_type"].to_numpy()
         left, right = np.flatnonzero(home), np.flatnonzero(~home)
-        d = 1 - m[left] @ m[right].T
-        x, y = np.nonzero(d <= most + 1e-12)
+        d = np.round(1 - m[left] @ m[right].T, places)
+        x, y = np.nonzero(d <= most)
         a, b, d = left[x], right[y], d[x, y]
         keep = (own[b] != key[0]) | (ids[a] < ids[b]) if alone else np.ones(len(a), bool)
         if same_type:

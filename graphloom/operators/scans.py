@@ -149,17 +149,18 @@ def scan_dedup(nodes: DataFrame, mentions: DataFrame, vectors: DataFrame | None
     return pairs.select(*finding("entity_merge", {"winner_id": F.col("winner_id"), "loser_id": F.col("loser_id")}, F.col("score"), "dedup", F.col("dedup_key"), {"name_similarity": F.round("name_similarity", 6), "distance": F.round("distance", 6)}))
 
 
-def link_candidates(vectors: DataFrame, mentions: DataFrame, edges: DataFrame, near: float, least_mentions: int = 2) -> DataFrame:
-    """a, b, distance of nodes mentioned often enough, close by vector, without an edge either way."""
+def link_candidates(vectors: DataFrame, mentions: DataFrame, edges: DataFrame, near: float, least_mentions: int = 2, places: int = 12) -> DataFrame:
+    """a, b, distance of nodes mentioned often enough, close by vector, without an edge either way. Distances are rounded
+    to ``places`` before they are compared."""
     often = mentions.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_mentions)
-    pairs = resolve.vector_pairs(vectors.join(often, "node_id", "left_semi"), near)
+    pairs = resolve.vector_pairs(vectors.join(often, "node_id", "left_semi"), near, places=places)
     known = edges.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
     return pairs.join(known, ["a", "b"], "left_anti")
 
 
-def scan_link_prediction(vectors: DataFrame, mentions: DataFrame, edges: DataFrame, suggestions: DataFrame, registry: DataFrame, near: float = 0.2, limit: int | None = 50, filed: DataFrame | None = None, limit_before_filed: bool = False) -> DataFrame:
+def scan_link_prediction(vectors: DataFrame, mentions: DataFrame, edges: DataFrame, suggestions: DataFrame, registry: DataFrame, near: float = 0.2, limit: int | None = 50, filed: DataFrame | None = None, limit_before_filed: bool = False, places: int = 12) -> DataFrame:
     """``suggestions`` (dedup_key, relationship, judged) of a judge; known relationships of at least 0.5 are filed."""
-    pairs = link_candidates(vectors, mentions, edges, near).withColumn("dedup_key", text.pair_key(F.col("a"), F.col("b")))
+    pairs = link_candidates(vectors, mentions, edges, near, places=places).withColumn("dedup_key", text.pair_key(F.col("a"), F.col("b")))
     pairs = unfiled(pairs, "edge_add", filed, limit, ["distance", "a", "b"], limit_before_filed)
     pairs = pairs.join(suggestions, "dedup_key").where("judged >= 0.5").join(registry.select("relationship"), "relationship", "left_semi")
     return pairs.select(*finding("edge_add", {"source_id": F.col("a"), "target_id": F.col("b"), "relationship": F.col("relationship")}, F.col("judged"), "edge_suggest", F.col("dedup_key"), {"distance": F.round("distance", 6)}))

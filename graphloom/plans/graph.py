@@ -267,7 +267,7 @@ _VEC = """, vp AS (SELECT least('vec:' || a.vec_id, 'vec:' || b.vec_id) AS a, gr
 
 @query(_VEC + "SELECT a, b, distance FROM vp WHERE distance <= 0.6")
 def knn_join(g: Lens) -> DataFrame:
-    return resolve.vector_pairs(g.vectors, 0.6).select("a", "b", F.round("distance", 6).alias("distance"))
+    return resolve.vector_pairs(g.vectors, 0.6, places=6).select("a", "b", "distance")
 
 
 def _vec_mentions(g: Lens) -> DataFrame:
@@ -286,7 +286,7 @@ _LINKABLE = "abs(split_part(a, ':', 2)::INT - split_part(b, ':', 2)::INT) <> 3"
 
 @query(_VEC + f"SELECT a, b, distance FROM vp WHERE distance <= 0.65 AND {_LINKABLE}")
 def self_vector_pairs_no_edge(g: Lens) -> DataFrame:
-    return scans.link_candidates(g.vectors, _vec_mentions(g), _vec_edges(g), 0.65).select("a", "b", F.round("distance", 6).alias("distance"))
+    return scans.link_candidates(g.vectors, _vec_mentions(g), _vec_edges(g), 0.65, places=6).select("a", "b", "distance")
 
 
 @query(_VEC + f"SELECT 'edge_add' AS kind, a || ':' || b AS dedup_key, 0.75::DOUBLE AS confidence FROM vp WHERE distance <= 0.65 AND {_LINKABLE} AND (split_part(a, ':', 2)::INT + split_part(b, ':', 2)::INT) % 2 = 0")

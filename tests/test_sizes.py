@@ -53,3 +53,16 @@ def test_open_entities_stay_in_pages(spark, tmp_path):
 def test_open_entities_stay_in_wiki_pages(spark, tmp_path):
     ours, theirs = same_rows(spark, tmp_path, "src_confluence_page", pages=ENTITIES.slice(0, 5))
     assert len(ours) == 5 and ours == theirs
+
+
+def edge_of(distance):
+    """Vectors of two numbers that lie a rounded distance apart, and a little over it or under."""
+    at = lambda d: [1 - d, math.sqrt(1 - (1 - d) ** 2)]
+    return vectors((2, [1.0, 0.0]), (4, at(distance + 3e-7)), (20, [0.0, -1.0]), (22, [math.sqrt(1 - (1 - distance - 8e-7) ** 2), distance + 8e-7 - 1]))
+
+
+def test_pairs_at_the_edge_of_a_rounded_distance(spark, tmp_path):
+    for name, distance, n in (("knn_join", 0.6, 1), ("self_vector_pairs_no_edge", 0.65, 1)):
+        (folder := tmp_path / name).mkdir()
+        ours, theirs = same_rows(spark, folder, name, embeddings=edge_of(distance))
+        assert ours == theirs and sum("'vec:2', 'vec:4'" in r for r in theirs) == n
