@@ -291,10 +291,10 @@ def self_vector_pairs_no_edge(g: Lens) -> DataFrame:
 
 @query(_VEC + f"SELECT 'edge_add' AS kind, a || ':' || b AS dedup_key, 0.75::DOUBLE AS confidence FROM vp WHERE distance <= 0.65 AND {_LINKABLE} AND (split_part(a, ':', 2)::INT + split_part(b, ':', 2)::INT) % 2 = 0")
 def scan_link_prediction(g: Lens) -> DataFrame:
-    near = scans.link_candidates(g.vectors, _vec_mentions(g), _vec_edges(g), 0.65)
+    near = scans.link_candidates(g.vectors, _vec_mentions(g), _vec_edges(g), 0.65, places=6)
     number = lambda c: F.split_part(c, F.lit(":"), F.lit(2)).cast("int")
     said = near.select(F.concat_ws(":", "a", "b").alias("dedup_key"), F.lit("RELATES_TO").alias("relationship"), F.when((number("a") + number("b")) % 2 == 0, 0.75).otherwise(0.2).alias("judged"))
-    found = scans.scan_link_prediction(g.vectors, _vec_mentions(g), _vec_edges(g), said, extract.seed_relationships(g.spark), 0.65, None)
+    found = scans.scan_link_prediction(g.vectors, _vec_mentions(g), _vec_edges(g), said, extract.seed_relationships(g.spark), 0.65, None, places=6)
     return found.select("kind", "dedup_key", "confidence")
 
 

@@ -66,3 +66,8 @@ def test_pairs_at_the_edge_of_a_rounded_distance(spark, tmp_path):
         (folder := tmp_path / name).mkdir()
         ours, theirs = same_rows(spark, folder, name, embeddings=edge_of(distance))
         assert ours == theirs and sum("'vec:2', 'vec:4'" in r for r in theirs) == n
+
+
+def test_links_at_the_edge_of_a_rounded_distance(spark, tmp_path):
+    ours, theirs = same_rows(spark, tmp_path, "scan_link_prediction", embeddings=edge_of(0.65))
+    assert ours == theirs and any("vec:2:vec:4" in r for r in theirs)
