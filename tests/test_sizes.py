@@ -6,7 +6,9 @@ import os
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from graphloom.operators import graphs, reads
 from graphloom.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +73,51 @@ def test_pairs_at_the_edge_of_a_rounded_distance(spark, tmp_path):
 def test_links_at_the_edge_of_a_rounded_distance(spark, tmp_path):
     ours, theirs = same_rows(spark, tmp_path, "scan_link_prediction", embeddings=edge_of(0.65))
     assert ours == theirs and any("vec:2:vec:4" in r for r in theirs)
+
+
+def hub(spark, starts=30, leaves=300):
+    """Starts and leaves around one node, and a second ring behind each tenth leaf."""
+    pairs = [(f"s{i:03}", "hub", "IN") for i in range(starts)] + [(f"l{i:03}", "hub", "IN") for i in range(leaves)] + [(f"r{i:03}", f"l{i:03}", "BY") for i in range(0, leaves, 10)]
+    ids = sorted({n for a, b, _ in pairs for n in (a, b)})
+    edges = spark.createDataFrame(pairs, "source_id string, target_id string, relationship string")
+    nodes = spark.createDataFrame([(n, n.upper(), {"l": "leaf", "r": "rim"}.get(n[0], "other"), None) for n in ids], "node_id string, name string, node_type string, canonical_node_id string")
+    return edges, nodes, nodes.where("node_id like 's%'").select(F.col("node_id").alias("start_id"))
+
+
+def rows_written(monkeypatch, module):
+    """A list that gets the number of rows of each table that the module writes."""
+    counts, put = [], module.written
+
+    def counted(df, name):
+        out = put(df, name)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "written", counted)
+    return counts
+
+
+def distances(pairs, start, depth):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    found, front = {start: 0}, {start}
+    for k in range(1, depth + 1):
+        front = {n for m in front for n in near.get(m, ())} - set(found)
+        found |= dict.fromkeys(front, k)
+    return found
+
+
+def test_starts_around_a_hub_walk_once(spark, monkeypatch):
+    edges, nodes, starts = hub(spark)
+    pairs = [(r["source_id"], r["target_id"]) for r in edges.collect()]
+    want = sorted((r["start_id"], n, k) for r in starts.collect() for n, k in distances(pairs, r["start_id"], 3).items())
+    counts = rows_written(monkeypatch, graphs)
+    walked = graphs.first_arrivals(edges, nodes, starts, 3).collect()
+    assert sorted((r["start_id"], r["node_id"], r["depth"]) for r in walked) == want and sum(counts) < 600
+    assert all(r["names"] == [r["start_id"].upper(), "HUB", f"L{r['node_id'][1:]}", r["node_id"].upper()] for r in walked if r["node_id"][0] == "r")
+    counts.clear()
+    found = sorted((r["start_id"], r["node_id"], r["depth"]) for r in graphs.traverse_to_type(edges, nodes, starts, "other", 3, 4).collect())
+    assert found == sorted((s, n, k) for s in {w[0] for w in want} for n, k in sorted(((n, k) for x, n, k in want if x == s and k and n[0] in "hs"), key=lambda x: x[::-1])[:4])
+    assert sum(counts) < 700
