@@ -114,6 +114,9 @@ def test_starts_around_a_hub_walk_once(spark, monkeypatch):
     pairs = [(r["source_id"], r["target_id"]) for r in edges.collect()]
     want = sorted((r["start_id"], n, k) for r in starts.collect() for n, k in distances(pairs, r["start_id"], 3).items())
     counts = rows_written(monkeypatch, graphs)
+    assert sorted(map(tuple, graphs.khop_nodes(edges, starts, 3).collect())) == want
+    assert sum(counts) < 600  # one walk over the nodes and not one for each of 30 starts
+    counts.clear()
     walked = graphs.first_arrivals(edges, nodes, starts, 3).collect()
     assert sorted((r["start_id"], r["node_id"], r["depth"]) for r in walked) == want and sum(counts) < 600
     assert all(r["names"] == [r["start_id"].upper(), "HUB", f"L{r['node_id'][1:]}", r["node_id"].upper()] for r in walked if r["node_id"][0] == "r")
