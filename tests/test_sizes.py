@@ -124,3 +124,16 @@ def test_starts_around_a_hub_walk_once(spark, monkeypatch):
     found = sorted((r["start_id"], r["node_id"], r["depth"]) for r in graphs.traverse_to_type(edges, nodes, starts, "other", 3, 4).collect())
     assert found == sorted((s, n, k) for s in {w[0] for w in want} for n, k in sorted(((n, k) for x, n, k in want if x == s and k and n[0] in "hs"), key=lambda x: x[::-1])[:4])
     assert sum(counts) < 700
+
+
+def test_subgraphs_around_a_hub_take_its_first_edges_only(spark, monkeypatch):
+    edges, nodes, starts = hub(spark)
+    ranked, met = reads.ranked, []
+    monkeypatch.setattr(reads, "ranked", lambda df, per, *more: (met.append(df.count()), ranked(df, per, *more))[1])
+    got = graphs.khop_subgraph(edges, nodes, starts, 2, 5).collect()
+    rows = [tuple(r) for r in edges.select("source_id", "relationship", "target_id").collect()]
+    for s in ("s000", "s017"):
+        near = distances([(a, b) for a, _, b in rows], s, 1)
+        own = sorted((min(near.get(a, 9), near.get(b, 9)), a, r, b) for a, r, b in rows if a in near or b in near)[:5]
+        assert [(r["source"], r["relationship"], r["target"]) for r in sorted((r for r in got if r["start_id"] == s), key=lambda r: r["rank"])] == [tuple(x if i == 1 else f'"{x.upper()} ({"leaf" if x[0] == "l" else "other"})"' for i, x in enumerate(e)) for _, *e in own]
+    assert max(met) < 1000  # 30 starts would meet 331 edges each
