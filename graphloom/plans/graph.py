@@ -155,7 +155,8 @@ def all_paths(g: Lens) -> DataFrame:
 @query(_ADJ + "SELECT start_id, node_id, depth FROM paths ORDER BY depth, start_id, node_id LIMIT 15")
 def topk_paths(g: Lens) -> DataFrame:
     edges, nodes = _world(g)
-    return graphs.first_arrivals(edges, nodes, _starts(g), 2).where("depth > 0").orderBy("depth", "start_id", "node_id").limit(15).select("start_id", "node_id", "depth")
+    found = graphs.first_arrivals(edges, nodes, _starts(g), 2, enough=15).where("depth > 0")
+    return found.orderBy("depth", "start_id", "node_id").limit(15).select("start_id", "node_id", "depth")
 
 
 @query(_ADJ + "SELECT start_id, node_id, depth, path FROM paths")

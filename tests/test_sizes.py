@@ -126,6 +126,14 @@ def test_starts_around_a_hub_walk_once(spark, monkeypatch):
     assert sum(counts) < 700
 
 
+def test_walks_end_when_enough_is_found(spark, monkeypatch):
+    edges, nodes, starts = hub(spark)
+    counts = rows_written(monkeypatch, graphs)
+    assert {r["depth"] for r in graphs.first_arrivals(edges, nodes, starts, 3, enough=30).collect()} == {0, 1}
+    assert sum(counts) < 150
+    assert {r["depth"] for r in graphs.first_arrivals(edges, nodes, starts, 3, enough=31).collect()} == {0, 1, 2}
+
+
 def test_subgraphs_around_a_hub_take_its_first_edges_only(spark, monkeypatch):
     edges, nodes, starts = hub(spark)
     ranked, met = reads.ranked, []
