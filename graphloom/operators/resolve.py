@@ -140,6 +140,8 @@ def name_pairs(names: DataFrame, threshold: float, known: DataFrame | None = Non
 
 #: Pivots, at most, which every task holds; vectors that they are picked from, for each of them.
 PIVOTS, PICKED = 256, 8
+#: Copies that leave a task at a time, at most; vectors on a side that are compared at a time.
+PIECE, TILE = 8192, 2048
 
 
 def pivots(vectors: DataFrame, count: int) -> np.ndarray:
@@ -197,7 +199,8 @@ def in_cells(vectors: DataFrame, most: float, block_rows: int, asked: DataFrame
     def copied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
         apart = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
-        for frame in filter(len, frames):
+        rows = max(1, PIECE // len(p))  # which may go to all cells
+        for frame in (x[i : i + rows] for x in frames for i in range(0, len(x), rows)):
             far, own = distances(np.array(frame["v"].tolist(), float).reshape(len(frame), -1)), frame["own"].to_numpy()
             with np.errstate(divide="ignore", invalid="ignore"):
                 beyond = (far**2 - frame["far"].to_numpy()[:, None] ** 2) / (2 * apart[own])  # from the planes half way
@@ -219,7 +222,7 @@ def units(vectors: list) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def vector_pairs(vectors: DataFrame, most: float, block_rows: int = 2048, same_type: bool = False, asked: DataFrame | None = None, places: int = 12) -> DataFrame:
+def vector_pairs(vectors: DataFrame, most: float, block_rows: int = 16384, same_type: bool = False, asked: DataFrame | None = None, places: int = 12) -> DataFrame:
     """(a, b, distance) with a < b of all vectors within a cosine distance; with ``asked``, of one of its rows (a) and
     one of ``vectors`` (b). Exact; distances are rounded to ``places`` before they are compared.
 
@@ -234,19 +237,26 @@ def vector_pairs(vectors: DataFrame, most: float, block_rows: int = 2048, same_t
     alone = asked is None
     meet = rows.where("home").select("*", block("homes").alias("i"), every("copies").alias("j")).unionByName(rows.where("not home").select("*", block("copies").alias("j"), every("homes").alias("i")))
 
-    def close(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
-        home, own, ids, kinds = pdf["home"].to_numpy(bool), pdf["own"].to_numpy(), pdf["node_id"].to_numpy(), pdf["node_type"].to_numpy()
+    def close(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = []
+        for f in frames:
+            parts.append((np.array(f["v"].tolist(), float).reshape(len(f), -1), f["home"].to_numpy(bool), f["own"].to_numpy(), f["node_id"].to_numpy(), f["node_type"].to_numpy()))
+        m, home, own, ids, kinds = (np.concatenate(x) for x in zip(*parts))
         left, right = np.flatnonzero(home), np.flatnonzero(~home)
-        d = np.round(1 - m[left] @ m[right].T, places)
-        x, y = np.nonzero(d <= most)
-        a, b, d = left[x], right[y], d[x, y]
-        keep = (own[b] != key[0]) | (ids[a] < ids[b]) if alone else np.ones(len(a), bool)
-        if same_type:
-            keep &= kinds[a] == kinds[b]
-        a, b, d = ids[a[keep]], ids[b[keep]], d[keep]
-        swap = a > b if alone else np.ones(len(a), bool)
-        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "distance": d})
+        for i, j in ((i, j) for i in range(0, len(left), TILE) for j in range(0, len(right), TILE)):
+            d = 1 - m[left[i : i + TILE]] @ m[right[j : j + TILE]].T
+            x, y = np.nonzero(d <= most + 10.0**-places)
+            a, b, d = left[i + x], right[j + y], np.round(d[x, y], places)
+            keep = d <= most
+            if alone:
+                keep &= (own[b] != key[0]) | (ids[a] < ids[b])
+            if same_type:
+                keep &= kinds[a] == kinds[b]
+            a, b, d = ids[a[keep]], ids[b[keep]], d[keep]
+            swap = a > b if alone else np.ones(len(a), bool)
+            for n in range(0, len(a), 1 << 18):
+                at = slice(n, n + (1 << 18))
+                yield pd.DataFrame({"a": np.where(swap[at], b[at], a[at]), "b": np.where(swap[at], a[at], b[at]), "distance": d[at]})
 
     return meet.groupBy("cell", "i", "j").applyInPandas(close, "a string, b string, distance double")
 

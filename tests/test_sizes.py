@@ -4,11 +4,12 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from graphloom.operators import graphs, reads, search
+from graphloom.operators import graphs, reads, resolve, search
 from graphloom.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -161,3 +162,16 @@ def test_queries_of_the_same_words_are_answered_once(spark, monkeypatch):
     got = search.keyword_batch(df, spark.createDataFrame(asked, "request_id string, query string"), 7).collect()
     assert sorted((r["request_id"], r["rank"], r["node_id"], r["score"]) for r in got) == want
     assert max(met) < 200  # each of the 90 queries alone would meet some 60 nodes
+
+
+def test_vector_pairs_in_small_pieces_and_tiles(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "PIECE", 16)
+    monkeypatch.setattr(resolve, "TILE", 7)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(150, 4)).round(1)
+    v[140:] = v[0]
+    df = spark.createDataFrame([(f"v{i:03}", "t", x.tolist()) for i, x in enumerate(v)], "node_id string, node_type string, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = np.round(1 - u @ u.T, 6) <= 0.3
+    want = [(f"v{i:03}", f"v{j:03}") for i in range(150) for j in range(i + 1, 150) if near[i, j]]
+    assert sorted((r["a"], r["b"]) for r in resolve.vector_pairs(df, 0.3, 30, places=6).collect()) == want
