@@ -273,25 +273,46 @@ def match_derived(existing: DataFrame, incoming: DataFrame, threshold: float = 0
     known = existing.where("external_id is null").withColumn("to", F.coalesce("canonical_node_id", "node_id"))
     by_name = known.groupBy("node_type", "name").agg(F.min("to").alias("to"))
     new = incoming.select("node_type", "name").distinct()
+    vectors = "embedding" in existing.columns and "embedding" in incoming.columns
+    if vectors:  # what is near by vector comes before all else, so only names without it are looked up by name
+        asked = _asked(incoming)
+        close = written(_close(known, asked, near), "close")
+        new = new.join(close.select("node_type", "name").distinct(), ["node_type", "name"], "left_anti")
     same = new.join(by_name, ["node_type", "name"]).select("node_type", "name", F.col("name").alias("other"))
     found = same.unionByName(name_pairs(new, threshold, by_name).select("node_type", F.col("a").alias("name"), F.col("b").alias("other")))
     score = text.trigram_similarity(F.col("name"), F.col("other"))
-    if "embedding" not in existing.columns or "embedding" not in incoming.columns:
+    if not vectors:
         found = found.join(by_name.withColumnRenamed("name", "other"), ["node_type", "other"]).withColumn("similarity", score)
         return found.groupBy("node_type", "name").agg(F.min_by("to", F.struct(-F.col("similarity"), "to")).alias("matched_id"))
-    return _ways(known, incoming, found, near).groupBy("node_type", "name").agg(F.min_by("to", "order").alias("matched_id"))
+    least = close.groupBy("node_type", "name").agg(F.min("distance").alias("least"))
+    nearest = close.join(least, ["node_type", "name"]).where(F.col("distance") <= F.col("least") + 1e-9).select("node_type", "name", "b")
+    return _ranked(known, asked, found, nearest).groupBy("node_type", "name").agg(F.min_by("to", "order").alias("matched_id"))
+
+
+def _asked(incoming: DataFrame) -> DataFrame:
+    """node_type, name, v: each name's first vector."""
+    return incoming.where("embedding is not null").groupBy("node_type", "name").agg(F.min_by("embedding", "seq").alias("v"))
+
+
+def _close(known: DataFrame, asked: DataFrame, near: float) -> DataFrame:
+    """node_type, name, b, distance: known nodes (b) of a name's type that are near by vector."""
+    key = F.concat_ws("\x1f", "node_type", "name").alias("node_id")
+    pairs = vector_pairs(known, near, same_type=True, asked=asked.select(key, "node_type", F.col("v").alias("embedding")))
+    return pairs.join(asked.select(key.alias("a"), "node_type", "name"), "a").select("node_type", "name", "b", "distance")
 
 
 def _ways(known: DataFrame, incoming: DataFrame, found: DataFrame, near: float) -> DataFrame:
     """node_type, name, to, node_id, order: known nodes that a new name may go to, by the names ``found`` (node_type,
     name, other) or by vector, and how they rank."""
-    asked = incoming.where("embedding is not null").groupBy("node_type", "name").agg(F.min_by("embedding", "seq").alias("v"))
+    asked = _asked(incoming)
+    return _ranked(known, asked, found, _close(known, asked, near).drop("distance"))
+
+
+def _ranked(known: DataFrame, asked: DataFrame, found: DataFrame, close: DataFrame) -> DataFrame:
+    """The rows of ``_ways`` by the names ``found`` and the nodes ``close`` (node_type, name, b)."""
     own = known.select("node_type", F.col("name").alias("other"), "to", "node_id", F.col("embedding").alias("w"))
-    found = found.join(own, ["node_type", "other"])
-    key = F.concat_ws("\x1f", "node_type", "name")
-    close = vector_pairs(known, near, same_type=True, asked=asked.select(key.alias("node_id"), "node_type", F.col("v").alias("embedding")))
-    close = close.join(asked.withColumn("a", key), "a").join(own.withColumnRenamed("node_id", "b").drop("node_type"), "b").select("node_type", "other", "name", "to", F.col("b").alias("node_id"), "w")
-    found = found.unionByName(close).distinct().join(asked, ["node_type", "name"], "left")
+    close = close.join(own.withColumnRenamed("node_id", "b").drop("node_type"), "b").select("node_type", "other", "name", "to", F.col("b").alias("node_id"), "w")
+    found = found.join(own, ["node_type", "other"]).select(close.columns).unionByName(close).distinct().join(asked, ["node_type", "name"], "left")
     score = text.trigram_similarity(F.col("name"), F.col("other"))
     found = found.withColumn("distance", F.round(scores.cosine_distance(F.col("v"), F.col("w")), 12)).withColumn("similarity", F.round(score, 12))
     order = F.struct(F.col("distance").isNull(), "distance", -F.col("similarity"), "to")

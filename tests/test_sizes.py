@@ -175,3 +175,14 @@ def test_vector_pairs_in_small_pieces_and_tiles(spark, monkeypatch):
     near = np.round(1 - u @ u.T, 6) <= 0.3
     want = [(f"v{i:03}", f"v{j:03}") for i in range(150) for j in range(i + 1, 150) if near[i, j]]
     assert sorted((r["a"], r["b"]) for r in resolve.vector_pairs(df, 0.3, 30, places=6).collect()) == want
+
+
+def test_names_with_a_near_vector_are_not_looked_up_by_name(spark, monkeypatch):
+    known = spark.createDataFrame([(f"k{i}", "t", f"thing {i}", [1.0, i / 100], None, None) for i in range(9)], "node_id string, node_type string, name string, embedding array<double>, external_id string, canonical_node_id string")
+    new = spark.createDataFrame([("t", "thing 10", [1.0, 0.031], 1), ("t", "thing 80", [-1.0, 0.0], 2), ("t", "thing 4", None, 3), ("t", "other", [0.0, -1.0], 4)], "node_type string, name string, embedding array<double>, seq long")
+    looked_up, pairs = [], resolve.name_pairs
+    monkeypatch.setattr(resolve, "name_pairs", lambda names, *more: (looked_up.extend(r["name"] for r in names.collect()), pairs(names, *more))[1])
+    got = {r["name"]: r["matched_id"] for r in resolve.match_derived(known, new, 0.5, 0.1).collect()}
+    # opposite vectors: those that lean over least are the nearest to it by name
+    assert got == {"thing 10": "k3", "thing 80": "k8", "thing 4": "k4"}
+    assert sorted(looked_up) == ["other", "thing 4", "thing 80"]
