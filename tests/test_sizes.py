@@ -186,3 +186,20 @@ def test_names_with_a_near_vector_are_not_looked_up_by_name(spark, monkeypatch):
     # opposite vectors: those that lean over least are the nearest to it by name
     assert got == {"thing 10": "k3", "thing 80": "k8", "thing 4": "k4"}
     assert sorted(looked_up) == ["other", "thing 4", "thing 80"]
+
+
+def test_ranks_over_many_ranges_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "RANGE", 20)
+    monkeypatch.setattr(graphs, "EDGES", 50)
+    rng = np.random.default_rng(5)
+    n, pairs = 90, [(int(a), int(b)) for a, b in zip(rng.integers(0, 60, 400), (rng.random(400) ** 3 * 90).astype(int))]
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(n)], "node_id string")
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs] + [("n1", "unknown"), ("unknown", "n2")], "source_id string, target_id string")
+    out, rank = np.bincount([a for a, _ in pairs], minlength=n), np.full(n, 1 / n)
+    for _ in range(7):
+        got = np.zeros(n)
+        for a, b in pairs:
+            got[b] += rank[a] / out[a]
+        rank = 0.15 / n + 0.85 * (got + rank[out == 0].sum() / n)
+    found = {r["node_id"]: r["rank"] for r in graphs.pagerank(nodes, edges, iterations=7, cut_every=3).collect()}
+    assert found.keys() == {f"n{i}" for i in range(n)} and max(abs(found[f"n{i}"] - rank[i] / rank.max()) for i in range(n)) < 6e-5
